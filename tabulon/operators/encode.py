@@ -176,12 +176,17 @@ class TablePreparation:
     drop_first: bool = True
 
     @classmethod
-    def fit(cls, df: DataFrame, target: str, drop_first: bool = True) -> TablePreparation:
+    def fit(
+        cls, df: DataFrame, target: str, keys: Sequence[str] = (), drop_first: bool = True
+    ) -> TablePreparation:
+        """Levels and medians of the rows that have a target. Key columns pass
+        through :meth:`transform` unchanged and are no features."""
         rows = drop_null(df, target)
-        texts = [c for c in text_columns(rows) if c != target]
-        numbers = [c for c in numeric_columns(rows) if c != target]
+        apart = {target, *keys}
+        texts = [c for c in text_columns(rows) if c not in apart]
+        numbers = [c for c in numeric_columns(rows) if c not in apart]
         fitted = cls(target, fit_levels(rows, texts), fit_medians(rows, numbers), [], drop_first)
-        fitted.features = [c for c in fitted.transform(rows).columns if c != target]
+        fitted.features = [c for c in fitted.transform(rows).columns if c not in apart]
         return fitted
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -224,7 +229,7 @@ def survey_features(df: DataFrame) -> DataFrame:
 def prepared_survey(
     df: DataFrame,
     features: Sequence[str],
-    age_codes: Mapping[str, int],
+    age_codes: Mapping[str | None, int],
     levels: Mapping[str, Sequence[str]] | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
@@ -237,8 +242,13 @@ def prepared_survey(
     if "dietary_habits" in df.columns:
         rows = ordinal_encoded(rows, "dietary_habits", DIET_ORDER, "dietary_encoded")
     if "age_group" in df.columns:
-        order = sorted(age_codes, key=age_codes.get)
-        rows = rows.withColumn("age_group_encoded", ordinal_code(quoted("age_group"), order, "null"))
+        # null may be a coded level too, which a literal position cannot find
+        order = sorted((g for g in age_codes if g is not None), key=age_codes.get)
+        code = F.coalesce(
+            ordinal_code(quoted("age_group"), order, "null"),
+            F.when(quoted("age_group").isNull(), F.lit(age_codes.get(None)).cast("double")),
+        )
+        rows = rows.withColumn("age_group_encoded", code)
     texts = [c for c in text_columns(rows) if c not in keep]
     wide = one_hot(rows, texts if levels is None else list(levels), levels)
     return aligned(wide, features, keep)

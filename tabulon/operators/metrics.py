@@ -78,11 +78,14 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
     The table is reduced to its confusion counts; the rest works on those.
     """
-    n = F.col("count")
+    n, zero = F.col("count"), F.lit(0).cast("long")
+
+    def side(y, support, claimed, right):
+        return F.struct(y.alias("y"), support.alias("support"), claimed.alias("claimed"), right.alias("right"))
+
+    agreed = F.when(F.col("actual") == F.col("predicted"), n).otherwise(zero)
     sides = confusion_counts(df, label, prediction).select(F.inline(F.array(
-        F.struct(F.col("actual").alias("y"), n.alias("support"), F.lit(0).cast("long").alias("claimed"),
-                 F.when(F.col("actual") == F.col("predicted"), n).otherwise(0).alias("right")),
-        F.struct(F.col("predicted"), F.lit(0).cast("long"), n, F.lit(0).cast("long")),
+        side(F.col("actual"), n, zero, agreed), side(F.col("predicted"), zero, n, zero)
     )))
     right, support, claimed = F.col("right"), F.col("support"), F.col("claimed")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -122,30 +122,31 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """Pearson correlation of every ordered pair, over the rows where both are
     present. A constant column has no correlation (null), also with itself.
 
-    All pairs come from one aggregate over one scan; each task sends one row.
+    Each row yields its pairs, which one partial aggregate folds at once, so a
+    task sends one row per pair whatever the number of columns.
     """
     names = list(columns or numeric_columns(df))
     numbers = df.select(*[nan_to_null(quoted(c).cast("double")).alias(f"x{i}") for i, c in enumerate(names)])
-    pairs = list(combinations(range(len(names)), 2))
-
-    def x(i):
-        return F.col(f"x{i}")
-
-    def deviation(i, j):
-        return F.stddev_pop(F.when(x(j).isNotNull(), x(i)))
-
-    sums = [F.var_pop(x(i)).alias(f"v{i}") for i in range(len(names))]
-    for i, j in pairs:
-        spread = deviation(i, j) * deviation(j, i)
-        sums.append(F.try_divide(F.covar_pop(x(i), x(j)), spread).alias(f"r{i}_{j}"))
+    pairs = [
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("a"), F.col(f"x{j}").alias("b"))
+        for i, j in combinations_with_replacement(range(len(names)), 2)
+    ]
+    spread = F.stddev_pop("a") * F.stddev_pop("b")
+    upper = (
+        _stacked(numbers, pairs)
+        .filter("a is not null and b is not null")
+        .groupBy("i", "j")
+        .agg(F.try_divide(F.covar_pop("a", "b"), spread).alias("r"))
+        .withColumn("r", F.when(F.col("i") == F.col("j"), F.when(F.col("r").isNotNull(), 1.0)).otherwise(F.col("r")))
+    )
+    i, j = F.col("i"), F.col("j")
+    label = F.array(*[F.lit(n) for n in names])
 
-    def cell(i, j, value):
-        return F.struct(F.lit(names[i]).alias("x"), F.lit(names[j]).alias("y"), value.alias("r"))
+    def cell(a, b):
+        return F.struct(F.element_at(label, a + 1).alias("x"), F.element_at(label, b + 1).alias("y"), "r")
 
-    rows = [cell(i, i, F.when(F.col(f"v{i}") > 0, 1.0)) for i in range(len(names))]
-    for i, j in pairs:
-        rows += [cell(i, j, F.col(f"r{i}_{j}")), cell(j, i, F.col(f"r{i}_{j}"))]
-    return _stacked(numbers.agg(*sums), rows)
+    both = F.when(i == j, F.array(cell(i, j))).otherwise(F.array(cell(i, j), cell(j, i)))
+    return upper.select(F.inline(both))
 
 
 def count_table(df: DataFrame, x: str, hue: str) -> DataFrame:

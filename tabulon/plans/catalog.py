@@ -338,7 +338,7 @@ def median_fill(spark, base_dir):
 
 def prepare_training(spark, base_dir):
     table = clients(spark, base_dir).select("client_id", "renda", "adesao", "faixa_etaria", "gp_renda")
-    return encode.TablePreparation.fit(table, "adesao").transform(table)
+    return encode.TablePreparation.fit(table, "adesao", keys=["client_id"]).transform(table)
 
 
 def fitted_survey(spark, base_dir):

@@ -122,7 +122,7 @@ def _indicators(column: str, values: list[str]) -> str:
 
 RATE = "coalesce(round(100.0 * count(*) FILTER (WHERE adesao = 1) / nullif(count(*), 0), 2), 0)"
 ADOPTERS = "CAST(count(*) FILTER (WHERE adesao = 1) AS BIGINT)"
-DIET_CODE = "CASE dietary_habits WHEN 'Unhealthy' THEN 0.0 WHEN 'Moderate' THEN 1.0 WHEN 'Healthy' THEN 2.0 END"
+DIET_CODE = "CAST(CASE dietary_habits WHEN 'Unhealthy' THEN 0 WHEN 'Moderate' THEN 1 WHEN 'Healthy' THEN 2 END AS DOUBLE)"
 
 # survey rows with the age group and its dense code, null coded last
 SURVEY = f"""kept AS (SELECT *, {_age_group()} AS age_group FROM students

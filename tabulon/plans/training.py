@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabulon.functions.expressions import quoted
 from tabulon.functions.names import CATEGORIES, FLAGS
 from tabulon.operators.columns import drop_null, existing, require, select_existing, with_label
-from tabulon.operators.encode import TablePreparation
+from tabulon.operators.encode import TablePreparation, fit_medians, median_filled
 from tabulon.operators.learners import (
     boosted_pipeline, final_features, forest_pipeline, light_forest_pipeline,
 )
@@ -108,11 +108,16 @@ def train_boosted(
     rows: DataFrame, features: Sequence[str], target: str, key: str,
     validation_percent: int = 10, **settings,
 ) -> Trained:
-    """Boosted trees; a tenth of the training rows decides when to stop."""
+    """Boosted trees; a tenth of the training rows decides when to stop.
+
+    Spark's trees take no missing numbers, so these get the training median.
+    """
     table = drop_null(rows, target).select(
         quoted(key), quoted(target).cast("double").alias("label"), *[quoted(f).cast("double").alias(f) for f in features]
     )
     train, test = hash_split(table, key)
+    fitted = fit_medians(train, features)
+    train, test = median_filled(train, fitted), median_filled(test, fitted)
     train = train.withColumn("held_out", ~in_train(quoted(key), 100 - validation_percent, seed=43))
     test = test.withColumn("held_out", F.lit(False))
     return fit_and_evaluate(train, test, boosted_pipeline(features, validation="held_out", **settings))
