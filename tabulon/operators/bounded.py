@@ -11,18 +11,24 @@ from tabulon.session import shared_dir
 SMALL_ROWS = 50_000
 
 
-def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Compute a fitted table once so that every later use sees the same rows.
+def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
+    """Compute a fitted table once so that every later use sees the same rows,
+    and tell whether it is small.
 
     At most ``max_rows`` rows become a local relation with a broadcast hint.
     A larger table is checkpointed to the shared folder and joined by shuffle,
     with AQE splitting skewed partitions.
     """
+    spark = df.sparkSession
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
-        return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+        return F.broadcast(spark.createDataFrame(head, df.schema)), True
+    shared_dir(spark)
+    return df.checkpoint(), False
+
+
+def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    return pin(df, max_rows)[0]
 
 
 def join_small(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

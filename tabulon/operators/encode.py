@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from typing import ClassVar
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -40,6 +41,20 @@ def fit_frequency_index(df: DataFrame, columns: Sequence[str], suffix: str = "_i
     ).fit(df)
 
 
+def frequency_coded(df: DataFrame, column: str, out: str) -> DataFrame:
+    """The same index as a join to the ranked levels, for columns with more
+    levels than a fitted indexer should bring to the driver."""
+    counts = df.filter(quoted(column).isNotNull()).groupBy(quoted(column).alias("level")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    codes = numbered(counts, [F.desc("rows"), F.asc("level")], "code").select(
+        F.col("level").alias(column), F.col("code").cast("double").alias(out)
+    )
+    # null and unseen values follow the last level
+    last = codes.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return join_small(df, codes, [column], "left").withColumn(out, F.coalesce(out, last))
+
+
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     """Vector of the columns in the given order; a null number is an error."""
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
@@ -69,13 +84,25 @@ def ordinal_encoded(
 
 # --- one-hot ---------------------------------------------------------------
 
+def split_by_levels(
+    df: DataFrame, columns: Sequence[str], max_levels: int = MAX_WIDE_LEVELS
+) -> tuple[list[str], list[str]]:
+    """The columns with few enough levels to become a column each, and the rest."""
+    if not columns:
+        return [], []
+    sizes = df.agg(*[F.approx_count_distinct(quoted(c), 0.02) for c in columns]).first()
+    narrow = [c for c, size in zip(columns, sizes) if size <= max_levels]
+    return narrow, [c for c in columns if c not in narrow]
+
+
 def fit_levels(
     df: DataFrame, columns: Sequence[str], max_levels: int = MAX_WIDE_LEVELS
 ) -> dict[str, list[str]]:
     """Sorted non-null levels per column, found in one job.
 
-    Raises when a column has more than ``max_levels``: such a column is
-    encoded by :func:`one_hot_vector` instead.
+    Raises when the columns hold more than ``max_levels`` on average:
+    :func:`split_by_levels` tells such columns apart, and
+    :func:`one_hot_vector` encodes them.
     """
     if not columns:
         return {}
@@ -83,12 +110,11 @@ def fit_levels(
     distinct = df.select(F.inline(F.array(*cells))).filter("level is not null").distinct()
     bound = max_levels * len(columns)
     rows = distinct.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError("too many levels for a column each; use one_hot_vector")
     found: dict[str, list[str]] = {c: [] for c in columns}
     for row in rows:
         found[row["column"]].append(row["level"])
-    over = [c for c, levels in found.items() if len(levels) > max_levels]
-    if over or len(rows) > bound:
-        raise ValueError(f"too many levels for one column each: {', '.join(over)}; use one_hot_vector")
     return {c: sorted(levels) for c, levels in found.items()}
 
 
@@ -120,13 +146,19 @@ def one_hot_vector(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Positions follow the sorted levels; null and unseen values are all zero.
     """
+    fitted = Pipeline(stages=one_hot_stages(columns)).fit(df)
+    return fitted.transform(df).drop(*[f"{c}_code" for c in columns])
+
+
+def one_hot_stages(columns: Sequence[str]) -> list:
+    """The indexer and encoder behind :func:`one_hot_vector`."""
     codes = [f"{c}_code" for c in columns]
     indexer = StringIndexer(
         inputCols=list(columns), outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"
     )
     # the indexer's extra slot for invalid values is the last one, dropped here
     encoder = OneHotEncoder(inputCols=codes, outputCols=[f"{c}_onehot" for c in columns], dropLast=True)
-    return Pipeline(stages=[indexer, encoder]).fit(df).transform(df).drop(*codes)
+    return [indexer, encoder]
 
 
 def aligned(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -167,17 +199,32 @@ def median_filled(df: DataFrame, fitted: Mapping[str, float]) -> DataFrame:
 @dataclass
 class TablePreparation:
     """Fitted state of the lighter model's preparation: drop rows without a
-    target, one-hot the text columns, fill numbers with their median."""
+    target, one-hot the text columns, fill numbers with their median.
+
+    Text columns with too many levels (``wide``) stay as they are, for the
+    pipeline to encode as sparse vectors.
+    """
 
     target: str
     levels: dict[str, list[str]] = field(default_factory=dict)
+    wide: list[str] = field(default_factory=list)
     medians: dict[str, float] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
     drop_first: bool = True
 
+    STATE: ClassVar[str] = (
+        "target string, levels map<string, array<string>>, wide array<string>, "
+        "medians map<string, double>, drop_first boolean"
+    )
+
     @classmethod
     def fit(
-        cls, df: DataFrame, target: str, keys: Sequence[str] = (), drop_first: bool = True
+        cls,
+        df: DataFrame,
+        target: str,
+        keys: Sequence[str] = (),
+        drop_first: bool = True,
+        max_levels: int = MAX_WIDE_LEVELS,
     ) -> TablePreparation:
         """Levels and medians of the rows that have a target. Key columns pass
         through :meth:`transform` unchanged and are no features."""
@@ -185,8 +232,11 @@ class TablePreparation:
         apart = {target, *keys}
         texts = [c for c in text_columns(rows) if c not in apart]
         numbers = [c for c in numeric_columns(rows) if c not in apart]
-        fitted = cls(target, fit_levels(rows, texts), fit_medians(rows, numbers), [], drop_first)
-        fitted.features = [c for c in fitted.transform(rows).columns if c not in apart]
+        narrow, wide = split_by_levels(rows, texts, max_levels)
+        fitted = cls(
+            target, fit_levels(rows, narrow, max_levels), wide, fit_medians(rows, numbers), [], drop_first
+        )
+        fitted.features = [c for c in fitted.transform(rows).columns if c not in {*apart, *wide}]
         return fitted
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -196,25 +246,20 @@ class TablePreparation:
     def transform_new(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """New rows, with or without a target, as aligned training features."""
         known = [c for c in self.levels if c in df.columns]
-        wide = median_filled(one_hot(df, known, self.levels), self.medians)
-        return aligned(wide, self.features, keep)
+        filled = median_filled(one_hot(df, known, self.levels), self.medians)
+        absent = [c for c in self.wide if c not in df.columns]
+        filled = filled.withColumns({c: F.lit(None).cast("string") for c in absent})
+        return aligned(filled, self.features, [*keep, *self.wide])
 
     def save(self, spark: SparkSession, path: str) -> None:
         save_feature_list(spark, self.features, f"{path}/features")
-        state = spark.createDataFrame(
-            [{k: v for k, v in asdict(self).items() if k != "features"}],
-            "target string, levels map<string, array<string>>, medians map<string, double>, drop_first boolean",
-        )
-        state.write.mode("overwrite").json(f"{path}/state")
+        state = {k: v for k, v in asdict(self).items() if k != "features"}
+        spark.createDataFrame([state], self.STATE).write.mode("overwrite").json(f"{path}/state")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TablePreparation:
-        schema = "target string, levels map<string, array<string>>, medians map<string, double>, drop_first boolean"
-        state = spark.read.schema(schema).json(f"{path}/state").first()
-        return cls(
-            state["target"], dict(state["levels"]), dict(state["medians"]),
-            load_feature_list(spark, f"{path}/features"), state["drop_first"],
-        )
+        state = spark.read.schema(cls.STATE).json(f"{path}/state").first().asDict()
+        return cls(**state, features=load_feature_list(spark, f"{path}/features"))
 
 
 def survey_features(df: DataFrame) -> DataFrame:

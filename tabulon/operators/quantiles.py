@@ -2,9 +2,10 @@
 
 ``percentile`` keeps every distinct value of a group in one buffer, which does
 not hold for wide-ranging columns. Here a quantile sketch gives, per group, a
-narrow bracket around each wanted rank; the second pass counts rows outside the
-brackets as single totals and only spreads out the values inside them. The
-result is the exact order statistic, linearly interpolated.
+narrow bracket around each wanted rank. The second pass counts rows outside the
+brackets as single totals and cuts each bracket into slices; slice totals show
+which slice holds the rank, and only that slice is put in order. The result is
+the exact order statistic, linearly interpolated.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.functions.expressions import nan_to_null, quoted
-from tabulon.operators.bounded import join_small, pinned
+from tabulon.operators.bounded import join_small, pin
 
+# Relative rank error of the sketch is 1 / ACCURACY, so a bracket holds about
+# 8 / ACCURACY of a column, and a slice of it 1 / SLICES of that.
 ACCURACY = 10_000
+SLICES = 4_096
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -38,6 +42,7 @@ def exact_quantiles(
     by: Sequence[str] = (),
     also: Mapping[str, Column] | None = None,
     accuracy: int = ACCURACY,
+    slices: int = SLICES,
 ) -> DataFrame:
     """One row per (by, column): ``n``, a column per named probability, and any
     further aggregates of ``value`` given in ``also``.
@@ -45,12 +50,12 @@ def exact_quantiles(
     Groups of at most ``accuracy`` rows skip the bracket and are counted whole.
     """
     numbers = long_numbers(df, columns, by)
-    keys = [*by, "column"]
-    names = list(probabilities)
+    keys, names, extra = [*by, "column"], list(probabilities), list(also or {})
     shares = [float(probabilities[n]) for n in names]
-    count = len(shares)
-    # the sketch is off by at most n / accuracy ranks, so four times that on
-    # both sides is certain to hold the wanted rank
+    each = range(len(shares))
+
+    # First pass: the bracket of every wanted rank. The sketch is off by at most
+    # n / accuracy ranks, so four times that on both sides is certain to hold it.
     slack = 4.0 / accuracy
     asked = [max(p - slack, 0.0) for p in shares] + [min(p + slack, 1.0) for p in shares]
     sketch = numbers.groupBy(*keys).agg(
@@ -59,56 +64,84 @@ def exact_quantiles(
         *[expr.alias(name) for name, expr in (also or {}).items()],
     )
     large = F.col("n") > accuracy
-    brackets = pinned(
+
+    def edge(i, otherwise):
+        return F.when(large, F.col("edges")[i]).otherwise(float(otherwise))
+
+    brackets, small = pin(
         sketch.select(
-            *keys, "n", *(also or {}),
-            *[F.when(large, F.col("edges")[i]).otherwise(float("-inf")).alias(f"lo{i}") for i in range(count)],
-            *[F.when(large, F.col("edges")[count + i]).otherwise(float("inf")).alias(f"hi{i}") for i in range(count)],
+            *keys, "n", *extra,
+            *[edge(i, "-inf").alias(f"lo{i}") for i in each],
+            *[edge(len(shares) + i, "inf").alias(f"hi{i}") for i in each],
         )
     )
 
-    # Position of a value: how many brackets end below it, and whether it lies
-    # in one. Values between brackets share a single counted row.
+    # Second pass: place each value by the number of brackets that end below it,
+    # whether it lies in one, and the slice of that bracket. Values between the
+    # brackets are only counted.
     value = F.col("value")
-    ended, inside = F.lit(0), F.lit(False)
-    for i in range(count):
-        ended = ended + (value > F.col(f"hi{i}")).cast("int")
-        inside = inside | value.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
-    edges = brackets.select(*keys, *[f"lo{i}" for i in range(count)], *[f"hi{i}" for i in range(count)])
+    ended, inside, slice_ = F.lit(0), F.lit(False), F.lit(0)
+    for i in reversed(each):
+        low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
+        within = value.between(low, high)
+        ended = ended + (value > high).cast("int")
+        inside = inside | within
+        part = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
+        slice_ = F.when(within, F.when(large, F.floor(part * slices)).otherwise(0)).otherwise(slice_)
+    place = [*keys, "ended", "inside", "slice"]
+    edges = brackets.select(*keys, "n", *[f"lo{i}" for i in each], *[f"hi{i}" for i in each])
     counted = (
         join_small(numbers, edges, keys)
-        .select(*keys, ended.alias("ended"), inside.alias("inside"), F.when(inside, value).alias("value"))
-        .groupBy(*keys, "ended", "inside", "value")
+        .select(
+            *keys, ended.alias("ended"), inside.alias("inside"), slice_.alias("slice"),
+            F.when(inside, value).alias("value"),
+        )
+        .groupBy(*place, "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    in_order = (
-        Window.partitionBy(*keys).orderBy("ended", "inside", "value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = brackets.select(*keys, "n", *(also or {}))
-    ranked = join_small(counted.withColumn("upto", F.sum("rows").over(in_order)), totals, keys)
-
-    def at(rank: Column) -> Column:
-        hit = (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("rows"))
-        missed = F.raise_error(F.lit("rank outside its bracket; raise accuracy")).cast("double")
-        return F.max(F.when(hit, F.when(F.col("inside"), value).otherwise(missed)))
 
-    picked = []
-    for name, share in zip(names, shares):
+    # The slices that hold a wanted rank, from the slice totals; then the value
+    # at that rank, from the values of those slices alone.
+    upto, rows = F.col("upto"), F.col("rows")
+    ranks = []
+    for share in shares:
         position = (F.col("n") - 1) * F.lit(share)
-        picked += [
-            at(F.floor(position)).alias(f"{name}_low"),
-            at(F.ceil(position)).alias(f"{name}_high"),
-        ]
+        ranks += [F.floor(position), F.ceil(position)]
+
+    def hits(rank):
+        return (rank < upto) & (rank >= upto - rows)
+
+    any_hit = F.lit(False)
+    for rank in ranks:
+        any_hit = any_hit | hits(rank)
+    running = (
+        Window.partitionBy(*keys).orderBy("ended", "inside", "slice")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    totals = brackets.select(*keys, "n", *extra)
+    slices_hit = join_small(
+        counted.groupBy(*place).agg(F.sum("rows").alias("rows")).withColumn("upto", F.sum("rows").over(running)),
+        totals, keys,
+    ).filter(any_hit).select(*place, "n", *extra, (upto - rows).alias("before"))
+    in_slice = (
+        Window.partitionBy(*place).orderBy("value")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranked = join_small(counted, F.broadcast(slices_hit) if small else slices_hit, place).withColumn(
+        "upto", F.col("before") + F.sum("rows").over(in_slice)
+    )
+    missed = F.raise_error(F.lit("rank outside its bracket; raise accuracy")).cast("double")
+    at = [F.max(F.when(hits(rank), F.when(F.col("inside"), value).otherwise(missed))) for rank in ranks]
     found = ranked.groupBy(*keys).agg(
-        F.max("n").alias("n"), *[F.max(a).alias(a) for a in also or {}], *picked
+        F.max("n").alias("n"), *[F.max(a).alias(a) for a in extra],
+        *[expr.alias(f"r{i}") for i, expr in enumerate(at)],
     )
     out = []
-    for name, share in zip(names, shares):
+    for i, (name, share) in enumerate(zip(names, shares)):
         position = (F.col("n") - 1) * F.lit(share)
-        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        low, high = F.col(f"r{2 * i}"), F.col(f"r{2 * i + 1}")
         out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return found.select(*keys, "n", *(also or {}), *out)
+    return found.select(*keys, "n", *extra, *out)
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -283,6 +283,13 @@ def string_index(spark, base_dir):
     return indexed.select("client_id", *[f"{c}_idx" for c in CATEGORIES])
 
 
+def frequency_codes(spark, base_dir):
+    table = read_table(spark, base_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_partkey") % 50 != 0, F.col("l_partkey").cast("string")).alias("part")
+    )
+    return encode.frequency_coded(table, "part", "part_code")
+
+
 def assemble(spark, base_dir):
     indexed = encode.frequency_index(clients(spark, base_dir), CATEGORIES)
     vectors = encode.assembled_array(indexed, [*[f"{c}_idx" for c in CATEGORIES], *FLAGS])
@@ -385,6 +392,7 @@ def split_random(spark, base_dir):
 
 FEATURES: dict[str, Query] = {
     "string_index": string_index,
+    "frequency_codes": frequency_codes,
     "assemble": assemble,
     "age_bins": lambda s, d: encode.age_group(students(s, d)).select("row_key", "age", "age_group"),
     "label_encode": label_encode,

@@ -397,6 +397,11 @@ def _features() -> dict[str, str]:
     )
     return {
         "string_index": _clients(f"SELECT client_id, {indexed} FROM clients {joins}", *ranks),
+        "frequency_codes": """WITH t AS (SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_partkey % 50 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS part FROM lineitem),
+codes AS (SELECT part AS v, row_number() OVER (ORDER BY count(*) DESC, part) - 1 AS i FROM t WHERE part IS NOT NULL GROUP BY part)
+SELECT l_orderkey, l_linenumber, part, CAST(coalesce(i, (SELECT count(*) FROM codes)) AS DOUBLE) AS part_code
+FROM t LEFT JOIN codes ON part = v""",
         "assemble": _clients(f"SELECT client_id, {vector} AS features FROM clients {joins}", *ranks),
         "age_bins": _students(f"SELECT row_key, age, {_age_group()} AS age_group FROM students"),
         "label_encode": _students(

@@ -99,7 +99,7 @@ def train_light_forest(
             "label", F.col("label").cast("double")
         )
 
-    pipeline = light_forest_pipeline(preparation.features, **settings)
+    pipeline = light_forest_pipeline(preparation.features, preparation.wide, **settings)
     trained = fit_and_evaluate(prepared(train), prepared(test), pipeline)
     return LightScorer(preparation, trained.model), trained.metrics
 
