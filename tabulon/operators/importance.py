@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabulon.functions.expressions import quoted
 from tabulon.operators.learners import feature_names, tree_stage
+from tabulon.session import task_count
 
 ROWS_PER_BUCKET = 100_000
 
@@ -64,7 +65,7 @@ def permutation_importance(
         "*",
         F.pmod(F.xxhash64(F.lit(seed), repeat, "key"), F.lit(buckets)).alias("bucket"),
         F.xxhash64("key", repeat, F.lit(seed + 1)).alias("turn"),
-    )
+    ).repartition(task_count(df.sparkSession), "repeat", "bucket")
     ring = Window.partitionBy("repeat", "bucket").orderBy("turn", "key")
     partner = F.coalesce(
         F.lead(F.struct(*own)).over(ring),

@@ -11,6 +11,8 @@ PAGE_COLUMNS = [
     "usa_ebanking", "usa_app_banco",
 ]
 
+TOTALS = ["total", "aderiu", "nao_aderiu", "taxa_adesao"]
+
 
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent with two decimals, 0 for an empty whole."""
@@ -59,43 +61,48 @@ def all_statistics(
     """Every statistic of the table from one scan.
 
     Rows are first counted per (state, age, income, label), which the map side
-    already reduces to a few thousand rows; the grouping sets then expand those
-    counts instead of the table.
+    already reduces to a few thousand rows. The sections then work on those
+    counts, sharing the one shuffle that made them. The totals are an aggregate
+    of their own, so that an empty table has them too.
     """
     cells = df.groupBy(state, age, income, label).agg(F.count(F.lit(1)).alias("n"))
-    weight, value = F.col("n"), F.col("y")
     # the label is both a grouping key and an input, so the input gets a copy
     cells = cells.withColumn("y", F.col(label).cast("long"))
-    sets = cells.groupingSets([[state], [age], [income, label], []], state, age, income, label).agg(
-        F.grouping_id(state, age, income, label).alias("g"),
-        F.sum("n").alias("count"),
-        F.sum(F.when(value == 1, weight).otherwise(0)).alias("adopters"),
-        F.sum(value * weight).alias("label_sum"),
-        F.sum((1 - value) * weight).alias("complement_sum"),
-        F.sum(F.when(value.isNull(), weight).otherwise(0)).alias("label_missing"),
-    )
+    n, y = F.col("n"), F.col("y")
+    nothing = {"count": "long", "aderiu": "long", "nao_aderiu": "long", "taxa_adesao": "double", "label_missing": "long"}
+
+    def shaped(rows: DataFrame, section, **figures) -> DataFrame:
+        keys = [
+            (F.col(k) if k in rows.columns else F.lit(None)).cast(kind).alias(k)
+            for k, kind in ((state, "string"), (age, "string"), (income, "string"), (label, "int"))
+        ]
+        values = [figures.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in nothing.items()]
+        return rows.select(section.alias("section"), *keys, *values)
+
     # grouping_id sets a bit per rolled-up column, state being the highest
-    is_state, is_overall = F.col("g") == 0b0111, F.col("g") == 0b1111
-    section = (
-        F.when(is_state, "state").when(F.col("g") == 0b1011, "age")
-        .when(F.col("g") == 0b1100, "income_label").otherwise("overall")
+    groups = cells.groupingSets([[state], [age], [income, label]], state, age, income, label).agg(
+        F.grouping_id(state, age, income, label).alias("g"),
+        F.sum("n").alias("rows"), F.sum(y * n).alias("ones"), F.sum((1 - y) * n).alias("zeros"),
     )
-    # an empty table still has its overall row, with no rows counted
-    zero = F.lit(0).cast("long")
-    aderiu = F.when(is_state, F.col("label_sum")).when(is_overall, F.coalesce("adopters", zero))
-    nao_aderiu = F.when(is_state, F.col("complement_sum")).when(
-        is_overall, F.coalesce(F.col("count") - F.col("adopters"), zero)
+    is_state = F.col("g") == 0b0111
+    section = F.when(is_state, "state").when(F.col("g") == 0b1011, "age").otherwise("income_label")
+    grouped = shaped(
+        groups, section,
+        count=F.when(is_state, F.col("ones") + F.col("zeros")).otherwise(F.col("rows")),
+        aderiu=F.when(is_state, F.col("ones")), nao_aderiu=F.when(is_state, F.col("zeros")),
     )
-    return sets.select(
-        section.alias("section"),
-        F.col(state), F.col(age), F.col(income), F.col(label).cast("int").alias(label),
-        F.when(is_state, F.col("label_sum") + F.col("complement_sum"))
-        .otherwise(F.coalesce("count", zero)).alias("count"),
-        aderiu.alias("aderiu"),
-        nao_aderiu.alias("nao_aderiu"),
-        F.when(is_overall, percent(F.col("adopters"), F.col("count"))).alias("taxa_adesao"),
-        F.when(is_overall, F.coalesce("label_missing", zero)).alias("label_missing"),
+
+    def counted(condition):
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    totals = cells.agg(
+        counted(F.lit(True)).alias("rows"), counted(y == 1).alias("ones"), counted(y.isNull()).alias("unlabelled")
     )
+    rows, ones = F.col("rows"), F.col("ones")
+    return grouped.unionByName(shaped(
+        totals, F.lit("overall"), count=rows, aderiu=ones, nao_aderiu=rows - ones,
+        taxa_adesao=percent(ones, rows), label_missing=F.col("unlabelled"),
+    ))
 
 
 def statistics_record(
@@ -144,6 +151,11 @@ def page_after(df: DataFrame, key: str, last_key, limit: int = 1000) -> DataFram
     return df.filter(F.col(key) > F.lit(last_key)).orderBy(key).limit(limit)
 
 
+def _totals(df: DataFrame, label: str) -> Column:
+    """The table's totals as one scalar subquery, so that one scan gives all."""
+    return overall(df, label).select(F.struct(*TOTALS)).scalar()
+
+
 def page_with_totals(
     df: DataFrame,
     key: str,
@@ -155,10 +167,8 @@ def page_with_totals(
     """Page rows, each carrying the statistics of the whole table."""
     wanted = [c for c in columns or PAGE_COLUMNS if c in df.columns]
     rows = page(df.select(key, *[c for c in wanted if c != key]), key, limit, offset)
-    totals = overall(df, label)
-    # an uncorrelated scalar subquery per figure; Spark merges them into one scan
-    return rows.select(
-        "*", *[totals.select(c).scalar().alias(c) for c in ("total", "aderiu", "nao_aderiu", "taxa_adesao")]
+    return rows.withColumn("__totals", _totals(df, label)).select(
+        *rows.columns, *[F.col("__totals")[f].alias(f) for f in TOTALS]
     )
 
 
@@ -177,13 +187,8 @@ def page_record(
         F.count(F.lit(1)).alias("returned_records"),
         F.array_sort(F.collect_list(F.struct(key, *[c for c in wanted if c != key]))).alias("data"),
     )
-    totals = overall(df, label)
-    figures = ["total", "aderiu", "nao_aderiu", "taxa_adesao"]
-    return data.select(
-        totals.select("total").scalar().alias("total_records"),
-        "returned_records",
-        F.struct(*[totals.select(c).scalar().alias(c) for c in figures]).alias("statistics"),
-        "data",
+    return data.withColumn("statistics", _totals(df, label)).select(
+        F.col("statistics.total").alias("total_records"), "returned_records", "statistics", "data"
     )
 
 

@@ -37,12 +37,6 @@ LISTED_FEATURES = [
 ]
 LIGHT_COLUMNS = ["estado", "faixa_etaria", "gp_renda", "renda", "usa_pix", "usa_ebanking", "usa_app_banco"]
 
-# Tree counts that keep a run of the whole catalogue short on one machine; the
-# learners' own defaults are the full settings.
-FOREST_TREES = {"numTrees": 20}
-LIGHT_TREES = {"numTrees": 20}
-BOOSTED_TREES = {"maxIter": 8, "maxDepth": 4}
-
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     """Float results rounded, as the order of a distributed sum varies."""
@@ -438,7 +432,7 @@ _trained: dict[tuple[str, str, str], tuple[str, dict[str, float]]] = {}
 def forest_model(spark: SparkSession, base_dir: str) -> tuple[str, dict[str, float]]:
     key = (spark.sparkContext.applicationId, base_dir, "forest")
     if key not in _trained:
-        trained = training.train_forest(clients(spark, base_dir), **FOREST_TREES)
+        trained = training.train_forest(clients(spark, base_dir))
         path = scratch_path(spark, "forest")
         training.save_training(spark, trained, f"{path}/model", f"{path}/metadata")
         _trained[key] = (path, trained.metrics)
@@ -449,7 +443,7 @@ def light_model(spark: SparkSession, base_dir: str) -> tuple[str, dict[str, floa
     key = (spark.sparkContext.applicationId, base_dir, "light")
     if key not in _trained:
         table = clients(spark, base_dir).select("client_id", "adesao", *LIGHT_COLUMNS)
-        scorer, measured = training.train_light_forest(table, **LIGHT_TREES)
+        scorer, measured = training.train_light_forest(table)
         path = scratch_path(spark, "light-forest")
         scorer.save(spark, path)
         _trained[key] = (path, measured)
@@ -474,7 +468,7 @@ def class_probabilities(spark, base_dir):
 def boosted_metrics(spark, base_dir):
     features = ["age", "cgpa", "academic_pressure", "study_satisfaction"]
     trained = training.train_boosted(
-        students(spark, base_dir), features, "depression", "row_key", **BOOSTED_TREES
+        students(spark, base_dir), features, "depression", "row_key"
     )
     return metrics_table(spark, trained.metrics)
 

@@ -21,6 +21,7 @@ from tabulon.operators.metrics import evaluate
 from tabulon.operators.scoring import LightScorer
 from tabulon.operators.split import hash_split, in_train
 from tabulon.operators.statistics import PAGE_COLUMNS
+from tabulon.session import task_count
 from tabulon.sources.models import load_model, model_exists, save_model, write_metadata
 from tabulon.sources.tables import write_csv
 
@@ -35,11 +36,22 @@ def with_score(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", vector_to_array("probability")[1])
 
 
-def fit_and_evaluate(train: DataFrame, test: DataFrame, pipeline: Pipeline, label: str = "label") -> Trained:
-    """Fit on one part, measure on the other. The learner reads the training
-    rows many times and the metrics read the scored rows three times, so both
-    are kept."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows hashed evenly by key, in key order within each partition.
+
+    A learner passes over its rows dozens of times, so one shuffle for an even
+    spread pays off, and the same rows in the same places make its seeded
+    sampling repeatable.
+    """
+    return df.repartition(task_count(df.sparkSession), key).sortWithinPartitions(key)
+
+
+def fit_and_evaluate(
+    train: DataFrame, test: DataFrame, pipeline: Pipeline, key: str, label: str = "label"
+) -> Trained:
+    """Fit on one part, measure on the other. The learner and the metrics read
+    their rows repeatedly, so both are kept."""
+    train = spread(train, key).persist(StorageLevel.MEMORY_AND_DISK)
     model = pipeline.fit(train)
     train.unpersist()
     tested = with_score(model.transform(test)).select(label, "prediction", "score").persist(
@@ -62,7 +74,7 @@ def train_forest(
     require(clients, [target, key, *categories, *numbers])
     rows = drop_null(with_label(clients.select(*[quoted(c) for c in (key, target, *categories, *numbers)]), target), "label")
     train, test = hash_split(rows, key)
-    return fit_and_evaluate(train, test, forest_pipeline(categories, numbers, **settings))
+    return fit_and_evaluate(train, test, forest_pipeline(categories, numbers, **settings), key)
 
 
 def save_training(
@@ -95,12 +107,12 @@ def train_light_forest(
     preparation = TablePreparation.fit(source.drop(key), target)
 
     def prepared(part):
-        return preparation.transform_new(part, [target]).withColumnRenamed(target, "label").withColumn(
+        return preparation.transform_new(part, [key, target]).withColumnRenamed(target, "label").withColumn(
             "label", F.col("label").cast("double")
         )
 
     pipeline = light_forest_pipeline(preparation.features, preparation.wide, **settings)
-    trained = fit_and_evaluate(prepared(train), prepared(test), pipeline)
+    trained = fit_and_evaluate(prepared(train), prepared(test), pipeline, key)
     return LightScorer(preparation, trained.model), trained.metrics
 
 
@@ -120,7 +132,7 @@ def train_boosted(
     train, test = median_filled(train, fitted), median_filled(test, fitted)
     train = train.withColumn("held_out", ~in_train(quoted(key), 100 - validation_percent, seed=43))
     test = test.withColumn("held_out", F.lit(False))
-    return fit_and_evaluate(train, test, boosted_pipeline(features, validation="held_out", **settings))
+    return fit_and_evaluate(train, test, boosted_pipeline(features, validation="held_out", **settings), key)
 
 
 def export_features(

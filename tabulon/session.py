@@ -25,6 +25,13 @@ def get_session(app_name: str = "tabulon", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for a shuffle whose rows are few but costly: the configured shuffle
+    partitions, at least one per core. Naming a count keeps AQE from merging
+    partitions that look small by their bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, also used for checkpoints.
 
