@@ -55,7 +55,7 @@ def ordinal_code(value: Column, order: Sequence[str], unknown: str = "error") ->
 
 
 def mapped(value: Column, mapping: Mapping) -> Column:
-    """Replacement text per value; unmapped values become null."""
+    """Replacement per value; unmapped values become null."""
     expr = None
     for key, text in mapping.items():
         expr = F.when(value == key, text) if expr is None else expr.when(value == key, text)

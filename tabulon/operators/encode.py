@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulon.functions.expressions import (
-    AGE_EDGES, AGE_LABELS, DIET_ORDER, ordinal_code, quoted, right_closed_bin,
+    AGE_EDGES, AGE_LABELS, DIET_ORDER, mapped, ordinal_code, quoted, right_closed_bin,
 )
 from tabulon.operators.bounded import join_small, numbered
 from tabulon.operators.columns import drop_null, numeric_columns, text_columns
@@ -287,13 +287,10 @@ def prepared_survey(
     if "dietary_habits" in df.columns:
         rows = ordinal_encoded(rows, "dietary_habits", DIET_ORDER, "dietary_encoded")
     if "age_group" in df.columns:
-        # null may be a coded level too, which a literal position cannot find
-        order = sorted((g for g in age_codes if g is not None), key=age_codes.get)
-        code = F.coalesce(
-            ordinal_code(quoted("age_group"), order, "null"),
-            F.when(quoted("age_group").isNull(), F.lit(age_codes.get(None)).cast("double")),
-        )
-        rows = rows.withColumn("age_group_encoded", code)
+        # null may be a coded level too, which equality would not find
+        known = {g: float(code) for g, code in age_codes.items() if g is not None}
+        absent = F.when(quoted("age_group").isNull(), F.lit(age_codes.get(None)).cast("double"))
+        rows = rows.withColumn("age_group_encoded", F.coalesce(mapped(quoted("age_group"), known), absent))
     texts = [c for c in text_columns(rows) if c not in keep]
     wide = one_hot(rows, texts if levels is None else list(levels), levels)
     return aligned(wide, features, keep)

@@ -46,7 +46,7 @@ def stratified_split(
     """
     digest = key_hash(quoted(key), seed)
     keyed = df.select(quoted(label).alias("y"), digest.alias("h"), quoted(key).alias("k"))
-    keyed = keyed.withColumn("bucket", hash_bucket(F.col("h"), digits))
+    keyed = keyed.withColumn("bucket", F.substring("h", 1, digits))
 
     per_bucket = keyed.groupBy("y", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     of_label = Window.partitionBy("y")
