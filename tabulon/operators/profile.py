@@ -19,23 +19,19 @@ def _stacked(df: DataFrame, rows: Sequence[Column]) -> DataFrame:
     return df.select(F.inline(F.array(*rows)))
 
 
+def _cells(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """(column, value) with a row per cell, values as text."""
+    names = list(columns or df.columns)
+    text = df.select(*[quoted(c).cast("string").alias(c) for c in names])
+    return text.unpivot([], [quoted(c) for c in names], "column", "value")
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, value, count) with values as text and nulls left out, all
-    columns in one job. ``number`` keeps the numeric order of the values."""
-    numeric = set(numeric_columns(df))
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            quoted(c).cast("string").alias("value"),
-            (quoted(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
-        )
-        for c in columns or df.columns
-    ]
+    columns in one job."""
     return (
-        _stacked(df, cells)
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value", "number")
-        .agg(F.count(F.lit(1)).alias("count"))
+        _cells(df, columns).filter("value is not null")
+        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     )
 
 
@@ -45,7 +41,9 @@ def modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     ``mode`` would hold all distinct values of a column in one buffer; the
     counted values are reduced instead.
     """
-    best = F.min(F.struct((-F.col("count")).alias("rank"), "number", "value"))
+    # numbers compare as numbers although they were counted as text
+    number = F.when(F.col("column").isin(*numeric_columns(df)), F.col("value").try_cast("double"))
+    best = F.min(F.struct((-F.col("count")).alias("rank"), number.alias("number"), "value"))
     return (
         value_counts(df, columns).groupBy("column").agg(best.alias("best"))
         .select("column", F.col("best.value").alias("mode"), (-F.col("best.rank")).alias("count"))
@@ -98,17 +96,16 @@ def kind_census(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
     For tables that arrive as text; typed columns are judged by their text.
     """
-    def kind(c):
-        text = quoted(c).cast("string")
-        return (
-            F.when(text.isNull(), "null")
-            .when(text.rlike(r"^[+-]?[0-9]+$"), "int")
-            .when(text.rlike(r"^[+-]?([0-9]+[.][0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), "float")
-            .otherwise("text")
-        )
-
-    cells = [F.struct(F.lit(c).alias("column"), kind(c).alias("kind")) for c in columns or df.columns]
-    return _stacked(df, cells).groupBy("column", "kind").agg(F.count(F.lit(1)).alias("count"))
+    value = F.col("value")
+    kind = (
+        F.when(value.isNull(), "null")
+        .when(value.rlike(r"^[+-]?[0-9]+$"), "int")
+        .when(value.rlike(r"^[+-]?([0-9]+[.][0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), "float")
+        .otherwise("text")
+    )
+    return (
+        _cells(df, columns).groupBy("column", kind.alias("kind")).agg(F.count(F.lit(1)).alias("count"))
+    )
 
 
 def column_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -127,16 +124,18 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """
     names = list(columns or numeric_columns(df))
     numbers = df.select(*[nan_to_null(quoted(c).cast("double")).alias(f"x{i}") for i, c in enumerate(names)])
-    pairs = [
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("a"), F.col(f"x{j}").alias("b"))
-        for i, j in combinations_with_replacement(range(len(names)), 2)
-    ]
+    pairs = list(combinations_with_replacement(range(len(names)), 2))
+    # the DataFrame method unpivots single columns only, SQL also pairs of them
+    wanted = ", ".join(f"(x{i}, x{j}) AS `{n}`" for n, (i, j) in enumerate(pairs))
+    paired = df.sparkSession.sql(
+        f"SELECT * FROM {{numbers}} UNPIVOT ((a, b) FOR pair IN ({wanted}))", numbers=numbers
+    )
     spread = F.stddev_pop("a") * F.stddev_pop("b")
+    pair = F.element_at(F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in pairs]), F.col("pair").cast("int") + 1)
     upper = (
-        _stacked(numbers, pairs)
-        .filter("a is not null and b is not null")
-        .groupBy("i", "j")
+        paired.filter("a is not null and b is not null").groupBy("pair")
         .agg(F.try_divide(F.covar_pop("a", "b"), spread).alias("r"))
+        .select(pair[0].alias("i"), pair[1].alias("j"), "r")
         .withColumn("r", F.when(F.col("i") == F.col("j"), F.when(F.col("r").isNotNull(), 1.0)).otherwise(F.col("r")))
     )
     i, j = F.col("i"), F.col("j")

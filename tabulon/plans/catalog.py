@@ -206,10 +206,6 @@ COLUMNS: dict[str, Query] = {
 
 # --- profiles --------------------------------------------------------------
 
-def value_counts(spark, base_dir):
-    return profile.value_counts(survey(spark, base_dir)).select("column", "value", "count")
-
-
 def describe(spark, base_dir):
     table = students(spark, base_dir).select("id", *SURVEY_NUMBERS)
     return rounded(profile.describe(table), 6, "mean", "std", "q25", "q50", "q75")
@@ -247,7 +243,7 @@ def price_quantiles(spark, base_dir):
 
 
 PROFILES: dict[str, Query] = {
-    "value_counts": value_counts,
+    "value_counts": lambda s, d: profile.value_counts(survey(s, d)),
     "target_balance": lambda s, d: statistics.count_by(students(s, d), "depression"),
     "describe": describe,
     "column_info": lambda s, d: profile.column_info(students(s, d)),
