@@ -19,12 +19,21 @@ def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     A larger table is checkpointed to the shared folder and joined by shuffle,
     with AQE splitting skewed partitions.
     """
-    spark = df.sparkSession
+    kept = df.persist()
+    try:
+        local = _local(kept, max_rows)
+        if local is not None:
+            return F.broadcast(local), True
+        shared_dir(df.sparkSession)
+        return kept.checkpoint(), False
+    finally:
+        kept.unpersist()
+
+
+def _local(df: DataFrame, max_rows: int) -> DataFrame | None:
+    """The table as a local relation, or None when it has more rows."""
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return F.broadcast(spark.createDataFrame(head, df.schema)), True
-    shared_dir(spark)
-    return df.checkpoint(), False
+    return df.sparkSession.createDataFrame(head, df.schema) if head.num_rows <= max_rows else None
 
 
 def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
@@ -47,21 +56,23 @@ def numbered(df: DataFrame, order: Sequence[Column], out: str, max_rows: int = S
     and sorted, its row ids kept in a checkpoint, and each partition shifted by
     the number of rows before it, so no task sees more than its own range.
     """
-    spark = df.sparkSession
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        local = spark.createDataFrame(head, df.schema)
-        return F.broadcast(
-            local.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-        )
-    shared_dir(spark)
-    # an id holds the partition number above bit 33 and the row number below
-    ids = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    kept = df.persist()
+    try:
+        local = _local(kept, max_rows)
+        if local is not None:
+            position = F.row_number().over(Window.orderBy(*order)) - 1
+            return F.broadcast(local.withColumn(out, position.cast("long")))
+        shared_dir(df.sparkSession)
+        # an id holds the partition number above bit 33 and the row number below
+        ids = kept.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    finally:
+        kept.unpersist()
     ids = ids.select("*", F.shiftright("__id", 33).alias("__part"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ids.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
     offsets = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
     row = F.col("__id") - F.shiftleft(F.col("__part"), 33)
+    # the broadcast side has a row per partition of the sorted table
     return (
         ids.join(F.broadcast(offsets), "__part")
         .withColumn(out, F.col("__offset") + row)

@@ -8,6 +8,7 @@ from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tabulon.functions.expressions import quoted
+from tabulon.operators.bounded import pinned
 
 SCORE_RANGES = 1_000
 
@@ -25,6 +26,7 @@ def area_under_roc(df: DataFrame, label: str, score: str, ranges: int = SCORE_RA
     counts = scored.groupBy("score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
+    counts = pinned(counts)
     if counts.isEmpty():
         return df.sparkSession.sql("select cast(null as double) auc, 0L positives, 0L negatives")
     cut = QuantileDiscretizer(numBuckets=ranges, inputCol="score", outputCol="range").fit(counts)

@@ -51,13 +51,13 @@ def modes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, sample deviation, extremes and quartiles per number column."""
-    moments = {
-        "mean": F.avg("value"), "std": F.stddev_samp("value"),
-        "min": F.min("value"), "max": F.max("value"),
-    }
-    return exact_quantiles(df, columns or numeric_columns(df), QUARTILES, also=moments).select(
-        "column", F.col("n").alias("count"), "mean", "std", "min", *QUARTILES, "max"
+    """Count, mean, sample deviation, extremes and quartiles per number column;
+    a column without values has count 0."""
+    names = list(columns or numeric_columns(df))
+    found = exact_quantiles(df, names, QUARTILES, moments=True)
+    wanted = df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    return wanted.join(found, "column", "left").select(
+        "column", F.coalesce("n", F.lit(0)).alias("count"), "mean", "std", "min", *QUARTILES, "max"
     )
 
 

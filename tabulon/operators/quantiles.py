@@ -21,6 +21,10 @@ from tabulon.operators.bounded import join_small, pin
 # 8 / ACCURACY of a column, and a slice of it 1 / SLICES of that.
 ACCURACY = 10_000
 SLICES = 4_096
+# Parts in which the sketches of a column are first brought together.
+SALTS = 128
+
+MOMENTS = ("mean", "std", "min", "max")
 
 
 def long_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -35,44 +39,77 @@ def long_numbers(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     )
 
 
+def _part_moments() -> list[Column]:
+    return [
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    ]
+
+
+def _merged_moments() -> list[Column]:
+    """Moments of a group from those of its parts; ``std`` follows from ``parts``."""
+    return [
+        (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("min").alias("min"), F.max("max").alias("max"),
+        F.collect_list(F.struct("n", "mean", "std")).alias("parts"),
+    ]
+
+
+def _deviation() -> Column:
+    """Sample deviation of a group from at most ``SALTS`` parts: the spread within
+    the parts plus that of their means, which stays accurate for large means."""
+    def add(total, part):
+        return total + part["n"] * (part["std"] ** 2 + (part["mean"] - F.col("mean")) ** 2)
+
+    squares = F.aggregate("parts", F.lit(0.0), add)
+    return F.sqrt(F.try_divide(squares, F.col("n") - 1))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Mapping[str, float],
     by: Sequence[str] = (),
-    also: Mapping[str, Column] | None = None,
+    moments: bool = False,
     accuracy: int = ACCURACY,
     slices: int = SLICES,
 ) -> DataFrame:
-    """One row per (by, column): ``n``, a column per named probability, and any
-    further aggregates of ``value`` given in ``also``.
+    """One row per (by, column): ``n``, a column per named probability and, with
+    ``moments``, also ``mean``, ``std``, ``min`` and ``max``.
 
     Groups of at most ``accuracy`` rows skip the bracket and are counted whole.
     """
     numbers = long_numbers(df, columns, by)
-    keys, names, extra = [*by, "column"], list(probabilities), list(also or {})
+    keys, names, extra = [*by, "column"], list(probabilities), list(MOMENTS) if moments else []
     shares = [float(probabilities[n]) for n in names]
     each = range(len(shares))
 
     # First pass: the bracket of every wanted rank. The sketch is off by at most
     # n / accuracy ranks, so four times that on both sides is certain to hold it.
+    # Sketches of all tasks would meet in one reducer per column, so they meet in
+    # salted parts first: at most p * n_s rows of a part lie below its own lower
+    # edge, hence at most p * n rows of the group below the least of these edges.
     slack = 4.0 / accuracy
     asked = [max(p - slack, 0.0) for p in shares] + [min(p + slack, 1.0) for p in shares]
-    sketch = numbers.groupBy(*keys).agg(
+    parts = numbers.withColumn("part", F.spark_partition_id() % SALTS).groupBy(*keys, "part").agg(
         F.count(F.lit(1)).alias("n"),
         F.percentile_approx("value", asked, accuracy).alias("edges"),
-        *[expr.alias(name) for name, expr in (also or {}).items()],
+        *(_part_moments() if moments else []),
+    )
+    sketch = parts.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        *[F.min(F.col("edges")[i]).alias(f"lo{i}") for i in each],
+        *[F.max(F.col("edges")[len(shares) + i]).alias(f"hi{i}") for i in each],
+        *(_merged_moments() if moments else []),
     )
+    if moments:
+        sketch = sketch.withColumn("std", _deviation())
     large = F.col("n") > accuracy
-
-    def edge(i, otherwise):
-        return F.when(large, F.col("edges")[i]).otherwise(float(otherwise))
-
     brackets, small = pin(
         sketch.select(
             *keys, "n", *extra,
-            *[edge(i, "-inf").alias(f"lo{i}") for i in each],
-            *[edge(len(shares) + i, "inf").alias(f"hi{i}") for i in each],
+            *[F.when(large, F.col(f"lo{i}")).otherwise(float("-inf")).alias(f"lo{i}") for i in each],
+            *[F.when(large, F.col(f"hi{i}")).otherwise(float("inf")).alias(f"hi{i}") for i in each],
         )
     )
 
