@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabulon.operators.bounded import numbered
+
 # The columns a page of clients shows, in order.
 PAGE_COLUMNS = [
     "estado", "faixa_etaria", "sexo", "escolaridade", "renda", "gp_renda",
@@ -11,6 +13,9 @@ PAGE_COLUMNS = [
     "usa_ebanking", "usa_app_banco",
 ]
 
+# A page that ends beyond this row is cut from numbered rows.
+DEEP_PAGE = 100_000
+
 TOTALS = ["total", "aderiu", "nao_aderiu", "taxa_adesao"]
 
 
@@ -137,13 +142,21 @@ def statistics_record(
     )
 
 
-def page(df: DataFrame, key: str, limit: int = 1000, offset: int = 0) -> DataFrame:
+def page(
+    df: DataFrame, key: str, limit: int = 1000, offset: int = 0, deep: int = DEEP_PAGE
+) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` in key order.
 
-    Each task keeps its own ``offset + limit`` smallest rows, so this suits the
-    first pages; :func:`page_after` costs the same at any depth.
+    For the first pages each task keeps its ``offset + limit`` smallest rows and
+    the driver merges them. Beyond ``deep`` rows that would be too many, so the
+    rows are sorted and numbered by the cluster instead. :func:`page_after`
+    costs the same at any depth.
     """
-    return df.orderBy(key).offset(offset).limit(limit)
+    if offset + limit <= deep:
+        return df.orderBy(key).offset(offset).limit(limit)
+    position = F.col("__position")
+    rows = numbered(df, [F.asc(key)], "__position")
+    return rows.filter((position >= offset) & (position < offset + limit)).drop("__position").orderBy(key)
 
 
 def page_after(df: DataFrame, key: str, last_key, limit: int = 1000) -> DataFrame:

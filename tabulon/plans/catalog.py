@@ -477,9 +477,14 @@ def score_raw_records(spark, base_dir):
 
 
 def score_payloads(spark, base_dir):
+    """Untyped JSON objects typed by the feature list, then the lighter model."""
     path, _ = light_model(spark, base_dir)
     table = clients(spark, base_dir).select("client_id", *LIGHT_COLUMNS)
-    return LightScorer.load(spark, path).score_table(table, ["client_id"])
+    kinds = {c: kind for c, kind in table.dtypes if c in LIGHT_COLUMNS}
+    payloads = table.select(
+        "client_id", F.from_json(F.to_json(F.struct(*LIGHT_COLUMNS)), "map<string, string>").alias("payload")
+    )
+    return LightScorer.load(spark, path).score_table(typed_payload(payloads, "payload", kinds), ["client_id"])
 
 
 def chosen_scorer(spark, base_dir):

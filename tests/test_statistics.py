@@ -61,6 +61,9 @@ def test_pages_cover_every_row_once(clients):
     for offset in range(0, 8, 4):
         seen += [r.client_id for r in statistics.page(clients, "client_id", 4, offset).collect()]
     assert seen == [1, 2, 3, 4, 5, 6]
+    for offset in (0, 3, 5, 9):
+        near = statistics.page(clients, "client_id", 2, offset).collect()
+        assert statistics.page(clients, "client_id", 2, offset, deep=0).collect() == near
     assert [r.client_id for r in statistics.page_after(clients, "client_id", 4, 10).collect()] == [5, 6]
 
 
