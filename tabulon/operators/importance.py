@@ -14,6 +14,7 @@ from tabulon.operators.learners import feature_names, tree_stage
 from tabulon.session import task_count
 
 ROWS_PER_BUCKET = 100_000
+ROWS_PER_TASK = 5_000
 
 
 def global_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -65,7 +66,7 @@ def permutation_importance(
         "*",
         F.pmod(F.xxhash64(F.lit(seed), repeat, "key"), F.lit(buckets)).alias("bucket"),
         F.xxhash64("key", repeat, F.lit(seed + 1)).alias("turn"),
-    ).repartition(task_count(df.sparkSession), "repeat", "bucket")
+    ).repartition(task_count(df.sparkSession, base["n"] * repeats, ROWS_PER_TASK), "repeat", "bucket")
     ring = Window.partitionBy("repeat", "bucket").orderBy("turn", "key")
     partner = F.coalesce(
         F.lead(F.struct(*own)).over(ring),

@@ -26,6 +26,9 @@ from tabulon.sources.models import load_model, model_exists, save_model, write_m
 from tabulon.sources.tables import write_csv
 
 
+ROWS_PER_TASK = 20_000
+
+
 @dataclass
 class Trained:
     model: PipelineModel
@@ -43,7 +46,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     spread pays off, and the same rows in the same places make its seeded
     sampling repeatable.
     """
-    return df.repartition(task_count(df.sparkSession), key).sortWithinPartitions(key)
+    tasks = task_count(df.sparkSession, df.count(), ROWS_PER_TASK)
+    return df.repartition(tasks, key).sortWithinPartitions(key)
 
 
 def fit_and_evaluate(

@@ -25,11 +25,13 @@ def get_session(app_name: str = "tabulon", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def task_count(spark: SparkSession) -> int:
-    """Tasks for a shuffle whose rows are few but costly: the configured shuffle
-    partitions, at least one per core. Naming a count keeps AQE from merging
-    partitions that look small by their bytes."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+def task_count(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """Tasks for a shuffle whose rows are few by bytes but costly to work on: one
+    per core, and up to the configured shuffle partitions for many rows. Naming
+    a count keeps AQE from merging such partitions."""
+    cores = spark.sparkContext.defaultParallelism
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+    return min(max(cores, -(-rows // rows_per_task)), most)
 
 
 def shared_dir(spark: SparkSession) -> str:

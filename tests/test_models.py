@@ -111,7 +111,7 @@ def test_report_of_a_class_never_predicted(spark):
 
 # --- training and explanation ----------------------------------------------
 
-def test_default_forest_settings():
+def test_default_forest_settings(spark):
     stage = forest_pipeline().getStages()[-1]
     assert (stage.getNumTrees(), stage.getMaxDepth(), stage.getMaxBins(), stage.getSeed()) == (300, 10, 200, 42)
     assert FOREST["numTrees"] == 300
