@@ -18,7 +18,6 @@ import types
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -174,7 +173,7 @@ def packed(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     schema = StructType([StructField(id_col, cut.schema["doc"].dataType), *cut.schema.fields[1:5],
                          StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
-    def pack(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def pack(key, frame):
         order = ["length", "doc", "piece", "ids_crc32"]
         frame = frame.sort_values(order, ascending=[False, True, True, True], kind="stable")
         sequence, offset = place(frame["length"].to_numpy(), capacity)
