@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import packing
+from tabulon.llm import mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +25,14 @@ def op1_packing(spark: SparkSession, base_dir: str) -> DataFrame:
     return packing.packed(table(spark, base_dir, "documents"), tokenizer_path())
 
 
+def op10_mixing(spark: SparkSession, base_dir: str) -> DataFrame:
+    return mixing.mix_counts(table(spark, base_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op10_mixing": op10_mixing,
     }
 
 
