@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import mixing, packing
+from tabulon.llm import mixing, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op1_packing(spark: SparkSession, base_dir: str) -> DataFrame:
     return packing.packed(table(spark, base_dir, "documents"), tokenizer_path())
 
 
+def op8_simhash(spark: SparkSession, base_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, base_dir, "documents"))
+    return found.select("doc_id", simhash.hexed(), "component_id")
+
+
 def op10_mixing(spark: SparkSession, base_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, base_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_mixing(spark: SparkSession, base_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
     }
 
