@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import mixing, packing, simhash
+from tabulon.llm import mixing, packing, pii, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,19 @@ def op1_packing(spark: SparkSession, base_dir: str) -> DataFrame:
     return packing.packed(table(spark, base_dir, "documents"), tokenizer_path())
 
 
+def op5_secrets(spark: SparkSession, base_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, base_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, base_dir: str) -> DataFrame:
+    rows, _ = quality.judged(table(spark, base_dir, "documents"))
+    return rows.select("doc_id", *quality.FEATURES, "base_failed", "kept", "removed_words")
+
+
+def op9_pii(spark: SparkSession, base_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, base_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, base_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, base_dir, "documents"))
     return found.select("doc_id", simhash.hexed(), "component_id")
@@ -37,6 +50,9 @@ def op10_mixing(spark: SparkSession, base_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op5_secrets": op5_secrets,
+        "op6_quality": op6_quality,
+        "op9_pii": op9_pii,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
     }
