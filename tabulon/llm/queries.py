@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import mixing, packing, pii, quality, secrets, simhash
+from tabulon.llm import hmm, mixing, packing, pii, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op6_quality(spark: SparkSession, base_dir: str) -> DataFrame:
     return rows.select("doc_id", *quality.FEATURES, "base_failed", "kept", "removed_words")
 
 
+def op7_hmm(spark: SparkSession, base_dir: str) -> DataFrame:
+    return hmm.scored(table(spark, base_dir, "documents"), ~hmm.held_out("doc_id"))
+
+
 def op9_pii(spark: SparkSession, base_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, base_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Query]:
         "op1_packing": op1_packing,
         "op5_secrets": op5_secrets,
         "op6_quality": op6_quality,
+        "op7_hmm": op7_hmm,
         "op9_pii": op9_pii,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
