@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulon.llm import hmm, mixing, packing, pii, quality, secrets, simhash
+from tabulon.llm import hmm, mixing, packing, pii, quality, secrets, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op1_packing(spark: SparkSession, base_dir: str) -> DataFrame:
     return packing.packed(table(spark, base_dir, "documents"), tokenizer_path())
 
 
+def op3_urls(spark: SparkSession, base_dir: str) -> DataFrame:
+    pages, labels = table(spark, base_dir, "pages"), table(spark, base_dir, "labels")
+    return urls.judged(pages, urls.labelled_by_document(pages, labels))
+
+
 def op5_secrets(spark: SparkSession, base_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, base_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_mixing(spark: SparkSession, base_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op3_urls": op3_urls,
         "op5_secrets": op5_secrets,
         "op6_quality": op6_quality,
         "op7_hmm": op7_hmm,
