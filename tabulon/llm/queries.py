@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import hmm, mixing, packing, pii, quality, secrets, simhash, urls
+from tabulon.llm import hmm, html, mixing, packing, pii, quality, secrets, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,11 @@ def op3_urls(spark: SparkSession, base_dir: str) -> DataFrame:
     return urls.judged(pages, urls.labelled_by_document(pages, labels))
 
 
+def op4_html(spark: SparkSession, base_dir: str) -> DataFrame:
+    pages = table(spark, base_dir, "pages")
+    return html.extracted(pages, table(spark, base_dir, "documents"), urls.document_number(F.col("url")))
+
+
 def op5_secrets(spark: SparkSession, base_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, base_dir, "documents"))
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op3_urls": op3_urls,
+        "op4_html": op4_html,
         "op5_secrets": op5_secrets,
         "op6_quality": op6_quality,
         "op7_hmm": op7_hmm,

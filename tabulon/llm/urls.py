@@ -121,10 +121,15 @@ def judged(df: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col:
     )
 
 
+def document_number(url: Column) -> Column:
+    """The number that a URL's path ends in, with or without a suffix or a slash; else null."""
+    number = F.regexp_extract(path(url), r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1)
+    return F.when(number != "", number).cast("long")
+
+
 def labelled_by_document(pages: DataFrame, labels: DataFrame, url_col: str = "url") -> DataFrame:
     """url and blocked of the pages whose path ends in the number of a labelled document;
     a toxic document's URL counts as blocked."""
-    number = F.regexp_extract(path(F.col(url_col)), r"/([0-9]{1,18})(?:\.[A-Za-z]+)?/?$", 1)
-    numbered = pages.select(F.col(url_col).alias("url"), F.when(number != "", number).cast("long").alias("doc"))
+    numbered = pages.select(F.col(url_col).alias("url"), document_number(F.col(url_col)).alias("doc"))
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("blocked"))
     return numbered.join(marks, F.col("doc") == F.col("doc_id")).select("url", "blocked")
