@@ -276,14 +276,19 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def main_text(page: str | None, odds) -> str:
-    nodes = parse(page or "")
-    if not nodes[0].chars:
-        return ""
-    features = node_features(nodes)
-    chosen = decode(nodes, odds(features))
-    runs = sorted(run for node, keep in zip(nodes, chosen) if keep for run in node.runs)
-    return " ".join(text for _, text in runs)
+def main_texts(pages: list[str | None], odds) -> list[str]:
+    """The main text of each page; the trees see the nodes of all pages at once."""
+    parsed = [parse(page or "") for page in pages]
+    parsed = [nodes if nodes[0].chars else [] for nodes in parsed]
+    features = [node_features(nodes) for nodes in parsed if nodes]
+    every = odds(np.concatenate(features)) if features else np.empty(0)
+    texts, at = [], 0
+    for nodes in parsed:
+        chosen = decode(nodes, every[at : at + len(nodes)]) if nodes else ()
+        at += len(nodes)
+        runs = sorted(run for node, keep in zip(nodes, chosen) if keep for run in node.runs)
+        texts.append(" ".join(text for _, text in runs))
+    return texts
 
 
 def run_labels(nodes: list[Node], document: str | None) -> list[tuple[Node, str, bool]]:
@@ -404,7 +409,7 @@ def extracted(pages: DataFrame, documents: DataFrame | None, document_number: Co
 
     def run(batches):
         for part in slices(batches):
-            texts = [main_text(page, odds) for page in part.column(2).to_pylist()]
+            texts = main_texts(part.column(2).to_pylist(), odds)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 [id_col, url_col, "text", "n_chars"])

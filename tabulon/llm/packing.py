@@ -32,6 +32,13 @@ KEPT_WORDS = 500_000
 MARKS = ".,;:!?#$%&*()[]{}+=/|<>~^@\"-"
 
 
+def default_tokenizer() -> str:
+    """Where the vocabulary file is; every executor has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def worker_memory(name: str) -> dict:
     """A dict that lives as long as the Python worker, over all its tasks."""
     module = sys.modules.setdefault("tabulon_worker_memory", types.ModuleType("tabulon_worker_memory"))

@@ -207,18 +207,20 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def masked(df: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """All rows and columns with personal data in the text replaced; ``length_col``, if
-    given, gets the new number of code points."""
+    given, gets the new number of code points where the text changes."""
     names = df.columns
 
     def run(batches):
         find = Finder()
         for part in slices(batches):
-            texts = [masked_text(t, find(t)) for t in part.column(names.index(text_col)).to_pylist()]
+            before = part.column(names.index(text_col)).to_pylist()
+            texts = [masked_text(t, find(t)) for t in before]
             columns = list(part.columns)
             columns[names.index(text_col)] = pa.array(texts, pa.string())
             if length_col:
-                lengths = [None if t is None else len(t) for t in texts]
-                columns[names.index(length_col)] = pa.array(lengths, part.schema.field(names.index(length_col)).type)
+                old = part.column(names.index(length_col))
+                lengths = [n if t == b else len(t) for n, t, b in zip(old.to_pylist(), texts, before)]
+                columns[names.index(length_col)] = pa.array(lengths, old.type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return df.mapInArrow(run, df.schema)

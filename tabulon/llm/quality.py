@@ -202,8 +202,9 @@ def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
             columns = list(part.columns)[: len(names)]
             columns[names.index(text_col)] = pa.array([t for _, t in got], pa.string())
             if length_col:
-                kind = part.schema.field(names.index(length_col)).type
-                columns[names.index(length_col)] = pa.array([None if t is None else len(t) for _, t in got], kind)
+                old = columns[names.index(length_col)]
+                lengths = [n if t == b else len(t) for n, (_, t), b in zip(old.to_pylist(), got, texts)]
+                columns[names.index(length_col)] = pa.array(lengths, old.type)
             yield pa.RecordBatch.from_arrays(columns, names).filter(stay)
 
     if frequent.count() * 64 <= BROADCAST_BYTES:

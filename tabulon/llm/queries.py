@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabulon.llm import hmm, html, mixing, packing, pii, quality, secrets, simhash, urls
+import corpus_pipeline
+from tabulon.llm import ann, hmm, html, mixing, packing, pii, quality, secrets, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +16,12 @@ def table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+def op1_packing(spark: SparkSession, base_dir: str) -> DataFrame:
+    return packing.packed(table(spark, base_dir, "documents"), packing.default_tokenizer())
 
 
-def op1_packing(spark: SparkSession, base_dir: str) -> DataFrame:
-    return packing.packed(table(spark, base_dir, "documents"), tokenizer_path())
+def op2_ann(spark: SparkSession, base_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, base_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
 def op3_urls(spark: SparkSession, base_dir: str) -> DataFrame:
@@ -61,9 +60,14 @@ def op10_mixing(spark: SparkSession, base_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, base_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, base_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, base_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op2_ann": op2_ann,
         "op3_urls": op3_urls,
         "op4_html": op4_html,
         "op5_secrets": op5_secrets,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op9_pii": op9_pii,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
+        "pipeline": pipeline,
     }
 
 

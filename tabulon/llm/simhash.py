@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabulon.llm.common import kept, lower_words, slices
+from tabulon.llm.common import kept, lower_words, slices, small_or_plain
 
 SEED = 42
 WORDS = 3
@@ -58,14 +58,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                  seed: int = SEED) -> DataFrame:
-    """doc and fp (the 64 bits as a signed long) of every row."""
+    """doc, text_key (a hash of the text) and fp (the 64 bits as a signed long) of every row."""
     def run(batches):
         for part in slices(batches):
-            values = np.array([fingerprint(t, words, seed) for t in part.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64))], ["doc", "fp"])
+            values = np.array([fingerprint(t, words, seed) for t in part.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(values.view(np.int64))], ["doc", "text_key", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"doc {kind}, fp long")
+    rows = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc {kind}, text_key long, fp long")
 
 
 def distances(points: np.ndarray, to) -> np.ndarray:
@@ -216,17 +217,45 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     bits: int = BITS, seed: int = SEED, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """id, fp and component_id (the smallest id linked directly or through others) of every row."""
+    """id, text_key, fp, group (one of its fingerprints) and component_id (the smallest id
+    linked directly or through others) of every row."""
     prints = kept(fingerprints(df, id_col, text_col, words, seed))
     distinct = kept(prints.groupBy("fp").agg(F.min("doc").alias("first")))
     joined = components(shard_edges(distinct.select("fp"), bits, shard_rows))
     rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    # only fingerprints whose smallest id is another's need the second step
-    named = rooted.join(smallest, "root").select(F.col("fp").alias("named_fp"), "component_id")
+        "fp", "first", F.coalesce("root", "fp").alias("group"))
+    smallest = rooted.groupBy("group").agg(F.min("first").alias("component_id"))
+    named = rooted.join(smallest, "group").select(F.col("fp").alias("named_fp"), "group", "component_id")
     return prints.join(named, prints["fp"] == named["named_fp"]).select(
-        F.col("doc").alias(id_col), "fp", "component_id")
+        F.col("doc").alias(id_col), "text_key", "fp", "group", "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bits: int = BITS,
+                seed: int = SEED, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row of each group, with all its columns: the one with the smallest id, null last,
+    then the smallest hash of its text; of rows with equal id and text, any one.
+
+    Only the ids that go are joined to the texts, by broadcast if they are few enough.
+    """
+    found = kept(near_duplicates(df, id_col, text_col, words, bits, seed, shard_rows).select(
+        F.col(id_col).alias("doc"), "text_key", "group"))
+    place = F.struct(F.col("doc").isNull(), "doc", "text_key")
+    keys = found.groupBy("doc", "text_key", "group").agg(F.count(F.lit(1)).alias("rows"))
+    first = found.groupBy("group").agg(F.min(place).alias("first"))
+    judged = kept(keys.join(first, "group").withColumn("stays", place == F.col("first")))
+    text_key = F.xxhash64(text_col)
+
+    def same(keys_df: DataFrame):
+        keys_df = keys_df.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__key"))
+        return small_or_plain(kept(keys_df), 24), F.col(id_col).eqNullSafe(F.col("__doc")) & (text_key == F.col("__key"))
+
+    stay = df.join(*same(judged.where("not stays")), "left_anti")
+    repeated = judged.where("stays and rows > 1")
+    if repeated.isEmpty():
+        return stay
+    again = same(repeated)
+    once = stay.join(*again, "left_semi").withColumn("__text", text_key).dropDuplicates([id_col, "__text"]).drop("__text")
+    return stay.join(*again, "left_anti").unionByName(once)
 
 
 def hexed(fp: str = "fp"):
