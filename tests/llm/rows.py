@@ -1,12 +1,15 @@
 """Awkward documents that every operator must stand."""
 
-from pyspark.sql import functions as F
+import random
 
-SENTENCE = "The quick brown fox number {} jumps over lazy dogs while others watch quietly from hills."
+from pyspark.sql import functions as F
 
 
-def text(seed: int, sentences: int = 8) -> str:
-    return "\n".join(SENTENCE.format(f"n{seed}x{i} w{seed * 31 + i}") for i in range(sentences))
+def text(seed: int, lines: int = 8) -> str:
+    """Lines of twelve invented words."""
+    choose = random.Random(seed)
+    word = lambda: "".join(choose.choice("abdeghiklmnorstu") for _ in range(choose.randint(2, 9)))
+    return "\n".join(" ".join(word() for _ in range(12)) for _ in range(lines))
 
 
 def awkward(spark):
