@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.functions.expressions import quoted
 
@@ -61,16 +61,39 @@ def to_request_names(df: DataFrame) -> DataFrame:
 
 def _first_given(df: DataFrame, request: str, stored: str) -> Column:
     """Request spelling, or the stored one where the first is null or empty."""
-    first = quoted(request) if request in df.columns else None
-    second = quoted(stored) if stored in df.columns and stored != request else None
-    if first is None and second is None:
-        return F.lit(None)
-    if second is None or first is None:
-        return second if first is None else first
-    return F.coalesce(F.nullif(first, F.lit("")), second)
+    kinds = dict(df.dtypes)
 
+    def given(name: str) -> Column:
+        return F.nullif(quoted(name), F.lit("")) if kinds[name] == "string" else quoted(name)
 
-def to_table_names(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The twenty model inputs under table names, from either spelling."""
+    found = [given(n) for n in dict.fromkeys((request, stored)) if n in kinds]
+    return F.coalesce(*found) if found else F.lit(None)
+
+
+def to_table_names(df: DataFrame, keep: tuple[str, ...] = (), others: bool = False) -> DataFrame:
+    """The twenty model inputs under table names, from either spelling; with
+    ``others``, every column that is no spelling of an input stays too."""
     inputs = [_first_given(df, asked, kept).alias(table) for asked, (kept, table) in NAMES.items()]
-    return df.select(*[quoted(c) for c in keep], *inputs)
+    spelled = {n for asked, (kept, table) in NAMES.items() for n in (asked, kept, table)}
+    more = [c for c in df.columns if c not in spelled and c not in keep] if others else []
+    return df.select(*[quoted(c) for c in (*keep, *more)], *inputs)
+
+
+# Stored columns that are no model inputs -> table columns.
+OTHER_NAMES = {"Renda": "renda", "Gp gasto mensal": "gp_gasto_mensal", "Adesao_ao_OPF": "adesao"}
+
+
+def from_stored_names(df: DataFrame, key: str = "client_id") -> DataFrame:
+    """A table in its stored spelling under table names, other columns unchanged.
+
+    Without a column ``key``, one is made from the row's content: equal rows are
+    numbered, so that every row has its own key, the same on every run.
+    """
+    table = {stored: name for stored, name in NAMES.values()} | OTHER_NAMES
+    named = df.select(*[quoted(c).alias(table.get(c, c)) for c in df.columns])
+    if key in named.columns:
+        return named
+    content = F.md5(F.to_json(F.struct(*[quoted(c) for c in named.columns]), {"ignoreNullFields": "false"}))
+    place = F.row_number().over(Window.partitionBy("__content").orderBy("__content"))
+    marked = named.withColumn("__content", content)
+    return marked.select(F.concat_ws("-", "__content", place).alias(key), *[quoted(c) for c in named.columns])

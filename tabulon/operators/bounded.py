@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tabulon.session import shared_dir
 
 SMALL_ROWS = 50_000
+SMALL_BYTES = 16 << 20
+FIXED_WIDTH = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
 
 
 def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Compute a fitted table once so that every later use sees the same rows,
     and tell whether it is small.
 
-    At most ``max_rows`` rows become a local relation with a broadcast hint.
+    At most ``max_rows`` rows of few bytes become a local relation with a broadcast hint.
     A larger table is checkpointed to the shared folder and joined by shuffle,
     with AQE splitting skewed partitions.
     """
@@ -30,10 +32,19 @@ def pin(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
         kept.unpersist()
 
 
-def _local(df: DataFrame, max_rows: int) -> DataFrame | None:
-    """The table as a local relation, or None when it has more rows."""
-    head = df.limit(max_rows + 1).toArrow()
-    return df.sparkSession.createDataFrame(head, df.schema) if head.num_rows <= max_rows else None
+def _local(df: DataFrame, max_rows: int, max_bytes: int = SMALL_BYTES) -> DataFrame | None:
+    """The table, kept in memory by its caller, as a local relation; None when it
+    has more rows or bytes. Both are summed up first, so only a small table is fetched."""
+    size = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        fixed = kind in FIXED_WIDTH or kind.startswith("decimal")
+        text = column if kind in ("string", "binary") else F.to_json(F.struct(column))
+        size = size + (F.lit(16) if fixed else F.coalesce(F.octet_length(text), F.lit(0)))
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if rows > max_rows or total > max_bytes:
+        return None
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
 
 
 def pinned(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:

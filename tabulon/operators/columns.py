@@ -82,9 +82,9 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def _integer(value: Column) -> Column:
-    """Whole number from text such as ``1`` or ``1.0``; null otherwise."""
-    number = value.try_cast("double")
-    return F.when(number == F.floor(number), number.try_cast("int"))
+    """Whole number from plain digits such as ``1``, ``-2`` or ``1.0``; null otherwise."""
+    text = F.trim(value.cast("string"))
+    return F.when(text.rlike(r"^[+-]?[0-9]+(\.0+)?$"), F.regexp_extract(text, r"^[+-]?[0-9]+", 0).try_cast("int"))
 
 
 def validated(df: DataFrame, fields: Mapping[str, str] | None = None) -> DataFrame:

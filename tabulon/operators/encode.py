@@ -18,10 +18,6 @@ from tabulon.operators.bounded import join_small, numbered
 from tabulon.operators.columns import drop_null, numeric_columns, text_columns
 from tabulon.operators.quantiles import medians
 
-# A level becomes a column only up to this many; beyond it the encoding is a
-# sparse vector, which holds any number of levels.
-MAX_WIDE_LEVELS = 1_000
-
 
 def age_group(df: DataFrame, column: str = "age", out: str = "age_group") -> DataFrame:
     return df.withColumn(out, right_closed_bin(quoted(column), AGE_EDGES, AGE_LABELS))
@@ -84,36 +80,19 @@ def ordinal_encoded(
 
 # --- one-hot ---------------------------------------------------------------
 
-def split_by_levels(
-    df: DataFrame, columns: Sequence[str], max_levels: int = MAX_WIDE_LEVELS
-) -> tuple[list[str], list[str]]:
-    """The columns with few enough levels to become a column each, and the rest."""
-    if not columns:
-        return [], []
-    sizes = df.agg(*[F.approx_count_distinct(quoted(c), 0.02) for c in columns]).first()
-    narrow = [c for c, size in zip(columns, sizes) if size <= max_levels]
-    return narrow, [c for c in columns if c not in narrow]
-
-
-def fit_levels(
-    df: DataFrame, columns: Sequence[str], max_levels: int = MAX_WIDE_LEVELS
-) -> dict[str, list[str]]:
+def fit_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted non-null levels per column, found in one job.
 
-    Raises when the columns hold more than ``max_levels`` on average:
-    :func:`split_by_levels` tells such columns apart, and
-    :func:`one_hot_vector` encodes them.
+    Each level is going to be a column, so the driver holds their names; for
+    columns with more levels than a table can have columns, declare the vector
+    form (:func:`one_hot_vector`).
     """
     if not columns:
         return {}
     cells = [F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("level")) for c in columns]
     distinct = df.select(F.inline(F.array(*cells))).filter("level is not null").distinct()
-    bound = max_levels * len(columns)
-    rows = distinct.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError("too many levels for a column each; use one_hot_vector")
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for row in rows:
+    for row in distinct.collect():
         found[row["column"]].append(row["level"])
     return {c: sorted(levels) for c, levels in found.items()}
 
@@ -142,9 +121,11 @@ def one_hot_text(df: DataFrame, levels: Mapping[str, Sequence[str]] | None = Non
 
 
 def one_hot_vector(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sparse vector ``column_onehot`` per column, for any number of levels.
+    """Sparse vector ``column_onehot`` per column.
 
-    Positions follow the sorted levels; null and unseen values are all zero.
+    Positions follow the sorted levels; null and unseen values are all zero. The
+    fitted indexer holds a column's levels on the driver; :func:`frequency_coded`
+    codes columns whose levels don't fit there.
     """
     fitted = Pipeline(stages=one_hot_stages(columns)).fit(df)
     return fitted.transform(df).drop(*[f"{c}_code" for c in columns])
@@ -172,7 +153,7 @@ def aligned(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) ->
 
 
 def unmatched_features(df: DataFrame, features: Sequence[str]) -> list[str]:
-    """Training features the table lacks, which alignment sets to 0."""
+    """Training features, or columns behind them, that the table lacks."""
     return [f for f in features if f not in set(df.columns)]
 
 
@@ -201,19 +182,20 @@ class TablePreparation:
     """Fitted state of the lighter model's preparation: drop rows without a
     target, one-hot the text columns, fill numbers with their median.
 
-    Text columns with too many levels (``wide``) stay as they are, for the
-    pipeline to encode as sparse vectors.
+    Every text column is encoded in the form declared for it: those in ``vectors``
+    stay as they are, for the pipeline to encode as sparse vectors, the others
+    become a column per level. Nothing depends on how many levels there are.
     """
 
     target: str
     levels: dict[str, list[str]] = field(default_factory=dict)
-    wide: list[str] = field(default_factory=list)
+    vectors: list[str] = field(default_factory=list)
     medians: dict[str, float] = field(default_factory=dict)
     features: list[str] = field(default_factory=list)
     drop_first: bool = True
 
     STATE: ClassVar[str] = (
-        "target string, levels map<string, array<string>>, wide array<string>, "
+        "target string, levels map<string, array<string>>, vectors array<string>, "
         "medians map<string, double>, drop_first boolean"
     )
 
@@ -224,19 +206,18 @@ class TablePreparation:
         target: str,
         keys: Sequence[str] = (),
         drop_first: bool = True,
-        max_levels: int = MAX_WIDE_LEVELS,
+        vectors: Sequence[str] = (),
     ) -> TablePreparation:
         """Levels and medians of the rows that have a target. Key columns pass
         through :meth:`transform` unchanged and are no features."""
         rows = drop_null(df, target)
-        apart = {target, *keys}
+        apart = {target, *keys, *vectors}
         texts = [c for c in text_columns(rows) if c not in apart]
         numbers = [c for c in numeric_columns(rows) if c not in apart]
-        narrow, wide = split_by_levels(rows, texts, max_levels)
         fitted = cls(
-            target, fit_levels(rows, narrow, max_levels), wide, fit_medians(rows, numbers), [], drop_first
+            target, fit_levels(rows, texts), list(vectors), fit_medians(rows, numbers), [], drop_first
         )
-        fitted.features = [c for c in fitted.transform(rows).columns if c not in {*apart, *wide}]
+        fitted.features = [c for c in fitted.transform(rows).columns if c not in apart]
         return fitted
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -244,12 +225,18 @@ class TablePreparation:
         return median_filled(one_hot(rows, list(self.levels), self.levels, self.drop_first), self.medians)
 
     def transform_new(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """New rows, with or without a target, as aligned training features."""
+        """New rows, with or without a target, as aligned training features. A
+        number that is missing, or whose column is, takes the training median."""
         known = [c for c in self.levels if c in df.columns]
-        filled = median_filled(one_hot(df, known, self.levels), self.medians)
-        absent = [c for c in self.wide if c not in df.columns]
-        filled = filled.withColumns({c: F.lit(None).cast("string") for c in absent})
-        return aligned(filled, self.features, [*keep, *self.wide])
+        absent = {c: F.lit(None).cast("double") for c in self.medians if c not in df.columns}
+        absent |= {c: F.lit(None).cast("string") for c in self.vectors if c not in df.columns}
+        filled = median_filled(one_hot(df.withColumns(absent), known, self.levels), self.medians)
+        return aligned(filled, self.features, [*keep, *self.vectors])
+
+    def unmatched(self, df: DataFrame) -> list[str]:
+        """Columns of the training table that new rows lack: their indicators are
+        0, their numbers the median."""
+        return unmatched_features(df, [*self.levels, *self.vectors, *self.medians])
 
     def save(self, spark: SparkSession, path: str) -> None:
         save_feature_list(spark, self.features, f"{path}/features")

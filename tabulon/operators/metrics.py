@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import QuantileDiscretizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabulon.functions.expressions import quoted
 from tabulon.operators.bounded import pinned
@@ -14,7 +14,8 @@ SCORE_RANGES = 1_000
 
 
 def area_under_roc(df: DataFrame, label: str, score: str, ranges: int = SCORE_RANGES) -> DataFrame:
-    """Exact area under the ROC curve, tied scores counted half.
+    """Exact area under the ROC curve, tied scores counted half; rows without a
+    label or with a score that is no number are left out.
 
     Labels are counted per distinct score. The scores are cut into ranges of
     similar size, pairs are counted within each range by its own task, and only
@@ -22,7 +23,7 @@ def area_under_roc(df: DataFrame, label: str, score: str, ranges: int = SCORE_RA
     """
     scored = df.select(
         quoted(score).cast("double").alias("score"), (quoted(label) == 1).alias("positive")
-    ).filter("score is not null and positive is not null")
+    ).filter("score is not null and not isnan(score) and positive is not null")
     counts = scored.groupBy("score").agg(
         F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
@@ -48,35 +49,52 @@ def area_under_roc(df: DataFrame, label: str, score: str, ranges: int = SCORE_RA
 
 
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """Share of hits among the rows that have a label and a prediction."""
     hit = quoted(label).cast("double") == quoted(prediction).cast("double")
     return df.agg(F.avg(hit.cast("double")).alias("accuracy"))
 
 
 def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """Rows per (actual, predicted) pair that occurs."""
-    return df.groupBy(
-        quoted(label).cast("double").alias("actual"), quoted(prediction).cast("double").alias("predicted")
-    ).agg(F.count(F.lit(1)).alias("count"))
+    """Rows per (actual, predicted) pair that occurs, pairs with a null left out."""
+    actual, predicted = quoted(label).cast("double").alias("actual"), quoted(prediction).cast("double").alias("predicted")
+    pairs = df.select(actual, predicted).filter("actual is not null and predicted is not null")
+    return pairs.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("count"))
+
+
+def class_name(value: Column) -> Column:
+    """Whole numbers without a fraction, others as they are."""
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
 
 
 def confusion_matrix(
-    df: DataFrame, label: str, prediction: str, classes: Sequence[int] = (0, 1)
+    df: DataFrame, label: str, prediction: str, classes: Sequence[float] | None = None
 ) -> DataFrame:
-    """A row per actual class and a column per predicted class, zeros present."""
-    actual, predicted = quoted(label).cast("double"), quoted(prediction).cast("double")
-    counts = df.agg(*[
-        F.count_if((actual == a) & (predicted == p)).alias(f"c{a}_{p}") for a in classes for p in classes
+    """A row per actual class and a column per predicted class, zeros present.
+
+    Without ``classes`` they are all that occur, actual or predicted; as each is
+    a column, the driver holds their names. :func:`confusion_counts` has the long form.
+    """
+    counts = pinned(confusion_counts(df, label, prediction))
+    if classes is None:
+        found = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
+        classes = sorted(r["c"] for r in found.collect())
+    names = [int(c) if float(c).is_integer() else float(c) for c in classes]
+    wide = "int" if all(isinstance(n, int) and abs(n) < 2**31 for n in names) else "double"
+    if not names:
+        return df.sparkSession.createDataFrame([], "actual int")
+    actual = df.sparkSession.createDataFrame([(float(n),) for n in names], "actual double")
+    cells = counts.groupBy("actual").agg(*[
+        F.coalesce(F.sum(F.when(F.col("predicted") == float(n), F.col("count"))), F.lit(0)).alias(f"predicted_{n}") for n in names
     ])
-    rows = [
-        F.struct(F.lit(a).alias("actual"), *[F.col(f"c{a}_{p}").alias(f"predicted_{p}") for p in classes])
-        for a in classes
-    ]
-    return counts.select(F.inline(F.array(*rows)))
+    columns = [f"predicted_{n}" for n in names]
+    return actual.join(cells, "actual", "left").select(
+        F.col("actual").cast(wide).alias("actual"), *[F.coalesce(quoted(c), F.lit(0)).alias(c) for c in columns])
 
 
 def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """Precision, recall, F1 and support per class, then accuracy and the plain
-    and support-weighted means. A ratio without cases is 0.
+    and support-weighted means. A ratio without cases is 0; rows without a label
+    or a prediction are left out, as for the accuracy.
 
     The table is reduced to its confusion counts; the rest works on those.
     """
@@ -94,17 +112,16 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     def ratio(part, whole):
         return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
-    per_class = sides.groupBy("y").agg(
+    per_class = pinned(sides.groupBy("y").agg(
         F.sum("support").alias("support"), F.sum("claimed").alias("claimed"), F.sum("right").alias("right")
     ).select(
-        F.col("y").cast("int").cast("string").alias("class"),
+        class_name(F.col("y")).alias("class"),
         ratio(right, claimed).alias("precision"), ratio(right, support).alias("recall"),
         ratio(2 * right, claimed + support).alias("f1"), "support", "right",
-    )
+    ))
     measures = ["precision", "recall", "f1"]
     summary = per_class.agg(
-        F.collect_list(F.struct("class", *measures, "support")).alias("classes"),
-        F.sum("support").alias("total"), F.sum("right").alias("right"),
+        F.coalesce(F.sum("support"), F.lit(0)).alias("total"), F.sum("right").alias("right"),
         *[F.avg(m).alias(f"macro_{m}") for m in measures],
         *[ratio(F.sum(F.col(m) * support), F.sum("support")).alias(f"weighted_{m}") for m in measures],
     )
@@ -118,7 +135,7 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
     extra = [row("accuracy", nothing, nothing, ratio(F.col("right"), F.col("total")))]
     extra += [row(f"{k} avg", *[F.col(f"{k}_{m}") for m in measures]) for k in ("macro", "weighted")]
-    return summary.select(F.inline(F.concat(F.col("classes"), F.array(*extra))))
+    return per_class.select("class", *measures, "support").unionByName(summary.select(F.inline(F.array(*extra))))
 
 
 def weighted_f1(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -128,7 +145,7 @@ def weighted_f1(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def evaluate(df: DataFrame, label: str, prediction: str, score: str) -> dict[str, float]:
     """The three training metrics of a scored table."""
-    report = {r["class"]: r["f1"] for r in class_report(df, label, prediction).collect()}
+    report = {r["class"]: r["f1"] for r in class_report(df, label, prediction).filter("class in ('accuracy', 'weighted avg')").collect()}
     return {
         "auc": area_under_roc(df, label, score).first()["auc"],
         "accuracy": report["accuracy"],

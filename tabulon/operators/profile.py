@@ -156,8 +156,11 @@ def count_table(df: DataFrame, x: str, hue: str) -> DataFrame:
     )
 
 
-def cross_table(df: DataFrame, x: str, hue: str, values: Sequence) -> DataFrame:
-    """The count table in wide form, a column per value of ``hue``."""
+def cross_table(df: DataFrame, x: str, hue: str, values: Sequence | None = None) -> DataFrame:
+    """The count table in wide form, a column per value of ``hue``: those given,
+    or all that occur, whose names the driver then holds."""
+    if values is None:
+        values = sorted(r[0] for r in df.select(quoted(hue)).filter(quoted(hue).isNotNull()).distinct().collect())
     return df.filter(quoted(x).isNotNull()).groupBy(quoted(x)).agg(
         *[F.count_if(quoted(hue) == v).alias(str(v)) for v in values]
     )

@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulon.functions.expressions import prediction_text, quoted
-from tabulon.functions.names import to_table_names
+from tabulon.functions.names import NAMES, to_table_names
 from tabulon.operators.columns import accepted, validated
 from tabulon.operators.encode import TablePreparation
 from tabulon.sources.models import load_model, model_exists, save_model
@@ -41,16 +41,23 @@ class PipelineScorer:
 
 @dataclass
 class LightScorer:
-    """The one-hot model applied to client records, also incomplete ones."""
+    """The one-hot model applied to client records, also incomplete ones.
+
+    Records keep the columns that are no model inputs under either spelling, such
+    as the income. ``unmatched`` in the result lists the training columns that the
+    records lack.
+    """
 
     preparation: TablePreparation
     model: PipelineModel
 
     def score(self, records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return self.score_table(to_table_names(records, tuple(keep)), keep)
+        lacking = [table for asked, (stored, table) in NAMES.items() if not {asked, stored} & set(records.columns)]
+        return self.score_table(to_table_names(records, tuple(keep), others=True).drop(*lacking), keep)
 
     def score_table(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return scored(self.model, self.preparation.transform_new(df, keep), keep)
+        unmatched = F.array(*[F.lit(c) for c in self.preparation.unmatched(df)]).cast("array<string>")
+        return scored(self.model, self.preparation.transform_new(df, keep), keep).withColumn("unmatched", unmatched)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.preparation.save(spark, f"{path}/preparation")

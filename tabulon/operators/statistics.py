@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabulon.functions.expressions import quoted
 from tabulon.operators.bounded import numbered
 
 # The columns a page of clients shows, in order.
@@ -13,8 +14,8 @@ PAGE_COLUMNS = [
     "usa_ebanking", "usa_app_banco",
 ]
 
-# A page that ends beyond this row is cut from numbered rows.
-DEEP_PAGE = 100_000
+# Keys whose rows are counted together when a page is looked up.
+SPAN = 10_000
 
 TOTALS = ["total", "aderiu", "nao_aderiu", "taxa_adesao"]
 
@@ -142,21 +143,42 @@ def statistics_record(
     )
 
 
-def page(
-    df: DataFrame, key: str, limit: int = 1000, offset: int = 0, deep: int = DEEP_PAGE
-) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in key order.
+def page(df: DataFrame, key: str, limit: int = 1000, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in key order, ties in the order of
+    the other columns, so that neighbouring pages never overlap.
 
-    For the first pages each task keeps its ``offset + limit`` smallest rows and
-    the driver merges them. Beyond ``deep`` rows that would be too many, so the
-    rows are sorted and numbered by the cluster instead. :func:`page_after`
-    costs the same at any depth.
+    Only keys are counted and put in order, to find the two that bound the page;
+    the rows between them are then merged from all tasks, which keep no more than
+    the page and the bounding keys' own ties. :func:`page_after` needs no bounds.
     """
-    if offset + limit <= deep:
-        return df.orderBy(key).offset(offset).limit(limit)
-    position = F.col("__position")
-    rows = numbered(df, [F.asc(key)], "__position")
-    return rows.filter((position >= offset) & (position < offset + limit)).drop("__position").orderBy(key)
+    counts = df.groupBy(quoted(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    placed = numbered(counts, [F.asc("k")], "place")
+    # keys of one range of places are counted together, so the running sum is short
+    spans = placed.groupBy(F.floor(F.col("place") / SPAN).alias("span")).agg(F.sum("n").alias("rows"))
+    up_to = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
+    spans = spans.withColumn("end", F.sum("rows").over(up_to)).withColumn("start", F.col("end") - F.col("rows"))
+    inside = (F.col("end") > offset) & (F.col("start") < offset + limit)
+    near = placed.join(F.broadcast(spans.filter(inside)), F.floor(F.col("place") / SPAN) == F.col("span"))
+    before = Window.partitionBy("span").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("start") + F.coalesce(F.sum("n").over(before), F.lit(0))
+    keys = near.withColumn("first", first).filter((F.col("first") + F.col("n") > offset) & (F.col("first") < offset + limit))
+    low = keys.agg(F.min(F.struct("first", "k")).alias("low"), F.max(F.struct("first", "k")).alias("high")).first()
+    if low is None or low["low"] is None:
+        return df.limit(0)
+    bounds = [low["low"]["k"], low["high"]["k"]]
+    value = quoted(key)
+    chosen = df.filter(_from(value, bounds[0]) & _until(value, bounds[1]))
+    ties = [quoted(c).asc() for c, kind in df.dtypes if c != key and not kind.startswith("map")]
+    return chosen.orderBy(value.asc(), *ties).offset(offset - low["low"]["first"]).limit(limit)
+
+
+def _from(value: Column, low) -> Column:
+    """At or after a key in ascending order, where null comes first."""
+    return F.lit(True) if low is None else value >= F.lit(low)
+
+
+def _until(value: Column, high) -> Column:
+    return value.isNull() if high is None else value.isNull() | (value <= F.lit(high))
 
 
 def page_after(df: DataFrame, key: str, last_key, limit: int = 1000) -> DataFrame:

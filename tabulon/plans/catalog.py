@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,7 +12,8 @@ from tabulon.functions.expressions import (
     DIET_ORDER, decoded_one_hot, mapped, prediction_text, quoted,
 )
 from tabulon.functions.names import (
-    CATEGORIES, FLAGS, NAMES, to_request_names, to_stored_names, to_table_names, with_underscore_names,
+    CATEGORIES, FLAGS, NAMES, OTHER_NAMES, from_stored_names, to_request_names, to_stored_names, to_table_names,
+    with_underscore_names,
 )
 from tabulon.operators import columns, distribution, encode, metrics, profile, quantiles, split, statistics
 from tabulon.operators.importance import global_importance, permutation_importance
@@ -31,6 +33,7 @@ SURVEY_COLUMNS = [
     "academic_pressure", "study_satisfaction", "depression",
 ]
 SURVEY_NUMBERS = ["age", "cgpa", "academic_pressure", "study_satisfaction", "depression"]
+# The survey model's listed features.
 LISTED_FEATURES = [
     "academic_pressure", "cgpa", "study_satisfaction", "age_group_encoded", "dietary_encoded",
     "gender_Female", "gender_Male", "suicidal_thoughts_No", "suicidal_thoughts_Yes",
@@ -65,7 +68,7 @@ def raw_records(spark: SparkSession, base_dir: str) -> DataFrame:
         key, *[quoted(c).cast("string").alias(c) for c in (*CATEGORIES, *FLAGS)]
     ).withColumns({
         "estado": F.when(key % 11 != 0, F.col("estado")),
-        "usa_pix": F.when(key % 13 == 0, "yes").otherwise(F.col("usa_pix")),
+        "usa_pix": F.when(key % 13 == 0, "yes").when(key % 19 == 0, "1d").when(key % 23 == 0, "1e0").otherwise(F.col("usa_pix")),
         "usa_cheque": F.when(key % 17 == 0, F.concat("usa_cheque", F.lit(".5"))).otherwise(F.col("usa_cheque")),
     })
     return to_request_names(text)
@@ -82,6 +85,19 @@ def page_of_clients(spark, base_dir):
     return statistics.page(table, "client_id", 50, 100)
 
 
+def deep_page(spark, base_dir):
+    """A page far into rows whose key repeats, in full order."""
+    rows = students(spark, base_dir).select("id", "row_key", "age")
+    return statistics.page(rows, "id", 40, rows.count() // 2)
+
+
+def stored_statistics(spark, base_dir):
+    """All statistics of the client table in its stored spelling, without a key."""
+    stored = to_stored_names(clients(spark, base_dir).drop("client_id")).withColumnsRenamed(
+        {table: kept for kept, table in OTHER_NAMES.items()})
+    return statistics.all_statistics(from_stored_names(stored))
+
+
 def page_after_client(spark, base_dir):
     table = columns.select_existing(clients(spark, base_dir), ["client_id", *statistics.PAGE_COLUMNS])
     return statistics.page_after(table, "client_id", 80, 50)
@@ -100,6 +116,8 @@ STATISTICS: dict[str, Query] = {
     "table_shape": lambda s, d: statistics.table_shape(students(s, d)),
     "clients_page": page_of_clients,
     "clients_page_after": page_after_client,
+    "deep_page": deep_page,
+    "stored_statistics": stored_statistics,
     "clients_page_totals": clients_page_totals,
     "first_row": lambda s, d: statistics.first_row(clients(s, d), "client_id"),
     "top_scores": top_scores,
@@ -116,6 +134,17 @@ def csv_roundtrip(spark, base_dir):
     return read_csv(spark, path, table.schema)
 
 
+def csv_texts(spark, base_dir):
+    """Documents with line breaks, and padded, empty and null texts among them."""
+    key = F.col("doc_id")
+    table = read_table(spark, base_dir, "documents").select(
+        "doc_id", F.when(key % 11 == 0, None).when(key % 11 == 1, "").when(key % 11 == 2, F.concat(F.lit("  "), "text", F.lit("\t ")))
+        .otherwise(F.col("text")).alias("text"))
+    path = scratch_path(spark, "texts-csv")
+    write_csv(table, path)
+    return read_csv(spark, path, table.schema)
+
+
 def parse_records(spark, base_dir):
     return parsed_json(read_table(spark, base_dir, "events").select("event_id", "props"), "props", "k int")
 
@@ -179,6 +208,7 @@ def validate_records(spark, base_dir):
 COLUMNS: dict[str, Query] = {
     "scan_parquet": lambda s, d: read_table(s, d, "customer"),
     "csv_roundtrip": csv_roundtrip,
+    "csv_texts": csv_texts,
     "parse_records": parse_records,
     "typed_payloads": typed_payloads,
     "json_rows": events_as_json,
@@ -255,7 +285,7 @@ PROFILES: dict[str, Query] = {
     "column_sums": column_sums,
     "corr_matrix": corr_matrix,
     "count_table": lambda s, d: profile.count_table(students(s, d), "sleep_duration", "suicidal_thoughts"),
-    "cross_table": lambda s, d: profile.cross_table(students(s, d), "sleep_duration", "depression", [0, 1]),
+    "cross_table": lambda s, d: profile.cross_table(students(s, d), "sleep_duration", "depression"),
     "box_satisfaction_by_age": box_satisfaction_by_age,
     "box_cgpa_by_label": box_cgpa_by_label,
     "box_price_by_flag": box_price_by_flag,
@@ -376,8 +406,24 @@ def split_stratified(spark, base_dir):
 
 
 def split_random(spark, base_dir):
+    """Whether each row is in one part only, and the parts have their sizes."""
     train, test = split.random_split(clients(spark, base_dir).select("client_id"))
-    return train.withColumn("in_train", F.lit(True)).union(test.withColumn("in_train", F.lit(False)))
+    both = train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
+    per_key = both.groupBy("client_id").agg(F.count(F.lit(1)).alias("parts"), F.count_if(F.col("part") == "train").alias("train"))
+    share = F.sum("train") / F.count(F.lit(1))
+    # four standard deviations round the wanted share
+    near = F.abs(share - 0.8) <= 4 * F.sqrt(F.lit(0.16) / F.count(F.lit(1)))
+    return per_key.agg(F.count(F.lit(1)).alias("n_rows"), F.max("parts").alias("most_parts"), near.alias("share_is_near"))
+
+
+def many_levels(spark, base_dir):
+    """One-hot columns of a text with as many levels as customers of one nation, each used once."""
+    table = read_table(spark, base_dir, "customer").filter("c_nationkey < 5").select(
+        "c_custkey", "c_name", (F.col("c_custkey") % 2).alias("y"))
+    fitted = encode.TablePreparation.fit(table, "y", keys=["c_custkey"])
+    wide = fitted.transform(table)
+    ones = F.aggregate(F.array(*[quoted(c) for c in fitted.features]), F.lit(0.0), lambda a, x: a + x)
+    return wide.select("c_custkey", ones.cast("int").alias("indicators"), F.lit(len(fitted.features)).alias("n_features"))
 
 
 FEATURES: dict[str, Query] = {
@@ -404,6 +450,7 @@ FEATURES: dict[str, Query] = {
     "split_hash": split_hash,
     "split_stratified": split_stratified,
     "split_random": split_random,
+    "many_levels": many_levels,
 }
 
 
@@ -417,88 +464,171 @@ METRICS: dict[str, Query] = {
         metrics.class_report(scored_students(s, d), "y", "p"), 9, "precision", "recall", "f1"
     ),
     "confusion_matrix": lambda s, d: metrics.confusion_matrix(scored_students(s, d), "y", "p"),
+    "confusion_three": lambda s, d: metrics.confusion_matrix(
+        read_table(s, d, "lineitem").select((F.col("l_linenumber") % 3).alias("y"), (F.col("l_suppkey") % 4).alias("p")), "y", "p"),
     "confusion_labels": lambda s, d: metrics.confusion_matrix(read_table(s, d, "labels"), "quality", "toxic"),
 }
 
 # Models are trained once per table and session and then loaded from the shared
-# folder, as scoring jobs do: (application, tables, model) -> path and metrics.
-_trained: dict[tuple[str, str, str], tuple[str, dict[str, float]]] = {}
+# folder, as scoring jobs do; only their paths are kept.
+_trained: dict[tuple[str, str, str], str] = {}
 
 
-def forest_model(spark: SparkSession, base_dir: str) -> tuple[str, dict[str, float]]:
+def forest_model(spark: SparkSession, base_dir: str) -> str:
     key = (spark.sparkContext.applicationId, base_dir, "forest")
     if key not in _trained:
-        trained = training.train_forest(clients(spark, base_dir))
         path = scratch_path(spark, "forest")
-        training.save_training(spark, trained, f"{path}/model", f"{path}/metadata")
-        _trained[key] = (path, trained.metrics)
+        training.save_training(spark, training.train_forest(clients(spark, base_dir)), f"{path}/model", f"{path}/metadata")
+        _trained[key] = path
     return _trained[key]
 
 
-def light_model(spark: SparkSession, base_dir: str) -> tuple[str, dict[str, float]]:
+def light_model(spark: SparkSession, base_dir: str) -> str:
     key = (spark.sparkContext.applicationId, base_dir, "light")
     if key not in _trained:
-        table = clients(spark, base_dir).select("client_id", "adesao", *LIGHT_COLUMNS)
-        scorer, measured = training.train_light_forest(table)
+        scorer, _ = training.train_light_forest(clients(spark, base_dir).select("client_id", "adesao", *LIGHT_COLUMNS))
         path = scratch_path(spark, "light-forest")
         scorer.save(spark, path)
-        _trained[key] = (path, measured)
+        _trained[key] = path
     return _trained[key]
 
 
-def metrics_table(spark: SparkSession, measured: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame(sorted(measured.items()), "metric string, value double")
+def forest_scorer(spark: SparkSession, base_dir: str) -> PipelineScorer:
+    return PipelineScorer(load_model(f"{forest_model(spark, base_dir)}/model"))
+
+
+def checked_metrics(held_out: DataFrame) -> DataFrame:
+    """Per metric: the rows it is taken over, whether it lies in [0, 1], and whether
+    Spark's own evaluators find the same."""
+    rows = held_out.select("label", F.col("prediction").cast("double").alias("prediction"), "score").persist()
+    ours = metrics.evaluate(rows, "label", "prediction", "score")
+    theirs = {n: MulticlassClassificationEvaluator(metricName=n).evaluate(rows) for n in ("accuracy", "f1")}
+    theirs["auc"] = BinaryClassificationEvaluator(rawPredictionCol="score", numBins=0).evaluate(rows)
+    checks = [(n, 0 <= v <= 1, abs(v - theirs[n]) < 1e-6) for n, v in ours.items()]
+    table = rows.sparkSession.createDataFrame(checks, "metric string, in_range boolean, agrees boolean")
+    return table.crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_rows"))))
+
+
+def labelled_hold_out(spark: SparkSession, base_dir: str) -> DataFrame:
+    rows = columns.drop_null(clients(spark, base_dir), "adesao")
+    return split.hash_split(rows, "client_id")[1]
+
+
+def forest_metrics(spark, base_dir):
+    rows = scored(load_model(f"{forest_model(spark, base_dir)}/model"), labelled_hold_out(spark, base_dir), ["adesao"])
+    return checked_metrics(columns.with_label(rows, "adesao"))
+
+
+def light_forest_metrics(spark, base_dir):
+    rows = labelled_hold_out(spark, base_dir).select("client_id", "adesao", *LIGHT_COLUMNS)
+    scorer = LightScorer.load(spark, light_model(spark, base_dir))
+    return checked_metrics(columns.with_label(scorer.score_table(rows, ["adesao"]), "adesao"))
+
+
+def score_checks(rows: DataFrame) -> DataFrame:
+    """Whether scores are probabilities, and class and text follow from them."""
+    total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
+    return rows.withColumns({
+        "sums_to_one": F.abs(total - 1) < 1e-9,
+        "class_follows": F.col("prediction") == (F.col("score") > 0.5).cast("int"),
+        "text_follows": F.col("label_text") == prediction_text(F.col("prediction")),
+    }).drop("probability", "prediction", "score", "label_text")
 
 
 def forest_scores(spark, base_dir):
-    path, _ = forest_model(spark, base_dir)
-    return scored(load_model(f"{path}/model"), clients(spark, base_dir), ["client_id", "adesao"])
+    model = load_model(f"{forest_model(spark, base_dir)}/model")
+    return score_checks(scored(model, clients(spark, base_dir), ["client_id", "adesao"]))
 
 
 def class_probabilities(spark, base_dir):
-    path, _ = forest_model(spark, base_dir)
-    rows = scored(load_model(f"{path}/model"), clients(spark, base_dir), ["client_id"])
-    return rows.select("client_id", F.posexplode("probability").alias("class", "probability"))
+    rows = scored(load_model(f"{forest_model(spark, base_dir)}/model"), clients(spark, base_dir), ["client_id"])
+    exploded = rows.select("client_id", F.posexplode("probability").alias("class", "p"))
+    return exploded.select("client_id", "class", F.col("p").between(0, 1).alias("in_range"))
+
+
+def survey_training(spark: SparkSession, base_dir: str):
+    """The survey model end to end: listed features, stratified split, boosted trees."""
+    codes, levels, features = fitted_survey(spark, base_dir)
+    rows = encode.age_group(columns.where_in(students(spark, base_dir), "dietary_habits", DIET_ORDER))
+    prepared = encode.prepared_survey(rows, features, codes, levels, keep=("row_key", "depression"))
+    return features, training.train_boosted(prepared, features, "depression", "row_key", stratified=True, maxIter=5, maxDepth=3)
 
 
 def boosted_metrics(spark, base_dir):
-    features = ["age", "cgpa", "academic_pressure", "study_satisfaction"]
-    trained = training.train_boosted(
-        students(spark, base_dir), features, "depression", "row_key"
-    )
-    return metrics_table(spark, trained.metrics)
+    _, trained = survey_training(spark, base_dir)
+    return checked_metrics(trained.held_out)
+
+
+def survey_report(spark, base_dir):
+    """Support per class and in all, from the report and from the confusion matrix."""
+    _, trained = survey_training(spark, base_dir)
+    counts = metrics.confusion_counts(trained.held_out, "label", "prediction")
+    by_matrix = counts.groupBy(metrics.class_name(F.col("actual")).alias("class")).agg(F.sum("count").alias("in_matrix"))
+    report = metrics.class_report(trained.held_out, "label", "prediction").filter("class in ('0', '1')")
+    return report.join(by_matrix, "class").select("class", "support", "in_matrix", F.col("f1").between(0, 1).alias("f1_in_range"))
+
+
+def survey_importance(spark, base_dir):
+    """Permutation importance of the survey model: every listed feature, once."""
+    features, trained = survey_training(spark, base_dir)
+    *_, boosted = trained.model.stages
+    found = permutation_importance(boosted, trained.held_out_features, features, "row_key", repeats=3)
+    return found.select("feature", F.col("importance").between(-1, 1).alias("in_range"), (F.col("deviation") >= 0).alias("spread"))
+
+
+def survey_scores(spark, base_dir):
+    """New survey rows scored by the saved and reloaded survey model."""
+    features, trained = survey_training(spark, base_dir)
+    path = scratch_path(spark, "survey-model")
+    save_model(trained.model, path)
+    fresh = encode.median_filled(prepare_new_rows(spark, base_dir), trained.medians)
+    model = load_model(path)
+    return score_checks(scored(model, fresh, ["row_key"]))
+
+
+def judged_records(scores: DataFrame, rejects: DataFrame) -> DataFrame:
+    """A row per record: its checks if it was scored, its reasons if it was not."""
+    good = score_checks(scores.drop("unmatched")).withColumns({"accepted": F.lit(True), "reasons": F.lit(None).cast("string")})
+    ok = F.col("sums_to_one") & F.col("class_follows") & F.col("text_follows")
+    bad = rejects.select(F.col("client_id").cast("long"), F.lit(False).alias("accepted"),
+                         F.concat_ws("; ", "reject_reason").alias("reasons"), F.lit(None).cast("boolean").alias("score_ok"))
+    return good.select(F.col("client_id").cast("long"), "accepted", "reasons", ok.alias("score_ok")).unionByName(bad)
 
 
 def score_raw_records(spark, base_dir):
-    path, _ = forest_model(spark, base_dir)
-    scorer = PipelineScorer(load_model(f"{path}/model"))
-    scores, _ = score_records(scorer, raw_records(spark, base_dir), ["client_id"])
-    return scores
+    scores, rejects = score_records(forest_scorer(spark, base_dir), raw_records(spark, base_dir), ["client_id"])
+    return judged_records(scores, rejects)
+
+
+def same_scores(first: DataFrame, second: DataFrame) -> DataFrame:
+    other = second.select("client_id", F.col("score").alias("again"))
+    return first.join(other, "client_id").select("client_id", (F.col("score") == F.col("again")).alias("same"))
 
 
 def score_payloads(spark, base_dir):
-    """Untyped JSON objects typed by the feature list, then the lighter model."""
-    path, _ = light_model(spark, base_dir)
+    """Untyped JSON objects typed by the feature list score as the table does."""
+    scorer = LightScorer.load(spark, light_model(spark, base_dir))
     table = clients(spark, base_dir).select("client_id", *LIGHT_COLUMNS)
     kinds = {c: kind for c, kind in table.dtypes if c in LIGHT_COLUMNS}
     payloads = table.select(
         "client_id", F.from_json(F.to_json(F.struct(*LIGHT_COLUMNS)), "map<string, string>").alias("payload")
     )
-    return LightScorer.load(spark, path).score_table(typed_payload(payloads, "payload", kinds), ["client_id"])
+    return same_scores(scorer.score_table(typed_payload(payloads, "payload", kinds), ["client_id"]),
+                       scorer.score_table(table, ["client_id"]))
 
 
 def chosen_scorer(spark, base_dir):
-    light, _ = light_model(spark, base_dir)
-    forest, _ = forest_model(spark, base_dir)
+    """The chosen scorer is the lighter model: records score as its table does."""
+    light, forest = light_model(spark, base_dir), forest_model(spark, base_dir)
     scorer = choose_scorer(spark, light_path=light, pipeline_path=f"{forest}/model")
-    checked = columns.accepted(columns.validated(raw_records(spark, base_dir)))
-    return scorer.score(checked, ["client_id"])
+    table = clients(spark, base_dir)
+    return same_scores(scorer.score(to_request_names(table), ["client_id"]),
+                       LightScorer.load(spark, light).score_table(table.select("client_id", *LIGHT_COLUMNS), ["client_id"]))
 
 
 def model_save_load(spark, base_dir):
     """Rows on which a saved and reloaded model agrees with itself."""
-    path, _ = forest_model(spark, base_dir)
-    first = load_model(f"{path}/model")
+    first = load_model(f"{forest_model(spark, base_dir)}/model")
     copy = scratch_path(spark, "forest-copy")
     save_model(first, copy)
     table = clients(spark, base_dir)
@@ -509,59 +639,79 @@ def model_save_load(spark, base_dir):
     )
 
 
+def given_values(spark: SparkSession, base_dir: str) -> DataFrame:
+    """feature and n_given: rows of the client table in which a model input is given."""
+    table = clients(spark, base_dir)
+    counts = table.agg(*[F.count(c).alias(c) for c in (*CATEGORIES, *FLAGS)])
+    return counts.unpivot([], [*CATEGORIES, *FLAGS], "feature", "n_given")
+
+
 def model_metadata(spark, base_dir):
-    path, _ = forest_model(spark, base_dir)
-    return read_metadata(spark, f"{path}/metadata")
+    """The saved metadata's columns with their kind, and how often clients have them."""
+    saved = read_metadata(spark, f"{forest_model(spark, base_dir)}/metadata")
+    kinds = F.array(F.struct(F.lit("category").alias("kind"), F.col("categorical_cols").alias("names")),
+                    F.struct(F.lit("number").alias("kind"), F.col("numeric_cols").alias("names")))
+    listed = saved.select(F.inline(kinds), "model_type", "num_trees", "max_depth").select(
+        "kind", F.explode("names").alias("feature"), "model_type", "num_trees", "max_depth")
+    return listed.join(given_values(spark, base_dir), "feature")
 
 
 def pipeline_features(spark, base_dir):
-    path, _ = forest_model(spark, base_dir)
-    names = feature_names(load_model(f"{path}/model"))
-    return spark.createDataFrame(list(enumerate(names)), "pos int, feature string")
+    """The forest's inputs in vector order, and how often clients have them."""
+    names = feature_names(load_model(f"{forest_model(spark, base_dir)}/model"))
+    listed = spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+    source = F.regexp_replace("name", "_idx$", "")
+    return listed.withColumn("feature", source).join(given_values(spark, base_dir), "feature").select("pos", F.col("name").alias("feature"), "n_given")
 
 
 def forest_importance(spark, base_dir):
-    path, _ = forest_model(spark, base_dir)
-    return global_importance(spark, load_model(f"{path}/model"))
+    """Every input's share in range, and all shares together 100."""
+    found = global_importance(spark, load_model(f"{forest_model(spark, base_dir)}/model"))
+    total = found.agg(F.sum("importance").alias("total"))
+    near = found.crossJoin(F.broadcast(total)).withColumn("feature", F.regexp_replace("feature", "_idx$", ""))
+    return near.join(given_values(spark, base_dir), "feature").select(
+        "feature", F.col("importance").between(0, 100).alias("in_range"), (F.abs(F.col("total") - 100) < 0.01).alias("sums_to_100"), "n_given")
 
 
 def forest_permutation(spark, base_dir):
     """Importance on the hold-out rows, fifteen shuffles per feature."""
-    path, _ = forest_model(spark, base_dir)
-    index, assembler, forest = load_model(f"{path}/model").stages
-    rows = columns.drop_null(columns.with_label(clients(spark, base_dir), "adesao"), "label")
-    _, test = split.hash_split(rows, "client_id")
-    return permutation_importance(forest, index.transform(test), assembler.getInputCols(), "client_id")
+    index, assembler, forest = load_model(f"{forest_model(spark, base_dir)}/model").stages
+    test = columns.with_label(labelled_hold_out(spark, base_dir), "adesao")
+    found = permutation_importance(forest, index.transform(test), assembler.getInputCols(), "client_id")
+    rows = test.agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.crossJoin(F.broadcast(rows)).select(
+        F.regexp_replace("feature", "_idx$", "").alias("feature"), F.col("importance").between(-1, 1).alias("in_range"),
+        (F.col("deviation") >= 0).alias("spread"), "n_rows")
 
 
 def export_transformed(spark, base_dir):
-    model, _ = forest_model(spark, base_dir)
+    """The transformed table's index columns, exported and read again."""
     path = scratch_path(spark, "features-csv")
-    chosen = training.export_features(spark, clients(spark, base_dir), path, f"{model}/model")
+    wanted = ["client_id", *[f"{c}_idx" for c in CATEGORIES]]
+    model = f"{forest_model(spark, base_dir)}/model"
+    chosen = training.export_features(spark, clients(spark, base_dir), path, model, columns=wanted)
     return read_csv(spark, path, chosen.schema)
 
 
 def stream_scores(spark, base_dir):
     """Clients written as JSON files, then validated and scored as a stream."""
-    path, _ = forest_model(spark, base_dir)
     work = scratch_path(spark, "stream")
     raw_records(spark, base_dir).write.json(f"{work}/in")
     query = score_stream(
-        read_records(spark, f"{work}/in"), PipelineScorer(load_model(f"{path}/model")),
+        read_records(spark, f"{work}/in"), forest_scorer(spark, base_dir),
         f"{work}/scores", f"{work}/rejects", f"{work}/checkpoint",
     )
     query.awaitTermination()
-    good = spark.read.parquet(f"{work}/scores").select("client_id", "prediction", "score", "label_text")
-    bad = spark.read.parquet(f"{work}/rejects").select(
-        "client_id", F.lit(None).cast("int").alias("prediction"), F.lit(None).cast("double").alias("score"),
-        F.concat_ws("; ", "reject_reason").alias("label_text"),
-    )
-    return good.withColumn("accepted", F.lit(True)).union(bad.withColumn("accepted", F.lit(False)))
+    scores, rejects = spark.read.parquet(f"{work}/scores"), spark.read.parquet(f"{work}/rejects")
+    return judged_records(scores.drop("batch"), rejects)
 
 
 MODELS: dict[str, Query] = {
-    "forest_metrics": lambda s, d: metrics_table(s, forest_model(s, d)[1]),
-    "light_forest_metrics": lambda s, d: metrics_table(s, light_model(s, d)[1]),
+    "forest_metrics": forest_metrics,
+    "light_forest_metrics": light_forest_metrics,
+    "survey_report": survey_report,
+    "survey_importance": survey_importance,
+    "survey_scores": survey_scores,
     "boosted_metrics": boosted_metrics,
     "forest_scores": forest_scores,
     "class_probabilities": class_probabilities,

@@ -192,19 +192,28 @@ def _columns() -> dict[str, str]:
         if table == "estado":
             return "CASE WHEN client_id % 11 = 0 THEN NULL ELSE estado END"
         if table == "usa_pix":
-            return "CASE WHEN client_id % 13 = 0 THEN 'yes' ELSE CAST(usa_pix AS VARCHAR) END"
+            return "CASE WHEN client_id % 13 = 0 THEN 'yes' WHEN client_id % 19 = 0 THEN '1d' WHEN client_id % 23 = 0 THEN '1e0' ELSE CAST(usa_pix AS VARCHAR) END"
         if table == "usa_cheque":
             return "CASE WHEN client_id % 17 = 0 THEN CAST(usa_cheque AS VARCHAR) || '.5' ELSE CAST(usa_cheque AS VARCHAR) END"
         return f"CAST({table} AS VARCHAR)"
 
     raws = ", ".join(f'{raw(asked, table)} AS "{asked}"' for asked, (_, table) in NAMES.items())
-    typed = [f'"{c}"' for c in CATEGORY_NAMES] + [f'TRY_CAST(CASE WHEN "{c}" NOT LIKE \'%.5\' THEN "{c}" END AS INT) AS "{c}"' for c in FLAG_NAMES]
+    typed = [f'"{c}"' for c in CATEGORY_NAMES] + [f'CASE WHEN "{c}" IN (\'0\', \'1\') THEN CAST("{c}" AS INT) END AS "{c}"' for c in FLAG_NAMES]
     reasons = [f"CASE WHEN \"{c}\" IS NULL THEN '{c}: missing' END" for c in CATEGORY_NAMES] + [
-        f"CASE WHEN \"{c}\" IS NULL THEN '{c}: missing' WHEN \"{c}\" LIKE '%.5' OR TRY_CAST(\"{c}\" AS INT) IS NULL"
+        f"CASE WHEN \"{c}\" IS NULL THEN '{c}: missing' WHEN \"{c}\" NOT IN ('0', '1')"
         f" THEN '{c}: not an integer' END"
         for c in FLAG_NAMES
     ]
+    judged = _clients(
+        f"SELECT client_id, reasons = '' AS accepted, nullif(reasons, '') AS reasons, CASE WHEN reasons = '' THEN true END AS score_ok"
+        f" FROM (SELECT client_id, concat_ws('; ', {', '.join(reasons)}) AS reasons FROM raw)",
+        f"raw AS (SELECT client_id, {raws} FROM clients)",
+    )
     return {
+        "score_records": judged,
+        "stream_scores": judged,
+        "csv_texts": "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 11 = 1 THEN ''"
+        " WHEN doc_id % 11 = 2 THEN '  ' || text || chr(9) || ' ' ELSE text END AS text FROM documents",
         "scan_parquet": "SELECT * FROM customer",
         "csv_roundtrip": _students("SELECT * FROM students"),
         "parse_records": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
@@ -490,5 +499,60 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
     }
 
 
+def _models() -> dict[str, str]:
+    bucket = "CAST('0x' || substr(md5(CAST({0} AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 100 < 80"
+    held_out = f"(SELECT CAST(count(*) AS BIGINT) FROM clients WHERE adesao IS NOT NULL AND NOT ({bucket.format('client_id')}))"
+    checks = "true AS sums_to_one, true AS class_follows, true AS text_follows"
+    given = ", ".join(f"('{c}', (SELECT count({c}) FROM clients))" for c in (*CATEGORIES, *FLAGS))
+    given = f"given AS (SELECT feature, CAST(n AS BIGINT) AS n_given FROM (VALUES {given}) v(feature, n))"
+    kinds = ", ".join([*[f"('{c}', 'category')" for c in CATEGORIES], *[f"('{c}', 'number')" for c in FLAGS]])
+    order = ", ".join(f"({i}, '{c}', '{c}{suffix}')" for i, (c, suffix) in enumerate(
+        [*[(c, "_idx") for c in CATEGORIES], *[(c, "") for c in FLAGS]]))
+    metric = "(VALUES ('auc'), ('accuracy'), ('f1')) v(metric)"
+    # levels ranked by falling count in the training rows, ties by name; null and unseen follow the last
+    training_rows = f"training AS (SELECT * FROM clients WHERE adesao IS NOT NULL AND {bucket.format('client_id')})"
+    ranks = [f"r_{c} AS (SELECT {c} AS v, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS i FROM training WHERE {c} IS NOT NULL GROUP BY {c})"
+             for c in CATEGORIES]
+    codes = ", ".join(f"CAST(coalesce(r_{c}.i, (SELECT count(*) FROM r_{c})) AS DOUBLE) AS {c}_idx" for c in CATEGORIES)
+    joins = " ".join(f"LEFT JOIN r_{c} ON r_{c}.v = clients.{c}" for c in CATEGORIES)
+    listed = ", ".join(f"({_text(c)})" for c in TRAINING_COLUMNS)
+    tested = """tested AS (SELECT depression FROM (SELECT depression, row_number() OVER (PARTITION BY depression ORDER BY md5(row_key || ':42'), row_key)
+  <= round(0.2 * count(*) OVER (PARTITION BY depression)) AS in_test FROM kept) WHERE in_test)"""
+    return {
+        "split_random": _clients("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS most_parts, true AS share_is_near FROM clients"),
+        "many_levels": """WITH c AS (SELECT * FROM customer WHERE c_nationkey < 5), f AS (SELECT min(c_name) AS first, count(DISTINCT c_name) - 1 AS n FROM c)
+SELECT c_custkey, CAST(CASE WHEN c_name = first THEN 0 ELSE 1 END AS INT) AS indicators, CAST(n AS INT) AS n_features FROM c, f""",
+        "confusion_three": """SELECT CAST(a AS INT) AS actual, CAST(count(*) FILTER (WHERE y = a AND p = 0) AS BIGINT) AS predicted_0,
+  CAST(count(*) FILTER (WHERE y = a AND p = 1) AS BIGINT) AS predicted_1, CAST(count(*) FILTER (WHERE y = a AND p = 2) AS BIGINT) AS predicted_2,
+  CAST(count(*) FILTER (WHERE y = a AND p = 3) AS BIGINT) AS predicted_3
+FROM (SELECT l_linenumber % 3 AS y, l_suppkey % 4 AS p FROM lineitem), (VALUES (0), (1), (2), (3)) v(a) GROUP BY a""",
+        "deep_page": _students("SELECT id, row_key, age FROM students ORDER BY id, row_key, age LIMIT 40 OFFSET (SELECT count(*) // 2 FROM students)"),
+        "stored_statistics": _statistics()["stats_all"],
+        "forest_metrics": _clients(f"SELECT metric, true AS in_range, true AS agrees, {held_out} AS n_rows FROM {metric}"),
+        "light_forest_metrics": _clients(f"SELECT metric, true AS in_range, true AS agrees, {held_out} AS n_rows FROM {metric}"),
+        "boosted_metrics": _students(
+            f"SELECT metric, true AS in_range, true AS agrees, (SELECT CAST(count(*) AS BIGINT) FROM tested) AS n_rows FROM {metric}", SURVEY, tested),
+        "survey_report": _students(
+            "SELECT CAST(depression AS VARCHAR) AS class, CAST(count(*) AS BIGINT) AS support, CAST(count(*) AS BIGINT) AS in_matrix,"
+            " true AS f1_in_range FROM tested GROUP BY depression", SURVEY, tested),
+        "survey_importance": f"SELECT feature, true AS in_range, true AS spread FROM (VALUES {listed}) v(feature)"
+        " WHERE (SELECT count(*) FROM lineitem) > 0",
+        "survey_scores": _students(f"SELECT row_key, {checks} FROM kept", SURVEY),
+        "forest_scores": _clients(f"SELECT client_id, adesao, {checks} FROM clients"),
+        "class_probabilities": _clients("SELECT client_id, class, true AS in_range FROM clients, (VALUES (0), (1)) v(class)"),
+        "score_payloads": _clients("SELECT client_id, true AS same FROM clients"),
+        "choose_scorer": _clients("SELECT client_id, true AS same FROM clients"),
+        "model_metadata": _clients(
+            "SELECT feature, kind, 'RandomForestClassifier' AS model_type, 300 AS num_trees, 10 AS max_depth, n_given"
+            f" FROM (VALUES {kinds}) k(feature, kind) JOIN given USING (feature)", given),
+        "pipeline_features": _clients(
+            f"SELECT pos, name AS feature, n_given FROM (VALUES {order}) o(pos, feature, name) JOIN given USING (feature)", given),
+        "global_importance": _clients("SELECT feature, true AS in_range, true AS sums_to_100, n_given FROM given", given),
+        "permutation_importance": _clients(
+            f"SELECT feature, true AS in_range, true AS spread, {held_out} AS n_rows FROM given", given),
+        "export_transformed": _clients(f"SELECT client_id, {codes} FROM clients {joins}", training_rows, *ranks),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**_statistics(), **_columns(), **_profiles(), **_features(), **_metrics()}
+    return {**_statistics(), **_columns(), **_profiles(), **_features(), **_metrics(), **_models()}

@@ -19,7 +19,7 @@ from tabulon.operators.learners import (
 )
 from tabulon.operators.metrics import evaluate
 from tabulon.operators.scoring import LightScorer
-from tabulon.operators.split import hash_split, in_train
+from tabulon.operators.split import hash_split, in_train, stratified_split
 from tabulon.operators.statistics import PAGE_COLUMNS
 from tabulon.session import task_count
 from tabulon.sources.models import load_model, model_exists, save_model, write_metadata
@@ -33,6 +33,9 @@ ROWS_PER_TASK = 20_000
 class Trained:
     model: PipelineModel
     metrics: dict[str, float]
+    held_out: DataFrame | None = None  # label, prediction and score of the test rows
+    held_out_features: DataFrame | None = None  # key, label and features of the test rows
+    medians: dict[str, float] | None = None  # what missing numbers take
 
 
 def with_score(scored: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def fit_and_evaluate(
     )
     metrics = evaluate(tested, label, "prediction", "score")
     tested.unpersist()
-    return Trained(model, metrics)
+    return Trained(model, metrics, with_score(model.transform(test)).select(label, "prediction", "score"), test)
 
 
 def train_forest(
@@ -98,45 +101,54 @@ def save_training(
 
 
 def train_light_forest(
-    features: DataFrame, target: str = "adesao", key: str = "client_id", fit_on: str = "train", **settings
+    features: DataFrame, target: str = "adesao", key: str = "client_id", fit_on: str = "train",
+    vectors: Sequence[str] = (), **settings
 ) -> tuple[LightScorer, dict[str, float]]:
     """The lighter forest on one-hot and median-filled columns.
 
-    Levels and medians come from the training rows; ``fit_on="all"`` takes them
+    Text columns named in ``vectors`` are encoded as sparse vectors, the others as
+    a column per level. Levels and medians come from the training rows; ``fit_on="all"`` takes them
     from the whole table, hold-out included.
     """
     rows = drop_null(require(features, [target, key]), target)
     train, test = hash_split(rows, key)
     source = train if fit_on == "train" else rows
-    preparation = TablePreparation.fit(source.drop(key), target)
+    preparation = TablePreparation.fit(source.drop(key), target, vectors=vectors)
 
     def prepared(part):
         return preparation.transform_new(part, [key, target]).withColumnRenamed(target, "label").withColumn(
             "label", F.col("label").cast("double")
         )
 
-    pipeline = light_forest_pipeline(preparation.features, preparation.wide, **settings)
+    pipeline = light_forest_pipeline(preparation.features, preparation.vectors, **settings)
     trained = fit_and_evaluate(prepared(train), prepared(test), pipeline, key)
     return LightScorer(preparation, trained.model), trained.metrics
 
 
 def train_boosted(
     rows: DataFrame, features: Sequence[str], target: str, key: str,
-    validation_percent: int = 10, **settings,
+    validation_percent: int = 10, stratified: bool = False, **settings,
 ) -> Trained:
-    """Boosted trees; a tenth of the training rows decides when to stop.
+    """Boosted trees; a tenth of the training rows decides when to stop. The test
+    rows come by a hash of the key, or ``stratified`` a fifth of each label.
 
     Spark's trees take no missing numbers, so these get the training median.
     """
     table = drop_null(rows, target).select(
         quoted(key), quoted(target).cast("double").alias("label"), *[quoted(f).cast("double").alias(f) for f in features]
     )
-    train, test = hash_split(table, key)
+    if stratified:
+        marked = stratified_split(table, "label", key)
+        train, test = (marked.filter(c).drop("in_test") for c in ("not in_test", "in_test"))
+    else:
+        train, test = hash_split(table, key)
     fitted = fit_medians(train, features)
     train, test = median_filled(train, fitted), median_filled(test, fitted)
     train = train.withColumn("held_out", ~in_train(quoted(key), 100 - validation_percent, seed=43))
     test = test.withColumn("held_out", F.lit(False))
-    return fit_and_evaluate(train, test, boosted_pipeline(features, validation="held_out", **settings), key)
+    trained = fit_and_evaluate(train, test, boosted_pipeline(features, validation="held_out", **settings), key)
+    trained.medians = fitted
+    return trained
 
 
 def export_features(

@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -27,11 +28,13 @@ def get_session(app_name: str = "tabulon", **settings: str) -> SparkSession:
 
 def task_count(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Tasks for a shuffle whose rows are few by bytes but costly to work on: one
-    per core, and up to the configured shuffle partitions for many rows. Naming
-    a count keeps AQE from merging such partitions."""
-    cores = spark.sparkContext.defaultParallelism
-    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
-    return min(max(cores, -(-rows // rows_per_task)), most)
+    per core, and as many as the rows need. Naming a count keeps AQE from merging
+    such partitions."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+
+
+# Temporary folders of local sessions; each goes when the process ends.
+_own_folders: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,10 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if configured is None and not context.master.startswith("local"):
+    if configured is None and context.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if configured is None:
-        configured = tempfile.mkdtemp(prefix="tabulon-")
+        own = tempfile.TemporaryDirectory(prefix="tabulon-", ignore_cleanup_errors=True)
+        _own_folders.append(own)
+        configured = own.name
         spark.conf.set("spark.checkpoint.dir", configured)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)

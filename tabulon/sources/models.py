@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+# The fields of a model's metadata.
 METADATA_SCHEMA = (
     "categorical_cols array<string>, numeric_cols array<string>, final_features array<string>, "
     "metrics map<string, double>, model_type string, num_trees int, max_depth int"

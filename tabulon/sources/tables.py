@@ -6,22 +6,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
+# The same on both sides; a text that is the null mark itself would read as null.
+CSV_FORM = {
+    "escape": '"', "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """CSV with a header. Without a schema the types are inferred, which costs
-    a second pass over the files; give one for anything large."""
-    reader = spark.read.option("header", True).option("escape", '"')
+    """CSV with a header, as :func:`write_csv` writes it. Without a schema the
+    types are inferred, which costs a second pass over the files; give one for
+    anything large. Quoted line breaks are kept, so a file is read by one task."""
+    reader = spark.read.options(**CSV_FORM).options(header=True, multiLine=True, emptyValue="")
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header, one file per task; nothing passes through the driver."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """CSV with a header, one file per task; nothing passes through the driver.
+
+    Null and empty text differ, padding and line breaks stay. Files are cut after
+    ``rows_per_file`` rows, as a file with line breaks in its texts can't be split.
+    """
+    df.write.mode("overwrite").options(**CSV_FORM).options(
+        header=True, emptyValue='""', maxRecordsPerFile=rows_per_file).csv(path)
 
 
 def clients(spark: SparkSession, base_dir: str) -> DataFrame:

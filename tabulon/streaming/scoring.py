@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tabulon.operators.columns import accepted, rejected, validated
 from tabulon.operators.scoring import LightScorer, PipelineScorer
@@ -11,9 +12,10 @@ from tabulon.sources.records import RAW_RECORD_SCHEMA
 
 
 def read_records(spark: SparkSession, path: str, files_per_trigger: int = 1_000) -> DataFrame:
-    """New JSON files as they arrive, every field as unchecked text."""
+    """New JSON files as they arrive, every field as unchecked text; the text of
+    a line that is no JSON is kept in ``_corrupt_record``."""
     return (
-        spark.readStream.schema(RAW_RECORD_SCHEMA)
+        spark.readStream.schema(StructType([*RAW_RECORD_SCHEMA.fields, StructField("_corrupt_record", StringType())]))
         .option("maxFilesPerTrigger", files_per_trigger)
         .json(path)
     )

@@ -118,6 +118,35 @@ def test_csv_round_trip_keeps_nulls_quotes_and_accents(spark, tmp_path):
     assert inferred.dtypes == [("id", "int"), ("Gp renda", "string"), ("x", "double")]
 
 
+def test_csv_round_trip_keeps_breaks_padding_and_empties(spark, tmp_path):
+    rows = [(1, "a\nb"), (2, "  pad  "), (3, ""), (4, None), (5, "x\r\ny,\"q\"\\"), (6, "\t")]
+    table = spark.createDataFrame(rows, "id int, s string")
+    write_csv(table, str(tmp_path / "b"))
+    assert sorted(tuple(r) for r in read_csv(spark, str(tmp_path / "b"), table.schema).collect()) == rows
+
+
+def test_integers_are_plain_digits(spark):
+    texts = ["1", "-2", "1.0", " 3 ", "1d", "1e0", "0x1", "1.5", "", "99999999999", None]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    got = {r.i: r.v for r in columns.validated(table, {"v": "int"}).collect()}
+    assert [got[i] for i in range(len(texts))] == [1, -2, 1, 3, None, None, None, None, None, None, None]
+
+
+def test_lone_empty_request_value_is_none(spark):
+    table = spark.createDataFrame([("", 1)], "Estado string, Usa_pix int")
+    row = to_table_names(table).first()
+    assert row.estado is None and row.usa_pix == 1
+
+
+def test_stored_table_without_key(spark):
+    from tabulon.functions.names import from_stored_names
+    table = spark.createDataFrame([("SP", 1), ("SP", 1), (None, 0)], "Estado string, Adesao_ao_OPF int")
+    got = from_stored_names(table)
+    assert got.columns == ["client_id", "estado", "adesao"]
+    keys = {r.client_id for r in got.collect()}
+    assert len(keys) == 3 and keys == {r.client_id for r in from_stored_names(table.repartition(3)).collect()}
+
+
 def test_value_map_and_texts(spark):
     table = spark.createDataFrame([(1,), (0,), (2,), (None,)], "v int")
     got = table.select(

@@ -97,6 +97,30 @@ def test_metrics_agree_with_spark_evaluators(spark):
     assert got["auc"] == pytest.approx(exact.evaluate(table))
 
 
+def test_classes_nulls_and_nan(spark):
+    rows = [(0.0, 0.0), (1.0, 2.0), (2.0, 2.0), (1.5, 1.0), (None, 1.0), (1.0, None)]
+    table = spark.createDataFrame(rows, "y double, p double")
+    matrix = metrics.confusion_matrix(table, "y", "p")
+    assert matrix.columns == ["actual", "predicted_0", "predicted_1", "predicted_1.5", "predicted_2"]
+    assert {r[0]: tuple(r)[1:] for r in matrix.collect()} == {0: (1, 0, 0, 0), 1: (0, 0, 0, 1), 1.5: (0, 1, 0, 0), 2: (0, 0, 0, 1)}
+    report = {r["class"]: r for r in metrics.class_report(table, "y", "p").collect()}
+    assert set(report) == {"0", "1", "1.5", "2", "accuracy", "macro avg", "weighted avg"}
+    assert report["accuracy"].f1 == metrics.accuracy(table, "y", "p").first()[0] == 0.5
+    scores = spark.createDataFrame([(1, 0.9), (0, 0.1), (1, float("nan"))], "y int, s double")
+    assert tuple(metrics.area_under_roc(scores, "y", "s").first()) == (1.0, 1, 1)
+
+
+def test_feature_names_follow_the_learner_with_two_assemblers():
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+    stages = [VectorAssembler(inputCols=["a", "b"], outputCol="v"), VectorAssembler(inputCols=["c"], outputCol="features"),
+              DecisionTreeClassifier(featuresCol="v")]
+    assert feature_names(Pipeline(stages=stages)) == ["a", "b"]
+    with pytest.raises(ValueError):
+        feature_names(Pipeline(stages=stages[:2]))
+
+
 def test_report_of_a_class_never_predicted(spark):
     table = spark.createDataFrame([(0, 0), (0, 0), (1, 0)], "y int, p int")
     rows = {r["class"]: r for r in metrics.class_report(table, "y", "p").collect()}
@@ -207,14 +231,33 @@ def test_light_model_keeps_levels_for_new_rows(spark, table, light, tmp_path):
 
 def test_light_model_takes_columns_with_many_levels(table):
     data = table.select("client_id", "adesao", "gp_renda", F.concat(F.lit("u"), F.col("client_id")).alias("name"))
-    scorer, _ = training.train_light_forest(data, **SMALL)
-    assert scorer.preparation.wide == []
+    scorer, _ = training.train_light_forest(data, vectors=["name"], **SMALL)
+    assert scorer.preparation.vectors == ["name"] and scorer.preparation.features == ["gp_renda_Baixa", "gp_renda_Media"]
+    assert scorer.score_table(data, ["client_id"]).count() == data.count()
+    columns, _ = training.train_light_forest(data, **SMALL)
+    assert columns.preparation.vectors == [] and len(columns.preparation.features) > 30
+
+
+def test_more_than_a_thousand_levels_never_raise(spark):
     from tabulon.operators.encode import TablePreparation
-    wide = TablePreparation.fit(data, "adesao", keys=["client_id"], max_levels=20)
-    assert wide.wide == ["name"] and wide.features == ["gp_renda_Baixa", "gp_renda_Media"]
-    prepared = wide.transform_new(data, ["client_id", "adesao"]).filter("adesao is not null")
-    pipeline = training.light_forest_pipeline(wide.features, wide.wide, label="adesao", **SMALL)
-    assert pipeline.fit(prepared).transform(prepared).count() == prepared.count()
+    data = spark.range(1005).select((F.col("id") % 2).cast("int").alias("y"), F.concat(F.lit("v"), F.col("id")).alias("s"))
+    fitted = TablePreparation.fit(data, "y")
+    assert len(fitted.features) == 1004 and fitted.vectors == []
+    assert TablePreparation.fit(data, "y", vectors=["s"]).features == []
+
+
+def test_light_model_scores_records_payloads_and_table_alike(spark, table, tmp_path):
+    columns = ["estado", "gp_renda", "renda", "usa_pix"]
+    scorer, _ = training.train_light_forest(table.select("client_id", "adesao", *columns), **SMALL)
+    whole = {r.client_id: r.score for r in scorer.score_table(table.select("client_id", *columns), ["client_id"]).collect()}
+    for records in (to_request_names(table), to_stored_names(table)):
+        got = scorer.score(records, ["client_id"]).collect()
+        assert {r.client_id: r.score for r in got} == whole and got[0].unmatched == []
+    without = scorer.score(to_request_names(table).drop("renda", "Estado"), ["client_id"]).collect()
+    assert without[0].unmatched == ["estado", "renda"]
+    median = scorer.preparation.medians["renda"]
+    filled = scorer.score_table(table.drop("estado").withColumn("renda", F.lit(median)), ["client_id"]).collect()
+    assert {r.client_id: r.score for r in without} == {r.client_id: r.score for r in filled}
 
 
 def test_choice_of_scorer(spark, forest, light, tmp_path):
