@@ -44,11 +44,10 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and deviation of the accuracy lost when one feature is shuffled.
 
-    ``model`` reads a ``features`` vector of the named columns. In each repeat
-    the rows are thrown into random buckets and put in random order there, and
-    every row takes its features from the next row of its bucket, the last from
-    the first. That is a permutation of the whole table by one shuffle, shared
-    by all features of the repeat, with no join and no unbounded group.
+    ``model`` reads a ``features`` vector of the named columns. The rows are thrown
+    into random buckets and put in random order there, as a ring; in repeat r every
+    row takes its features from the r-th row after it. That is one shuffle of the
+    rows for all repeats and features, with no join and no unbounded group.
     """
     numbers = [quoted(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
     rows = df.select(quoted(key).alias("key"), quoted(label).cast("double").alias("y"), *numbers)
@@ -60,19 +59,29 @@ def permutation_importance(
     base = model.transform(rows.select("y", array_to_vector(F.array(*own)).alias("features"))).agg(
         F.count(F.lit(1)).alias("n"), hit("prediction").alias("accuracy")
     ).first()
+    tasks = task_count(df.sparkSession, base["n"] * repeats, ROWS_PER_TASK)
     buckets = max(1, math.ceil(base["n"] / rows_per_bucket))
-    repeat = F.col("repeat")
-    thrown = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).select(
-        "*",
-        F.pmod(F.xxhash64(F.lit(seed), repeat, "key"), F.lit(buckets)).alias("bucket"),
-        F.xxhash64("key", repeat, F.lit(seed + 1)).alias("turn"),
-    ).repartition(task_count(df.sparkSession, base["n"] * repeats, ROWS_PER_TASK), "repeat", "bucket")
-    ring = Window.partitionBy("repeat", "bucket").orderBy("turn", "key")
-    partner = F.coalesce(
-        F.lead(F.struct(*own)).over(ring),
-        F.first(F.struct(*own)).over(ring.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    )
-    dealt = thrown.withColumn("other", partner)
+    thrown = rows.withColumns({
+        "bucket": F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(buckets)), "turn": F.xxhash64("key", F.lit(seed + 1)),
+    })
+    ring = Window.partitionBy("bucket").orderBy("turn", "key")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    features_of = F.struct(*own)
+    # the first rows of the ring follow its last ones
+    heads = F.array(*[F.nth_value(features_of, r).over(whole) for r in range(1, repeats + 1)])
+    placed = thrown.withColumns({
+        "place": F.row_number().over(ring), "size": F.count(F.lit(1)).over(whole), "heads": heads,
+        "after": F.array(*[F.lead(features_of, r).over(ring) for r in range(1, repeats + 1)]),
+    })
+
+    def other(r):
+        past = F.col("place") + r > F.col("size")
+        round_ = F.element_at("heads", (F.pmod(F.col("place") + r - 1, F.col("size")) + 1).cast("int"))
+        return F.when(past, round_).otherwise(F.get("after", F.lit(r - 1)))
+
+    # the rings are few and their rows cheap to move, but costly to score
+    dealt = placed.select("y", *own, F.array(*[other(r) for r in range(1, repeats + 1)]).alias("others")).repartition(tasks)
+    dealt = dealt.select("y", *own, F.posexplode("others").alias("repeat", "other"))
     variants = [
         F.struct(
             F.lit(i).alias("index"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,6 +12,8 @@ from tabulon.functions.expressions import nan_to_null, quoted
 from tabulon.operators.columns import numeric_columns
 from tabulon.operators.quantiles import exact_quantiles
 
+# Pairs of columns that one scan correlates.
+PAIRS_AT_ONCE = 500
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
@@ -119,33 +122,30 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     """Pearson correlation of every ordered pair, over the rows where both are
     present. A constant column has no correlation (null), also with itself.
 
-    Each row yields its pairs, which one partial aggregate folds at once, so a
-    task sends one row per pair whatever the number of columns.
+    A row is read once and adds to one running aggregate per pair; a task sends
+    a single row. Pairs beyond ``PAIRS_AT_ONCE`` take a further scan each time.
     """
     names = list(columns or numeric_columns(df))
     numbers = df.select(*[nan_to_null(quoted(c).cast("double")).alias(f"x{i}") for i, c in enumerate(names)])
     pairs = list(combinations_with_replacement(range(len(names)), 2))
-    # the DataFrame method unpivots single columns only, SQL also pairs of them
-    wanted = ", ".join(f"(x{i}, x{j}) AS `{n}`" for n, (i, j) in enumerate(pairs))
-    paired = df.sparkSession.sql(
-        f"SELECT * FROM {{numbers}} UNPIVOT ((a, b) FOR pair IN ({wanted}))", numbers=numbers
-    )
-    spread = F.stddev_pop("a") * F.stddev_pop("b")
-    pair = F.element_at(F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in pairs]), F.col("pair").cast("int") + 1)
-    upper = (
-        paired.filter("a is not null and b is not null").groupBy("pair")
-        .agg(F.try_divide(F.covar_pop("a", "b"), spread).alias("r"))
-        .select(pair[0].alias("i"), pair[1].alias("j"), "r")
-        .withColumn("r", F.when(F.col("i") == F.col("j"), F.when(F.col("r").isNotNull(), 1.0)).otherwise(F.col("r")))
-    )
-    i, j = F.col("i"), F.col("j")
-    label = F.array(*[F.lit(n) for n in names])
-
-    def cell(a, b):
-        return F.struct(F.element_at(label, a + 1).alias("x"), F.element_at(label, b + 1).alias("y"), "r")
 
-    both = F.when(i == j, F.array(cell(i, j))).otherwise(F.array(cell(i, j), cell(j, i)))
-    return upper.select(F.inline(both))
+    def correlation(a, b):
+        # the built-in corr() divides by zero for a constant column
+        spread = [F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(own))) for own, other in ((a, b), (b, a))]
+        return F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
+
+    def cells(some):
+        row = numbers.agg(*[correlation(f"x{i}", f"x{j}").alias(f"r{i}_{j}") for i, j in some])
+        out = []
+        for i, j in some:
+            r = F.col(f"r{i}_{j}")
+            r = F.when(r.isNotNull(), F.lit(1.0)) if i == j else r
+            for x, y in {(i, j), (j, i)}:
+                out.append(F.struct(F.lit(names[x]).alias("x"), F.lit(names[y]).alias("y"), r.alias("r")))
+        return _stacked(row, out)
+
+    parts = [cells(pairs[at : at + PAIRS_AT_ONCE]) for at in range(0, len(pairs), PAIRS_AT_ONCE)]
+    return reduce(DataFrame.union, parts)
 
 
 def count_table(df: DataFrame, x: str, hue: str) -> DataFrame:
