@@ -80,5 +80,36 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: Targets by filling up, blocks by hash, and the greedy draw of a source's blocks.
+MIXING_SQL = f"""WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '/b{mixing.SEED}'), 1, 8) AS BIGINT) % {mixing.BLOCKS} AS block
+  FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS number FROM d GROUP BY source),
+weighed AS (SELECT *, (number - 1) % 3 + 1 AS weight, {mixing.MOST} * source_size AS most FROM per),
+placed AS (SELECT *, row_number() OVER (ORDER BY most / weight, number) AS place,
+  (SELECT sum(source_size) FROM per) - coalesce(sum(most) OVER before, 0) AS left_words,
+  (SELECT sum(weight) FROM weighed) - coalesce(sum(weight) OVER before, 0) AS left_weight
+  FROM weighed WINDOW before AS (ORDER BY most / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+free AS (SELECT place, left_words, left_weight FROM placed WHERE most * left_weight > left_words * weight ORDER BY place LIMIT 1),
+goals AS (SELECT p.*, CASE WHEN f.place IS NOT NULL AND p.place >= f.place
+  THEN CAST(f.left_words AS DOUBLE) * p.weight / f.left_weight ELSE CAST(p.most AS DOUBLE) END AS target FROM placed p LEFT JOIN free f ON true),
+full_ AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM goals),
+rests AS (SELECT *, target - whole * source_size AS rest FROM full_),
+blocks AS (SELECT number, block, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (PARTITION BY number ORDER BY block) AS at
+  FROM d JOIN per ON d.source IS NOT DISTINCT FROM per.source GROUP BY number, block HAVING sum(size) > 0),
+walk AS (SELECT number, rest, CAST(0 AS BIGINT) AS at, CAST(0 AS BIGINT) AS words, CAST(-1 AS BIGINT) AS drawn FROM rests
+  UNION ALL SELECT w.number, w.rest, b.at, CASE WHEN w.words + b.words <= w.rest THEN w.words + b.words ELSE w.words END,
+    CASE WHEN w.words + b.words <= w.rest THEN b.block ELSE -1 END FROM walk w JOIN blocks b ON b.number = w.number AND b.at = w.at + 1),
+gaps AS (SELECT number, max(rest) - max(words) AS gap FROM walk GROUP BY number),
+nearest AS (SELECT b.number, b.block, row_number() OVER (PARTITION BY b.number ORDER BY abs(gap - b.words), b.block) AS n
+  FROM blocks b JOIN gaps g ON g.number = b.number LEFT JOIN walk w ON w.number = b.number AND w.drawn = b.block
+  WHERE w.number IS NULL AND b.words < 2 * gap),
+drawn AS (SELECT number, drawn AS block FROM walk WHERE drawn >= 0 UNION ALL SELECT number, block FROM nearest WHERE n = 1)
+SELECT d.doc_id, d.size, r.source_size, r.target,
+  CAST((r.whole + CASE WHEN x.block IS NULL THEN 0 ELSE 1 END) * d.size AS BIGINT) AS taken
+FROM d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN drawn x ON x.number = r.number AND x.block = d.block"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": MIXING_SQL}
