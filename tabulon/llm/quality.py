@@ -7,9 +7,11 @@ lines in more than ``limit`` of them are removed, and a document that keeps less
 words, too many repeated three-word windows).
 
 Which documents are distinct is told by the smallest hash among a document's other
-lines, so copies of one document, exact or with a few lines changed, count once: they
-are the near-duplicate operator's work, and copying doesn't make a text boilerplate. A
-document of one line has only its own line to go by and always counts once.
+lines, so exact copies of one document count once, and near copies about once for every
+changed smallest line. A line is only frequent if the different texts that hold it are
+mostly distinct in this sense (``DIVERSE``): copies are the near-duplicate operator's
+work, and copying doesn't make a text boilerplate. A document of one line has only its
+own line to go by and always counts once.
 
 Null text has no words and fails the base rules; a null host is a host like others;
 repeated rows get the same verdict. An empty table gives an empty result. Other columns
@@ -28,7 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 from tabulon.llm.common import BROADCAST_BYTES, kept, slices, small_or_plain, words
 
 LIMIT = 20
-KEEP_SHARE = 0.5
+KEEP_SHARE = 0.3
+#: Least share of distinct documents among the texts that hold a frequent line.
+DIVERSE = 0.5
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 SPACES = b" \t\n\x0b\x0c\r"
@@ -120,17 +124,18 @@ def features(df: DataFrame, id_col: str, text_col: str, host_col: str, min_words
 def frequent_lines(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """host, line and documents of the lines in more than ``limit`` distinct documents of a host.
 
-    Distinct (host, line, document key) rows come first, so a line that everyone has is
-    spread over its documents before it is counted.
+    Distinct texts come first, then distinct document keys, so a line that everyone has
+    is spread over its documents before it is counted.
     """
     least = F.array_sort(F.array_distinct("lines"))
     # the two smallest hashes are enough to name the smallest one among the other lines
-    lines = rows.select("host", F.slice(least, 1, 2).alias("least"), F.explode(F.array_distinct("lines")).alias("line"))
+    lines = rows.select("host", "text_hash", F.slice(least, 1, 2).alias("least"), F.explode(F.array_distinct("lines")).alias("line"))
     first, second = F.get("least", F.lit(0)), F.get("least", F.lit(1))
     other = F.when(F.col("line") == first, second).otherwise(first)
-    distinct = lines.select("host", "line", other.alias("other")).distinct()
-    counted = distinct.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
-    return counted.where(F.col("documents") > limit)
+    texts = lines.select("host", "line", other.alias("other"), "text_hash").distinct()
+    distinct = texts.groupBy("host", "line", "other").agg(F.count(F.lit(1)).alias("texts"))
+    counted = distinct.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"), F.sum("texts").alias("texts"))
+    return counted.where((F.col("documents") > limit) & (F.col("documents") >= DIVERSE * F.col("texts")))
 
 
 def removed_lines(rows: DataFrame, frequent: DataFrame) -> DataFrame:
