@@ -375,9 +375,10 @@ def fit(pages: DataFrame, documents: DataFrame | None, document_number: Column,
     sample = pages.where(F.col(html_col).isNotNull() & (chosen if share < 1 else F.lit(True))).select(
         F.xxhash64(F.col(id_col)).alias("key"), F.col(html_col).alias("page"), document_number.alias("number"))
     if documents is not None:
-        texts = documents.select("doc_id", F.col("text").alias("document"))
-        # the sample's size is bounded by its parameter
-        sample = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("number"), "right")
+        # the sample's size is bounded by its parameter, and so is what it picks of the documents
+        wanted = F.broadcast(sample.select(F.col("number").alias("doc_id")).distinct())
+        texts = documents.select("doc_id", F.col("text").alias("document")).join(wanted, "doc_id", "left_semi")
+        sample = sample.join(texts, F.col("doc_id") == F.col("number"), "left")
     else:
         sample = sample.withColumn("document", F.lit(None).cast("string"))
     sample = sample.select("key", "page", "document").repartition(24, "key")
