@@ -28,7 +28,7 @@ HEADLINE = [
     "survey_features", "split_hash", "split_stratified",
     "auc", "class_report", "confusion_matrix",
     # the first one also trains the forest, in its warm-up
-    "forest_scores", "score_records", "stream_scores", "permutation_importance", "survey_report",
+    "forest_scores", "score_records", "permutation_importance",
 ]
 
 
