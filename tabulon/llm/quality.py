@@ -6,12 +6,13 @@ lines in more than ``limit`` of them are removed, and a document that keeps less
 ``keep_share`` of its words is rejected, as is one that fails the base rules (too few
 words, too many repeated three-word windows).
 
-Which documents are distinct is told by the smallest hash among a document's other
-lines, so exact copies of one document count once, and near copies about once for every
-changed smallest line. A line is only frequent if the different texts that hold it are
-mostly distinct in this sense (``DIVERSE``): copies are the near-duplicate operator's
-work, and copying doesn't make a text boilerplate. A document of one line has only its
-own line to go by and always counts once.
+Copies count once. A line that more than ``limit`` different texts hold is looked at
+closely: its texts are taken in the order of their hashes, and one counts if it is like
+none of those counted before, up to ``limit`` + 1. Two texts are alike if they share
+``ALIKE`` of their words, or if what they don't share as whole lines is alike
+(``REST_ALIKE``): copies with single words changed have similar other lines, pages of
+one template have unrelated ones, however few. Resemblance is that of the multisets of
+normalised words, estimated by 256 smallest hashes.
 
 Null text has no words and fails the base rules; a null host is a host like others;
 repeated rows get the same verdict. An empty table gives an empty result. Other columns
@@ -31,8 +32,12 @@ from tabulon.llm.common import BROADCAST_BYTES, kept, slices, small_or_plain, wo
 
 LIMIT = 20
 KEEP_SHARE = 0.3
-#: Least share of distinct documents among the texts that hold a frequent line.
-DIVERSE = 0.5
+#: Least resemblance of copies: of the whole texts; or of the whole texts, and of what
+#: is left of them without the lines that both hold.
+ALIKE, PARTLY_ALIKE, REST_ALIKE = 0.9, 0.5, 0.5
+#: Texts that are compared in one group, about.
+GROUP_TEXTS = 512
+BINS = 256
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
 SPACES = b" \t\n\x0b\x0c\r"
@@ -91,11 +96,83 @@ def repeated_words(own: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def sketch(text: str | None) -> bytes:
+    """A byte of the smallest hash in each of 256 ranges, over the normalised words and
+    their repeat numbers; 0 where there is none."""
+    from xxhash import xxh64_intdigest
+
+    own = DROPPED.sub(" ", DIGIT.sub("0", (text or "").lower())).split()
+    if not own:
+        return bytes(BINS)
+    number = {w: i for i, w in enumerate(dict.fromkeys(own))}
+    ids = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    starts = np.searchsorted(ids, np.arange(len(number)))
+    repeat = (np.arange(len(ids)) - starts[ids]).astype(np.uint64)
+    hashes = np.fromiter((xxh64_intdigest(w.encode(), 7) for w in number), np.uint64, len(number))[ids]
+    hashes = hashes ^ (repeat * np.uint64(0x9E3779B97F4A7C15))
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        hashes = (hashes ^ (hashes >> np.uint64(shift))) * np.uint64(factor)
+    hashes = np.sort(hashes ^ (hashes >> np.uint64(33)))
+    places, first = np.unique((hashes >> np.uint64(56)).astype(np.int64), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[places] = 1 + hashes[first] % np.uint64(255)
+    return out.tobytes()
+
+
+class Distinct:
+    """Texts of which no two are alike, up to ``limit`` + 1."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.sketches = np.zeros((limit + 1, BINS), np.uint8)
+        self.lines: list[dict] = []
+        self.texts: list[int] = []  # places of the counted texts
+
+    def full(self) -> bool:
+        return len(self.texts) > self.limit
+
+    def add(self, place: int, own: np.ndarray, lines: dict) -> None:
+        others = self.sketches[: len(self.texts)]
+        either = np.count_nonzero(others | own, axis=1)
+        same = np.count_nonzero((others == own) & (own > 0), axis=1) / np.maximum(either, 1)
+        if (same >= ALIKE).any():
+            return
+        for at in np.flatnonzero(same >= PARTLY_ALIKE):
+            theirs = self.lines[at]
+            size = sum(lines.values()) + sum(theirs.values())
+            shared = sum(n for line, n in lines.items() if line in theirs)
+            rest = same[at] / (1 + same[at]) * size - shared
+            if rest >= REST_ALIKE * (size - 2 * shared - rest):
+                return
+        self.sketches[len(self.texts)] = own
+        self.lines.append(lines)
+        self.texts.append(place)
+
+
+def distinct_texts(table: pa.Table, limit: int) -> pa.Table:
+    """Of one line's texts, those that count; only one row, ``full``, if over ``limit`` do."""
+    table = table.sort_by("text_hash")
+    found = Distinct(limit)
+    lines, counts = table.column("lines"), table.column("line_words")
+    for place, own in enumerate(table.column("sketch")):
+        # lines that come again add their words, so that both sides hold them alike
+        words_of: dict = {}
+        for line, n in zip(lines[place].as_py(), counts[place].as_py()):
+            words_of[line] = words_of.get(line, 0) + n
+        found.add(place, np.frombuffer(own.as_py(), np.uint8), words_of)
+        if found.full():
+            break
+    out = table.take(pa.array(found.texts[:1] if found.full() else found.texts, pa.int64()))
+    return out.set_column(out.schema.get_field_index("full"), "full", pa.array([found.full()] * len(out), pa.bool_()))
+
+
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def features(df: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, max_repeated: float) -> DataFrame:
-    """doc, host, text_hash, the features, base_failed, and hashes and words of the lines."""
+    """doc, host, text_hash, the features, base_failed, hashes and words of the lines, and the sketch."""
     def run(batches):
         from xxhash import xxh64_intdigest
 
@@ -110,32 +187,40 @@ def features(df: DataFrame, id_col: str, text_col: str, host_col: str, min_words
                  *[pa.array(list(v), pa.int64()) for v in (zip(*numbers) if numbers else [[]] * 5)],
                  pa.array(failed, pa.bool_()),
                  pa.array([x[0] for x in lines], pa.list_(pa.int64())),
-                 pa.array([x[1] for x in lines], pa.list_(pa.int64()))],
-                ["doc", "host", "text_hash", *FEATURES, "base_failed", "lines", "line_words"],
+                 pa.array([x[1] for x in lines], pa.list_(pa.int64())),
+                 pa.array([sketch(t) for t in texts], pa.binary())],
+                ["doc", "host", "text_hash", *FEATURES, "base_failed", "lines", "line_words", "sketch"],
             )
 
     kinds = {c: df.schema[c].dataType.simpleString() for c in (id_col, host_col)}
     numbers = ", ".join(f"{n} long" for n in FEATURES)
     schema = f"doc {kinds[id_col]}, host {kinds[host_col]}, text_hash long, {numbers}, base_failed boolean, " \
-             "lines array<long>, line_words array<long>"
+             "lines array<long>, line_words array<long>, sketch binary"
     return df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(host_col).alias("host")).mapInArrow(run, schema)
 
 
 def frequent_lines(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """host, line and documents of the lines in more than ``limit`` distinct documents of a host.
 
-    Distinct texts come first, then distinct document keys, so a line that everyone has
-    is spread over its documents before it is counted.
+    Lines of few different texts go first. A line's other texts are compared in groups of
+    about ``GROUP_TEXTS``, by hash, and what the groups count is compared again, unless
+    one group alone is over the limit. ``documents`` stops at ``limit`` + 1.
     """
-    least = F.array_sort(F.array_distinct("lines"))
-    # the two smallest hashes are enough to name the smallest one among the other lines
-    lines = rows.select("host", "text_hash", F.slice(least, 1, 2).alias("least"), F.explode(F.array_distinct("lines")).alias("line"))
-    first, second = F.get("least", F.lit(0)), F.get("least", F.lit(1))
-    other = F.when(F.col("line") == first, second).otherwise(first)
-    texts = lines.select("host", "line", other.alias("other"), "text_hash").distinct()
-    distinct = texts.groupBy("host", "line", "other").agg(F.count(F.lit(1)).alias("texts"))
-    counted = distinct.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"), F.sum("texts").alias("texts"))
-    return counted.where((F.col("documents") > limit) & (F.col("documents") >= DIVERSE * F.col("texts")))
+    lines = rows.select("host", "text_hash", F.explode(F.array_distinct("lines")).alias("line")).distinct()
+    held = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > limit)
+    held = kept(held.select(F.col("host").alias("h"), F.col("line").alias("l"), F.ceil(F.col("texts") / GROUP_TEXTS).alias("groups")))
+    wide = rows.select("host", "text_hash", F.struct("lines", "line_words", "sketch").alias("own"),
+                       F.explode(F.array_distinct("lines")).alias("line"))
+    wide = wide.join(small_or_plain(held, 64), F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
+    texts = wide.groupBy("host", "line", "groups", "text_hash").agg(F.min("own").alias("own"))
+    texts = texts.select("host", "line", F.pmod(F.xxhash64("text_hash"), F.col("groups")).alias("part"), "text_hash", "own.*",
+                         F.lit(False).alias("full"))
+    first = kept(texts.groupBy("host", "line", "part").applyInArrow(lambda t: distinct_texts(t, limit), texts.schema))
+    over = first.where("full").select("host", "line").distinct()
+    rest = first.join(over.select(F.col("host").alias("h"), F.col("line").alias("l")),
+                      F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left_anti")
+    again = rest.groupBy("host", "line").applyInArrow(lambda t: distinct_texts(t, limit), texts.schema)
+    return over.unionByName(again.where("full").select("host", "line")).withColumn("documents", F.lit(limit + 1).cast("long"))
 
 
 def removed_lines(rows: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -83,6 +83,26 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert line not in clean[5].text and len(clean[5].text) == clean[5].n_chars and R.text(5) in clean[5].text
 
 
+def test_shared_lines_of_template_pages_dont_hide_each_other(spark):
+    """Many shared lines and few own ones: all shared lines go, copies with changed words stay."""
+    shapes = [(2, 5), (5, 5), (5, 2), (8, 2), (8, 1), (20, 2)]
+    rows, shared = [], {}
+    for k, (s, u) in enumerate(shapes):
+        host = f"{s} shared, {u} own"
+        shared[host] = {quality.line_hash(x) for x in R.text(9000 + k, s).split("\n")}
+        rows += [(1000 * k + i, R.text(9000 + k, s) + "\n" + R.text(100_000 + 1000 * k + i, u), host) for i in range(500)]
+    choose = random.Random(3)
+    for i in range(400):  # one word in fifteen changed
+        text = "\n".join(" ".join(f"w{choose.randrange(10**9):x}" if choose.random() < 1 / 15 else w for w in line.split())
+                         for line in R.text(8999).split("\n"))
+        rows.append((20_000 + i, text, "copies"))
+    _, frequent = quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    found = collections.defaultdict(set)
+    for r in frequent.collect():
+        found[r.host].add(r.line)
+    assert found == shared
+
+
 def test_join_gives_the_same_as_the_broadcast(spark, monkeypatch):
     _, df = boilerplate(spark)
     by_broadcast = sorted(map(tuple, quality.cleaned(df, limit=10, length_col="n_chars").collect()))
