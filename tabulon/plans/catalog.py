@@ -551,7 +551,7 @@ def survey_training(spark: SparkSession, base_dir: str):
     codes, levels, features = fitted_survey(spark, base_dir)
     rows = encode.age_group(columns.where_in(students(spark, base_dir), "dietary_habits", DIET_ORDER))
     prepared = encode.prepared_survey(rows, features, codes, levels, keep=("row_key", "depression"))
-    return features, training.train_boosted(prepared, features, "depression", "row_key", stratified=True, maxIter=5, maxDepth=3)
+    return features, training.train_boosted(prepared, features, "depression", "row_key", stratified=True)
 
 
 def boosted_metrics(spark, base_dir):
@@ -572,7 +572,7 @@ def survey_importance(spark, base_dir):
     """Permutation importance of the survey model: every listed feature, once."""
     features, trained = survey_training(spark, base_dir)
     *_, boosted = trained.model.stages
-    found = permutation_importance(boosted, trained.held_out_features, features, "row_key", repeats=3)
+    found = permutation_importance(boosted, trained.held_out_features, features, "row_key")
     return found.select("feature", F.col("importance").between(-1, 1).alias("in_range"), (F.col("deviation") >= 0).alias("spread"))
 
 

@@ -1,6 +1,7 @@
 """Splits, metrics, training, scoring, explanation and the stream."""
 
 import hashlib
+import inspect
 import json
 
 import numpy as np
@@ -13,9 +14,9 @@ from tabulon.functions.expressions import ADOPTS, DECLINES
 from tabulon.functions.names import CATEGORIES, FLAGS, to_request_names, to_stored_names
 from tabulon.operators import metrics, split
 from tabulon.operators.importance import global_importance, permutation_importance
-from tabulon.operators.learners import FOREST, feature_names, final_features, forest_pipeline
+from tabulon.operators.learners import BOOSTED, FOREST, feature_names, final_features, forest_pipeline
 from tabulon.operators.scoring import LightScorer, PipelineScorer, choose_scorer, score_records
-from tabulon.plans import training
+from tabulon.plans import catalog, training
 from tabulon.sources import models
 from tabulon.sources.tables import clients, read_csv
 from tabulon.streaming.scoring import read_records, score_stream
@@ -206,6 +207,32 @@ def test_boosted_trees_stop_early(spark, table):
     assert set(trained.metrics) == {"auc", "accuracy", "f1"}
 
 
+def test_survey_queries_train_with_the_production_settings(spark, base_dir, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def caught(train, test, pipeline, key, label="label"):
+        raise Stop(pipeline)
+
+    monkeypatch.setattr(training, "fit_and_evaluate", caught)
+    for name in ("boosted_metrics", "survey_report", "survey_importance", "survey_scores"):
+        with pytest.raises(Stop) as stop:
+            catalog.queries()[name](spark, base_dir)
+        learner = stop.value.args[0].getStages()[-1]
+        assert {k: learner.getOrDefault(k) for k in BOOSTED} == BOOSTED
+
+
+def test_survey_importance_repeats_as_often_as_the_operator(spark, base_dir, monkeypatch):
+    given = []
+    model = training.Trained(type("Model", (), {"stages": [None]}), {})
+    monkeypatch.setattr(catalog, "survey_training", lambda s, d: (["x"], model))
+    monkeypatch.setattr(catalog, "permutation_importance", lambda *a, **k: given.append(
+        inspect.signature(permutation_importance).bind(*a, **k)) or spark.createDataFrame([("x", 0.0, 0.0)], "feature string, importance double, deviation double"))
+    catalog.survey_importance(spark, base_dir)
+    given[0].apply_defaults()
+    assert given[0].arguments["repeats"] == 15
+
+
 # --- scoring ---------------------------------------------------------------
 
 def test_records_in_both_spellings_score_the_same(table, forest):
