@@ -10,9 +10,9 @@ then expands and validates the span round it. Base kinds:
 
 The anchors add further kinds: ``login`` (user and password after a scheme),
 ``account`` (an IBAN that passes its check, or 6 to 20 digits and letters after an
-account cue) and ``address`` (a house number and up to five words that end in a street
-word, with a postal code if one follows). Added spans that lie inside a base span are
-left out.
+account cue) and ``address`` (a house number, one to five capitalised names and a street
+word of its own, with a postal code if one follows; no sentence ends in between). Added
+spans that lie inside a base span are left out.
 
 Spans are half-open code-point ranges of the whole text. Null counts as empty, and
 repeated rows are found as often as they come. Columns other than the given ones are
@@ -41,11 +41,17 @@ DIGITS = re.compile(r"[0-9]+")
 LOGIN = re.compile(r"://([^\s/?#@:]+:[^\s/?#@]+)@")
 IBAN = re.compile(r"[ \t]*[:=#]?[ \t]*([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})")
 ACCOUNT = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|id))?[ \t]*[:=#][ \t]*([A-Za-z0-9-]{6,20})(?![A-Za-z0-9-])", re.I)
-ADDRESS_BEFORE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]? (?:[^\W\d_][\w'.-]* ){0,5}[^\W\d_]*$")
+HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?$")
+#: A name in an address; a full stop only follows an initial or a listed short form.
+NAME = re.compile(r"(?:[A-Z]|St|Ste|Dr|Mt|Ft)\.|[^\W\d_][\w'-]*(?:\.[\w'-]+)*")
+PARTICLES = frozenset(("of", "the", "and", "de", "del", "der", "des", "du", "la", "le", "van", "von"))
+ADDRESS_NAMES = 5
 ADDRESS_AFTER = re.compile(r"(?:\.|,)?(?: [^\W\d_][\w'-]*){0,3},? [0-9]{5}(?![0-9])")
 
 IDENTIFIERS = ("iban", "account", "acct", "konto", "compte", "cuenta")
 STREETS = ("street", "avenue", "road", "boulevard", "lane", "drive", "square")
+#: Street words that are as often verbs or measures; these must be capitalised.
+COMMON_STREETS = ("drive", "square")
 
 
 def luhn(digits: str) -> bool:
@@ -161,11 +167,24 @@ class Finder:
 
     @staticmethod
     def address(text, at, end, added):
-        before = ADDRESS_BEFORE.search(text[max(0, at - 80) : at])
-        if before and not text[end : end + 1].isalnum():
-            after = ADDRESS_AFTER.match(text, end)
-            start = at - (before.end() - before.start())
-            added.append((start, after.end() if after else end, "address"))
+        if text[at - 1 : at] != " " or text[end : end + 1].isalnum() or text[at:end] in COMMON_STREETS:
+            return
+        stop = at - 1  # the space before a word that is looked at already
+        for names in range(ADDRESS_NAMES + 1):
+            start = text.rfind(" ", 0, stop) + 1
+            if names and (m := HOUSE.search(text, max(start, stop - 7), stop)):
+                after = ADDRESS_AFTER.match(text, end)
+                added.append((m.start(), after.end() if after else end, "address"))
+                return
+            word = text[start:stop]
+            small = names and word in PARTICLES  # between names
+            if not NAME.fullmatch(word) or not (small or word[0].isupper()):
+                return
+            if not word[0].isupper() and HOUSE.search(text, max(0, start - 8), start - 1):
+                return
+            stop = start - 1
+            if stop <= 0:
+                return
 
 
 def digest(spans: list[tuple[int, int, str]], kinds: tuple[str, ...]) -> str:

@@ -237,6 +237,18 @@ def test_personal_data_against_patterns():
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
 
 
+def test_prose_with_numbers_is_no_address():
+    find = pii.Finder()
+    for text in ("5 miles down the road", "2019 she moved abroad", "12 inches broad", "3 hours of night drive", "5 square metres",
+                 "40 when he died. The square", "20 for every seat in the airplane", "In 1990 Tom Smith died. Baker Street was empty",
+                 "3 of the Kings Road", "2 Kings of the Road", "12\nOld Street", "3 Americans drive north", "7 Main Streets"):
+        assert find(text) == [], text
+    for address in ("12 Old Main Street", "221b Baker street", "9 St. John's Road", "4 Isle of Man Avenue", "7 Éluard Square, Town 12345",
+                    "15 Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch Wolfeschlegelsteinhausenbergerdorff Memorial Hill North Lane"):
+        text = f"at ({address}, there"
+        assert [text[start:end] for start, end, _ in find(text)] == [address], address
+
+
 def test_added_kinds_and_masking():
     find = pii.Finder()
     text = "IBAN: DE89 3704 0044 0532 0130 00, 12 Old Main Street, Town 12345; account no: AB123456; http://me:pw@h.example.org/ a@b.org"
