@@ -417,7 +417,7 @@ def split_random(spark, base_dir):
 
 
 def many_levels(spark, base_dir):
-    """One-hot columns of a text with as many levels as customers of one nation, each used once."""
+    """One-hot columns of a text with as many levels as customers of five nations, each used once."""
     table = read_table(spark, base_dir, "customer").filter("c_nationkey < 5").select(
         "c_custkey", "c_name", (F.col("c_custkey") % 2).alias("y"))
     fitted = encode.TablePreparation.fit(table, "y", keys=["c_custkey"])
@@ -426,6 +426,12 @@ def many_levels(spark, base_dir):
     return wide.select("c_custkey", ones.cast("int").alias("indicators"), F.lit(len(fitted.features)).alias("n_features"))
 
 
+def many_levels_whole(spark, base_dir):
+    """Codes of a text with a level per row, over the whole table and without a column per level."""
+    table = read_table(spark, base_dir, "customer").select("c_custkey", "c_name")
+    return encode.frequency_coded(table, "c_name", "name_code").select("c_custkey", "c_name", "name_code")
+
+
 FEATURES: dict[str, Query] = {
     "string_index": string_index,
     "frequency_codes": frequency_codes,
@@ -451,6 +457,7 @@ FEATURES: dict[str, Query] = {
     "split_stratified": split_stratified,
     "split_random": split_random,
     "many_levels": many_levels,
+    "many_levels_whole": many_levels_whole,
 }
 
 

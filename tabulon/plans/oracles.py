@@ -522,6 +522,9 @@ def _models() -> dict[str, str]:
         "split_random": _clients("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS most_parts, true AS share_is_near FROM clients"),
         "many_levels": """WITH c AS (SELECT * FROM customer WHERE c_nationkey < 5), f AS (SELECT min(c_name) AS first, count(DISTINCT c_name) - 1 AS n FROM c)
 SELECT c_custkey, CAST(CASE WHEN c_name = first THEN 0 ELSE 1 END AS INT) AS indicators, CAST(n AS INT) AS n_features FROM c, f""",
+        "many_levels_whole": """WITH codes AS (SELECT c_name AS v, row_number() OVER (ORDER BY count(*) DESC, c_name) - 1 AS i
+  FROM customer WHERE c_name IS NOT NULL GROUP BY c_name)
+SELECT c_custkey, c_name, CAST(coalesce(i, (SELECT count(*) FROM codes)) AS DOUBLE) AS name_code FROM customer LEFT JOIN codes ON c_name = v""",
         "confusion_three": """SELECT CAST(a AS INT) AS actual, CAST(count(*) FILTER (WHERE y = a AND p = 0) AS BIGINT) AS predicted_0,
   CAST(count(*) FILTER (WHERE y = a AND p = 1) AS BIGINT) AS predicted_1, CAST(count(*) FILTER (WHERE y = a AND p = 2) AS BIGINT) AS predicted_2,
   CAST(count(*) FILTER (WHERE y = a AND p = 3) AS BIGINT) AS predicted_3
