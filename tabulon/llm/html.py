@@ -82,7 +82,8 @@ class Node:
 
 def parse(page: str) -> list[Node]:
     """Block nodes in page order; parents come before their children."""
-    page = CUT_OFF.sub("", page) if "<" in page[-2000:] else page
+    last = page.rfind("<")
+    page = page[:last] if last > page.rfind(">") and CUT_OFF.match(page, last) else page
     root = Node("html", None, "")
     nodes, now, at, anchor, unseen = [root], root, 0, 0, ""
     place, pending = 0, []

@@ -216,6 +216,13 @@ def test_trees_match_spark(spark):
     assert np.allclose(1 / (1 + np.exp(-odds)), [r.p for r in scored])
 
 
+def test_long_tag_cut_off_at_the_end_is_no_text():
+    for tag in ("<img src='data:image/png;base64," + "A" * 5000, "<img", "</p", "<!-- " + "x " * 3000):
+        runs = [text for node in html.parse(f"<p>some text {tag}") for _, text in node.runs]
+        assert runs == ["some text"], tag[:20]
+    assert [t for n in html.parse("<p>3 < " + "4 " * 2000) for _, t in n.runs][0].startswith("3 < 4")
+
+
 def test_broken_pages(spark):
     number = F.lit(None).cast("long")
     pages = [None, "", "plain text", "<p>one<p>two &am", "<p>cut off<a href='", "<div>" * 2000 + "deep", "</p></div>x", "<article><p>a &amp b", "<p>" + "y " * 100_000]
