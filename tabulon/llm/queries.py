@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tabulon.llm import ann, hmm, html, mixing, packing, pii, quality, secrets, simhash, urls
+from tabulon.llm import ann, conversations, hmm, html, mixing, packing, pii, quality, secrets, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op10_mixing(spark: SparkSession, base_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, base_dir, "documents"))
 
 
+def op11_conversations(spark: SparkSession, base_dir: str) -> DataFrame:
+    return conversations.audited(conversations.damaged(table(spark, base_dir, "conversations")), "present")
+
+
 def pipeline(spark: SparkSession, base_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, base_dir)
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op9_pii": op9_pii,
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
+        "op11_conversations": op11_conversations,
         "pipeline": pipeline,
     }
 
