@@ -29,10 +29,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tabulon.llm.common import kept, numbered, slices, small_or_plain
+from tabulon.session import task_count
 
 #: Rows of a run; rows that one group of runs is cut from, as a power of two; children of a
 #: node of the tree, as a power of two.
 RUN, CHUNK_BITS, FAN_BITS = 64, 12, 6
+CHUNKS_PER_TASK = 16
 DELETE, RENAME, INSERT, TRUNCATED = 2, 1, 5, 5
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -243,6 +245,9 @@ def runs(rows: DataFrame, run: int = RUN, chunk_bits: int = CHUNK_BITS) -> DataF
 
     table_schema = arrow_schema(RUN_SCHEMA)
     marked = cells(rows).withColumn("chunk", F.shiftright("pos", chunk_bits))
+    # rows that are few by bytes but costly to work on: the number of tasks is named
+    last = marked.agg(F.max("chunk")).first()[0] or 0
+    marked = marked.repartition(task_count(rows.sparkSession, last + 1, CHUNKS_PER_TASK), "chunk")
     return kept(marked.groupBy("chunk").applyInArrow(cut, RUN_SCHEMA))
 
 

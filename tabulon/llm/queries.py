@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tabulon.llm import ann, conversations, hmm, html, mixing, packing, pii, quality, secrets, simhash, urls
+from tabulon.llm import ann, conversations, hmm, html, merkle, mixing, packing, pii, quality, secrets, simhash, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,16 @@ def op11_conversations(spark: SparkSession, base_dir: str) -> DataFrame:
     return conversations.audited(conversations.damaged(table(spark, base_dir, "conversations")), "present")
 
 
+def op12_merkle(spark: SparkSession, base_dir: str) -> DataFrame:
+    manifest = merkle.built(table(spark, base_dir, "documents"), claimed=merkle.lowered_leaf())
+    return merkle.proofs(manifest)
+
+
+def op13_topk(spark: SparkSession, base_dir: str) -> DataFrame:
+    vector = F.when(topk.usable(F.col("embedding")), topk.quantised(F.col("embedding")))
+    return topk.nearest(table(spark, base_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, vector)
+
+
 def pipeline(spark: SparkSession, base_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, base_dir)
 
@@ -81,6 +91,8 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op10_mixing": op10_mixing,
         "op11_conversations": op11_conversations,
+        "op12_merkle": op12_merkle,
+        "op13_topk": op13_topk,
         "pipeline": pipeline,
     }
 
@@ -116,5 +128,18 @@ SELECT d.doc_id, d.size, r.source_size, r.target,
 FROM d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN drawn x ON x.number = r.number AND x.block = d.block"""
 
 
+#: Every query against every row.
+TOPK_SQL = """WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS pos, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vector
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.pos, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.vector, c.vector) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.pos <> c.pos AND len(q.vector) = len(c.vector) WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY pos ORDER BY score DESC, vec_id NULLS LAST) AS INT) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": MIXING_SQL}
+    return {"op10_mixing": MIXING_SQL, "op13_topk": TOPK_SQL}
