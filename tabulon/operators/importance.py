@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tabulon.functions.expressions import quoted
 from tabulon.operators.learners import feature_names, tree_stage
+from tabulon.operators.trees import ROWS, TreeScorer, matrix, stage_scorer
 from tabulon.session import task_count
 
-ROWS_PER_BUCKET = 100_000
-ROWS_PER_TASK = 5_000
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Rows of a ring, about: few enough that a test set of any size spreads over the tasks.
+ROWS_PER_BUCKET = 256
+ROWS_PER_TASK = 2_048
 
 
 def global_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -44,60 +51,75 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean and deviation of the accuracy lost when one feature is shuffled.
 
-    ``model`` reads a ``features`` vector of the named columns. The rows are thrown
-    into random buckets and put in random order there, as a ring; in repeat r every
-    row takes its features from the r-th row after it. That is one shuffle of the
-    rows for all repeats and features, with no join and no unbounded group.
+    ``model`` is a tree stage that reads a vector of the named columns, or a
+    :class:`~tabulon.operators.trees.TreeScorer`. The rows are thrown into random buckets and put
+    in random order there, as a ring; in repeat r a row takes the feature from the r-th row after it.
+    Each row steps down all trees once; for a shuffled feature only those trees are walked again that
+    test it on the row's own path, and only if the value differs. One shuffle of the rows, no copies.
     """
-    numbers = [quoted(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]
+    scorer = model if isinstance(model, TreeScorer) else stage_scorer(df.sparkSession, model, features)
+    width, names = len(features), [f"f{i}" for i in range(len(features))]
+    numbers = [quoted(f).cast("double").alias(n) for f, n in zip(features, names)]
     rows = df.select(quoted(key).alias("key"), quoted(label).cast("double").alias("y"), *numbers)
-    own = [F.col(f"f{i}") for i in range(len(features))]
-
-    def hit(scored):
-        return F.avg((F.col("y") == F.col(scored)).cast("double"))
-
-    base = model.transform(rows.select("y", array_to_vector(F.array(*own)).alias("features"))).agg(
-        F.count(F.lit(1)).alias("n"), hit("prediction").alias("accuracy")
-    ).first()
-    tasks = task_count(df.sparkSession, base["n"] * repeats, ROWS_PER_TASK)
-    buckets = max(1, math.ceil(base["n"] / rows_per_bucket))
+    n = df.count()
+    buckets = max(1, math.ceil(n / rows_per_bucket))
     thrown = rows.withColumns({
         "bucket": F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(buckets)), "turn": F.xxhash64("key", F.lit(seed + 1)),
     })
-    ring = Window.partitionBy("bucket").orderBy("turn", "key")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    features_of = F.struct(*own)
-    # the first rows of the ring follow its last ones
-    heads = F.array(*[F.nth_value(features_of, r).over(whole) for r in range(1, repeats + 1)])
-    placed = thrown.withColumns({
-        "place": F.row_number().over(ring), "size": F.count(F.lit(1)).over(whole), "heads": heads,
-        "after": F.array(*[F.lead(features_of, r).over(ring) for r in range(1, repeats + 1)]),
-    })
 
-    def other(r):
-        past = F.col("place") + r > F.col("size")
-        round_ = F.element_at("heads", (F.pmod(F.col("place") + r - 1, F.col("size")) + 1).cast("int"))
-        return F.when(past, round_).otherwise(F.get("after", F.lit(r - 1)))
+    def trial(ring: pa.Table) -> pa.Table:
+        ring = ring.sort_by([("turn", "ascending"), ("key", "ascending")]).combine_chunks()
+        x = matrix([ring.column(n).combine_chunks() for n in names], ring.num_rows)
+        y = matrix([ring.column("y").combine_chunks()], ring.num_rows)[:, 0]
+        hits = np.zeros((width + 1, repeats), np.int64)
+        for start in range(0, len(x), ROWS):
+            _count_hits(scorer, x, y, start, min(start + ROWS, len(x)), hits)
+        index, repeat = np.divmod(np.arange(hits.size), repeats)
+        return pa.table({"index": pa.array(index - 1, pa.int32()), "repeat": pa.array(repeat + 1, pa.int32()),
+                         "hits": hits.ravel(), "rows": np.full(hits.size, len(x))})
 
-    # the rings are few and their rows cheap to move, but costly to score
-    dealt = placed.select("y", *own, F.array(*[other(r) for r in range(1, repeats + 1)]).alias("others")).repartition(tasks)
-    dealt = dealt.select("y", *own, F.posexplode("others").alias("repeat", "other"))
-    variants = [
-        F.struct(
-            F.lit(i).alias("index"),
-            F.array(*[F.col(f"other.f{j}") if i == j else own[j] for j in range(len(own))]).alias("values"),
-        )
-        for i in range(len(own))
-    ]
-    trials = dealt.select("repeat", "y", F.inline(F.array(*variants))).select(
-        "repeat", "y", "index", array_to_vector("values").alias("features")
-    )
-    scores = model.transform(trials).groupBy("index", "repeat").agg(hit("prediction").alias("accuracy"))
-    drop = F.lit(base["accuracy"]) - F.col("accuracy")
-    names = F.array(*[F.lit(f) for f in features])
+    # rings are few by bytes but costly to walk, so the number of tasks is named
+    tasks = task_count(df.sparkSession, n, ROWS_PER_TASK)
+    counted = thrown.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(trial, "index int, repeat int, hits long, rows long")
+    scores = counted.groupBy("index", "repeat").agg((F.sum("hits") / F.sum("rows")).alias("accuracy"))
+    # index -1 holds the hits without a shuffle
+    base = Window.partitionBy("repeat")
+    drop = (F.max(F.when(F.col("index") < 0, F.col("accuracy"))).over(base) - F.col("accuracy")).alias("drop")
+    listed = F.array(*[F.lit(f) for f in features])
     return (
-        scores.groupBy("index")
-        .agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("deviation"))
-        .select(F.element_at(names, F.col("index") + 1).alias("feature"), "importance", "deviation")
+        scores.select("index", drop).where("index >= 0").groupBy("index")
+        .agg(F.avg("drop").alias("importance"), F.stddev_pop("drop").alias("deviation"))
+        .select(F.element_at(listed, F.col("index") + 1).alias("feature"), "importance", "deviation")
         .orderBy(F.desc("importance"), "feature")
     )
+
+
+def _count_hits(scorer: TreeScorer, x: np.ndarray, y: np.ndarray, start: int, stop: int, hits: np.ndarray) -> None:
+    """Add the hits of rows ``start`` to ``stop`` of a ring: as they are, and per feature and repeat."""
+    trees, repeats, size = scorer.trees, hits.shape[1], len(x)
+    own, truth = x[start:stop], y[start:stop]
+    leaves = trees.leaves(own)
+    values = trees.value[leaves]
+    right = scorer.predicted(values.sum(axis=0)) == truth
+    hits[0] += int(right.sum())
+    tested = trees.path_features(x.shape[1])[leaves]
+    places = (np.arange(start, stop)[:, None] + np.arange(1, repeats + 1)) % size
+    for feature in range(x.shape[1]):
+        other = x[places, feature]
+        levels, code = np.unique(other, return_inverse=True)
+        code = code.reshape(other.shape)
+        # a row that meets a value in several repeats is walked once with it
+        pairs, where = np.unique(np.arange(len(own))[:, None] * len(levels) + code, return_inverse=True)
+        row, level = np.divmod(pairs, len(levels))
+        result = right[row].copy()
+        before, after = own[row, feature], levels[level]
+        changed = np.flatnonzero((before != after) & ~(np.isnan(before) & np.isnan(after)))
+        for at in range(0, len(changed), ROWS):
+            some = changed[at : at + ROWS]
+            moved = own[row[some]].copy()
+            moved[:, feature] = after[some]
+            new = values[:, row[some]]
+            tree, which = np.nonzero(tested[:, row[some], feature])
+            new[tree, which] = trees.value[trees.steps(moved, which, trees.roots[tree])]
+            result[some] = scorer.predicted(new.sum(axis=0)) == truth[row[some]]
+        hits[feature + 1] += result[where.reshape(other.shape)].sum(axis=0)

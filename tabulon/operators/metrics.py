@@ -6,11 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from tabulon.functions.expressions import quoted
 from tabulon.operators.bounded import pinned
 
 SCORE_RANGES = 1_000
+#: Classes that a confusion matrix has columns for.
+MOST_CLASSES = 1_000
 
 
 def area_under_roc(df: DataFrame, label: str, score: str, ranges: int = SCORE_RANGES) -> DataFrame:
@@ -72,23 +75,27 @@ def confusion_matrix(
     """A row per actual class and a column per predicted class, zeros present.
 
     Without ``classes`` they are all that occur, actual or predicted; as each is
-    a column, the driver holds their names. :func:`confusion_counts` has the long form.
+    a column, the driver holds their names and counts, in one job: at most ``MOST_CLASSES``
+    classes. :func:`confusion_counts` has the long form for more.
     """
-    counts = pinned(confusion_counts(df, label, prediction))
-    if classes is None:
-        found = counts.select(F.explode(F.array("actual", "predicted")).alias("c")).distinct()
-        classes = sorted(r["c"] for r in found.collect())
-    names = [int(c) if float(c).is_integer() else float(c) for c in classes]
-    wide = "int" if all(isinstance(n, int) and abs(n) < 2**31 for n in names) else "double"
+    counts = confusion_counts(df, label, prediction)
+    most = MOST_CLASSES if classes is None else len(classes)
+    if classes is not None:
+        wanted = [float(c) for c in classes]
+        counts = counts.filter(F.col("actual").isin(*wanted) & F.col("predicted").isin(*wanted)) if wanted else counts.limit(0)
+    found = {(r["actual"], r["predicted"]): r["count"] for r in counts.limit(most**2 + 1).collect()}
+    listed = sorted({c for pair in found for c in pair}) if classes is None else list(classes)
+    if len(found) > most**2 or len(listed) > most:
+        raise ValueError(f"more than {most} classes; take confusion_counts, or name the classes")
+    names = [int(c) if float(c).is_integer() else float(c) for c in listed]
     if not names:
         return df.sparkSession.createDataFrame([], "actual int")
-    actual = df.sparkSession.createDataFrame([(float(n),) for n in names], "actual double")
-    cells = counts.groupBy("actual").agg(*[
-        F.coalesce(F.sum(F.when(F.col("predicted") == float(n), F.col("count"))), F.lit(0)).alias(f"predicted_{n}") for n in names
-    ])
-    columns = [f"predicted_{n}" for n in names]
-    return actual.join(cells, "actual", "left").select(
-        F.col("actual").cast(wide).alias("actual"), *[F.coalesce(quoted(c), F.lit(0)).alias(c) for c in columns])
+    wide = "int" if all(isinstance(n, int) and abs(n) < 2**31 for n in names) else "double"
+    kind = int if wide == "int" else float
+    rows = [(kind(a), *[found.get((float(a), float(p)), 0) for p in names]) for a in names]
+    fields = [StructField("actual", IntegerType() if wide == "int" else DoubleType())]
+    fields += [StructField(f"predicted_{n}", LongType()) for n in names]
+    return df.sparkSession.createDataFrame(rows, StructType(fields))
 
 
 def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from itertools import combinations_with_replacement
-
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tabulon.functions.expressions import nan_to_null, quoted
 from tabulon.operators.columns import numeric_columns
 from tabulon.operators.quantiles import exact_quantiles
 
-# Pairs of columns that one scan correlates.
-PAIRS_AT_ONCE = 500
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
@@ -120,32 +119,36 @@ def column_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every ordered pair, over the rows where both are
-    present. A constant column has no correlation (null), also with itself.
+    present. A column that is constant there has no correlation (null), also with itself.
 
-    A row is read once and adds to one running aggregate per pair; a task sends
-    a single row. Pairs beyond ``PAIRS_AT_ONCE`` take a further scan each time.
+    Each row becomes one vector of its present values, their squares and marks of presence;
+    one pass sums the vectors' products into a single small matrix, which holds the
+    counts, sums and products of every pair. Values are first shifted by the column's mean
+    and scaled by its deviation, so that no digits are lost.
     """
     names = list(columns or numeric_columns(df))
+    if not names:
+        return df.sparkSession.createDataFrame([], "x string, y string, r double")
     numbers = df.select(*[nan_to_null(quoted(c).cast("double")).alias(f"x{i}") for i, c in enumerate(names)])
-    pairs = list(combinations_with_replacement(range(len(names)), 2))
-
-    def correlation(a, b):
-        # the built-in corr() divides by zero for a constant column
-        spread = [F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(own))) for own, other in ((a, b), (b, a))]
-        return F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
-
-    def cells(some):
-        row = numbers.agg(*[correlation(f"x{i}", f"x{j}").alias(f"r{i}_{j}") for i, j in some])
-        out = []
-        for i, j in some:
-            r = F.col(f"r{i}_{j}")
-            r = F.when(r.isNotNull(), F.lit(1.0)) if i == j else r
-            for x, y in {(i, j), (j, i)}:
-                out.append(F.struct(F.lit(names[x]).alias("x"), F.lit(names[y]).alias("y"), r.alias("r")))
-        return _stacked(row, out)
-
-    parts = [cells(pairs[at : at + PAIRS_AT_ONCE]) for at in range(0, len(pairs), PAIRS_AT_ONCE)]
-    return reduce(DataFrame.union, parts)
+    k = len(names)
+    shape = numbers.agg(*[F.avg(f"x{i}") for i in range(k)], *[F.stddev_pop(f"x{i}") for i in range(k)]).first()
+    centred = [(F.col(f"x{i}") - float(shape[i] or 0.0)) / float(shape[k + i] or 1.0) for i in range(k)]
+    parts = [F.coalesce(v, F.lit(0.0)) for v in centred] + [F.coalesce(v * v, F.lit(0.0)) for v in centred]
+    parts += [F.col(f"x{i}").isNotNull().cast("double") for i in range(k)]
+    vectors = numbers.select(array_to_vector(F.array(*parts)).alias("v"))
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "v")).computeGramianMatrix().toArray()
+    values, squares, marks = (slice(at * k, (at + 1) * k) for at in range(3))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = gram[marks, marks]
+        mean, square = gram[values, marks] / n, gram[squares, marks] / n  # of the row's column where the other is present
+        spread = square - mean**2
+        # rounding leaves a trace of spread in a constant column
+        varies = spread > 1e-12 * np.maximum(square, 1e-300)
+        r = (gram[values, values] / n - mean * mean.T) / np.sqrt(spread * spread.T)
+    r = np.where(varies & varies.T, np.clip(r, -1.0, 1.0), np.nan)
+    r[np.diag_indices(k)] = np.where(np.isnan(np.diag(r)), np.nan, 1.0)
+    cells = [(x, y, None if np.isnan(r[i, j]) else float(r[i, j])) for i, x in enumerate(names) for j, y in enumerate(names)]
+    return df.sparkSession.createDataFrame(cells, "x string, y string, r double")
 
 
 def count_table(df: DataFrame, x: str, hue: str) -> DataFrame:

@@ -15,10 +15,11 @@ from tabulon.functions.names import (
     CATEGORIES, FLAGS, NAMES, OTHER_NAMES, from_stored_names, to_request_names, to_stored_names, to_table_names,
     with_underscore_names,
 )
-from tabulon.operators import columns, distribution, encode, metrics, profile, quantiles, split, statistics
+from tabulon.operators import boosting, columns, distribution, encode, metrics, profile, quantiles, split, statistics
 from tabulon.operators.importance import global_importance, permutation_importance
 from tabulon.operators.learners import feature_names
-from tabulon.operators.scoring import LightScorer, PipelineScorer, choose_scorer, score_records, scored
+from tabulon.operators.scoring import FlatScorer, LightScorer, choose_scorer, score_records, scored
+from tabulon.operators.trees import leaf_counts
 from tabulon.plans import training
 from tabulon.session import scratch_path
 from tabulon.sources.models import load_model, read_metadata, save_model
@@ -500,8 +501,8 @@ def light_model(spark: SparkSession, base_dir: str) -> str:
     return _trained[key]
 
 
-def forest_scorer(spark: SparkSession, base_dir: str) -> PipelineScorer:
-    return PipelineScorer(load_model(f"{forest_model(spark, base_dir)}/model"))
+def forest_scorer(spark: SparkSession, base_dir: str) -> FlatScorer:
+    return FlatScorer.load(spark, f"{forest_model(spark, base_dir)}/model")
 
 
 def checked_metrics(held_out: DataFrame) -> DataFrame:
@@ -532,6 +533,11 @@ def light_forest_metrics(spark, base_dir):
     return checked_metrics(columns.with_label(scorer.score_table(rows, ["adesao"]), "adesao"))
 
 
+def scoring_tasks(spark: SparkSession) -> int:
+    """Tables that come from a few joins are scored by all cores."""
+    return spark.sparkContext.defaultParallelism
+
+
 def score_checks(rows: DataFrame) -> DataFrame:
     """Whether scores are probabilities, and class and text follow from them."""
     total = F.aggregate("probability", F.lit(0.0), lambda a, p: a + p)
@@ -543,12 +549,12 @@ def score_checks(rows: DataFrame) -> DataFrame:
 
 
 def forest_scores(spark, base_dir):
-    model = load_model(f"{forest_model(spark, base_dir)}/model")
-    return score_checks(scored(model, clients(spark, base_dir), ["client_id", "adesao"]))
+    scorer = forest_scorer(spark, base_dir)
+    return score_checks(scorer.score_table(clients(spark, base_dir), ["client_id", "adesao"], scoring_tasks(spark)))
 
 
 def class_probabilities(spark, base_dir):
-    rows = scored(load_model(f"{forest_model(spark, base_dir)}/model"), clients(spark, base_dir), ["client_id"])
+    rows = forest_scorer(spark, base_dir).score_table(clients(spark, base_dir), ["client_id"], scoring_tasks(spark))
     exploded = rows.select("client_id", F.posexplode("probability").alias("class", "p"))
     return exploded.select("client_id", "class", F.col("p").between(0, 1).alias("in_range"))
 
@@ -593,6 +599,73 @@ def survey_scores(spark, base_dir):
     return score_checks(scored(model, fresh, ["row_key"]))
 
 
+#: Inputs with few values each, some of them missing, for trees that SQL can follow.
+STEPS = ["income_step", "usa_pix", "usa_ebanking", "emprestimo", "financiamento", "cartao_de_credito", "atrasa_pag"]
+
+
+def stepped_clients(spark: SparkSession, base_dir: str) -> DataFrame:
+    return columns.drop_null(clients(spark, base_dir), "adesao").withColumn("income_step", F.floor(F.col("renda") / 1000))
+
+
+def one_tree(spark: SparkSession, base_dir: str) -> tuple[boosting.Boosted, DataFrame]:
+    """A penalised tree of depth two at full rate, and its rows."""
+    rows = stepped_clients(spark, base_dir)
+    settings = boosting.Boosting(rate=1.0, rounds=1, max_depth=2, max_leaves=4)
+    return boosting.fit(rows, STEPS, "adesao", settings=settings), rows
+
+
+def boosted_splits(spark, base_dir):
+    """Every first split of the survey rows at the production settings, with its gain for the
+    missing on each side."""
+    found = boosting.root_splits(students(spark, base_dir), SURVEY_NUMBERS[:4], "depression")
+    return rounded(found, 6, "threshold", "gain")
+
+
+def client_splits(spark, base_dir):
+    return rounded(boosting.root_splits(stepped_clients(spark, base_dir), STEPS, "adesao"), 6, "threshold", "gain")
+
+
+def boosted_leaves(spark, base_dir):
+    """Value and rows of each leaf of the one tree."""
+    model, rows = one_tree(spark, base_dir)
+    values = spark.createDataFrame([(r["tree"], r["node"], r["path"], r["value"]) for r in model.leaves()], "tree int, node int, path string, value double")
+    return rounded(leaf_counts(model.scorer(), rows).join(F.broadcast(values), ["tree", "node"]).select("path", "rows", "value"), 9, "value")
+
+
+def boosted_confusion(spark, base_dir):
+    """Confusion cells of the one tree's predictions, exported and read again."""
+    model, rows = one_tree(spark, base_dir)
+    path = scratch_path(spark, "one-tree")
+    model.save(spark, f"{path}/model")
+    boosting.Boosted.load(spark, f"{path}/model").scorer().scored(rows, ["client_id", "adesao"]).write.parquet(f"{path}/scores")
+    return metrics.confusion_matrix(spark.read.parquet(f"{path}/scores"), "adesao", "prediction", classes=[0, 1])
+
+
+def survey_run(spark: SparkSession, base_dir: str) -> str:
+    """The survey job at its production settings, run once per table and session."""
+    key = (spark.sparkContext.applicationId, base_dir, "survey")
+    if key not in _trained:
+        codes, levels, features = fitted_survey(spark, base_dir)
+        rows = encode.age_group(columns.where_in(students(spark, base_dir), "dietary_habits", DIET_ORDER))
+        prepared = encode.prepared_survey(rows, features, codes, levels, keep=("row_key", "depression"))
+        path = scratch_path(spark, "survey")
+        training.survey_job(spark, prepared, features, "depression", "row_key", path)
+        _trained[key] = path
+    return _trained[key]
+
+
+def survey_job(spark, base_dir):
+    """What the one run left: confusion cells, report and importance of its written scores."""
+    path = survey_run(spark, base_dir)
+    scores = spark.read.parquet(f"{path}/scores")
+    cells = metrics.confusion_counts(scores, "label", "prediction").select(
+        F.lit("cell").alias("part"), F.concat_ws("/", metrics.class_name(F.col("actual")), metrics.class_name(F.col("predicted"))).alias("name"),
+        F.col("count").cast("double").alias("value"))
+    report = metrics.class_report(scores, "label", "prediction").select(F.lit("f1").alias("part"), F.col("class").alias("name"), F.col("f1").alias("value"))
+    importance = spark.read.parquet(f"{path}/importance").select(F.lit("importance").alias("part"), F.col("feature").alias("name"), F.col("importance").alias("value"))
+    return cells.unionByName(report).unionByName(importance)
+
+
 def judged_records(scores: DataFrame, rejects: DataFrame) -> DataFrame:
     """A row per record: its checks if it was scored, its reasons if it was not."""
     good = score_checks(scores.drop("unmatched")).withColumns({"accepted": F.lit(True), "reasons": F.lit(None).cast("string")})
@@ -682,9 +755,9 @@ def forest_importance(spark, base_dir):
 
 def forest_permutation(spark, base_dir):
     """Importance on the hold-out rows, fifteen shuffles per feature."""
-    index, assembler, forest = load_model(f"{forest_model(spark, base_dir)}/model").stages
+    scorer = forest_scorer(spark, base_dir)
     test = columns.with_label(labelled_hold_out(spark, base_dir), "adesao")
-    found = permutation_importance(forest, index.transform(test), assembler.getInputCols(), "client_id")
+    found = permutation_importance(scorer.trees, scorer.indexer.transform(test), scorer.trees.features, "client_id")
     rows = test.agg(F.count(F.lit(1)).alias("n_rows"))
     return found.crossJoin(F.broadcast(rows)).select(
         F.regexp_replace("feature", "_idx$", "").alias("feature"), F.col("importance").between(-1, 1).alias("in_range"),
@@ -720,6 +793,11 @@ MODELS: dict[str, Query] = {
     "survey_importance": survey_importance,
     "survey_scores": survey_scores,
     "boosted_metrics": boosted_metrics,
+    "boosted_splits": boosted_splits,
+    "client_splits": client_splits,
+    "boosted_leaves": boosted_leaves,
+    "boosted_confusion": boosted_confusion,
+    "survey_job": survey_job,
     "forest_scores": forest_scores,
     "class_probabilities": class_probabilities,
     "score_records": score_raw_records,

@@ -499,6 +499,73 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
     }
 
 
+#: Units that gradients are counted in, and the learner's penalty and least rows and hessian.
+UNIT, L2, LEAST_ROWS, LEAST_HESSIAN = 16777216, "0.3::DOUBLE", 20, "0.001"
+
+
+def _rooted(source: str, features: list[str], label: str, where: str) -> list[str]:
+    """Rows in one node with gradients and hessians at the label's odds."""
+    listed = ", ".join(f"CAST({f} AS DOUBLE) AS f{i}" for i, f in enumerate(features))
+    return [
+        f"base AS (SELECT ln(p / (1 - p)) AS start FROM (SELECT avg(CAST({label} AS DOUBLE)) AS p FROM {source} WHERE {where}))",
+        f"""at0 AS (SELECT '' AS node, {listed}, {label} AS y, start, CAST(round((1 / (1 + exp(-start)) - {label}) * {UNIT}) AS BIGINT) AS g,
+  CAST(round(1 / (1 + exp(-start)) * (1 - 1 / (1 + exp(-start))) * {UNIT}) AS BIGINT) AS h FROM {source}, base WHERE {where})""",
+    ]
+
+
+def _splits(level: int, features: list[str]) -> list[str]:
+    """Allowed splits of the nodes of ``at<level>``, both sides for the missing, and the best of each."""
+    cells = _union([f"SELECT node, {i} AS feature, f{i} AS v, g, h FROM at{level}" for i in range(len(features))])
+    sums = ("g", "h", "n")
+    over = "PARTITION BY node, feature"
+    to = ", ".join(f"sum({c}) FILTER (WHERE v IS NOT NULL) OVER ({over} ORDER BY v NULLS LAST ROWS UNBOUNDED PRECEDING) AS to_{c}" for c in sums)
+    all_ = ", ".join(f"sum({c}) OVER ({over}) AS all_{c}, coalesce(sum({c}) FILTER (WHERE v IS NULL) OVER ({over}), 0) AS gone_{c}" for c in sums)
+    left = ", ".join(f"to_{c} + CASE WHEN missing_left THEN gone_{c} ELSE 0 END AS left_{c}" for c in sums)
+    score = lambda g, h: f"(CAST({g} AS DOUBLE) / {UNIT}) * (CAST({g} AS DOUBLE) / {UNIT}) / (CAST({h} AS DOUBLE) / {UNIT} + {L2})"
+    return [
+        f"cell{level} AS (SELECT node, feature, v, CAST(sum(g) AS BIGINT) AS g, CAST(sum(h) AS BIGINT) AS h, count(*) AS n FROM ({cells}) GROUP BY ALL)",
+        f"""side{level} AS (SELECT *, {left} FROM (SELECT node, feature, v, max(v) OVER ({over}) AS last, {to}, {all_} FROM cell{level}),
+  (VALUES (false), (true)) s(missing_left) WHERE v IS NOT NULL AND (gone_n > 0 OR missing_left = (2 * to_n >= all_n)))""",
+        f"""gain{level} AS (SELECT * FROM (SELECT *, {score("left_g", "left_h")} + {score("(all_g - left_g)", "(all_h - left_h)")} - {score("all_g", "all_h")} AS gain
+  FROM side{level}) WHERE gain > 0 AND least(left_n, all_n - left_n) >= {LEAST_ROWS} AND least(left_h, all_h - left_h) / CAST({UNIT} AS DOUBLE) >= {LEAST_HESSIAN})""",
+        f"""best{level} AS (SELECT * FROM gain{level} QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, v, missing_left) = 1)""",
+    ]
+
+
+def _split_down(level: int, features: list[str]) -> str:
+    """Rows of the next level: the letter of their side added, where their node splits."""
+    value = "CASE b.feature " + " ".join(f"WHEN {i} THEN f{i}" for i in range(len(features))) + " END"
+    side = f"CASE WHEN {value} IS NULL THEN b.missing_left ELSE {value} <= b.v END"
+    return f"""at{level + 1} AS (SELECT a.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN a.node WHEN {side} THEN a.node || 'L' ELSE a.node || 'R' END AS node
+  FROM at{level} a LEFT JOIN best{level} b ON a.node = b.node)"""
+
+
+def _first_splits(features: list[str]) -> str:
+    names = "CASE feature " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(features)) + " END"
+    return f"""SELECT {names} AS feature, CASE WHEN v < last THEN round(v, 6) END AS threshold, missing_left, CAST(left_n AS BIGINT) AS left_rows,
+  round(gain, 6) AS gain FROM gain0"""
+
+
+def _boosted() -> dict[str, str]:
+    steps = ["income_step", "usa_pix", "usa_ebanking", "emprestimo", "financiamento", "cartao_de_credito", "atrasa_pag"]
+    stepped = "stepped AS (SELECT *, floor(renda / 1000) AS income_step FROM clients)"
+    rooted = _rooted("stepped", steps, "adesao", "adesao IS NOT NULL")
+    # each node of the second level splits alone, so the tree is the same in any order
+    tree = [stepped, *rooted, *_splits(0, steps), _split_down(0, steps), *_splits(1, steps), _split_down(1, steps)]
+    value = f"-(CAST(sum(g) AS DOUBLE) / {UNIT}) / (CAST(sum(h) AS DOUBLE) / {UNIT} + {L2})"
+    numbers = SURVEY_NUMBERS[:4]
+    return {
+        "boosted_splits": _students(_first_splits(numbers), *_rooted("students", numbers, "depression", "true"), *_splits(0, numbers)),
+        "client_splits": _clients(_first_splits(steps), stepped, *rooted, *_splits(0, steps)),
+        "boosted_leaves": _clients(f"SELECT node AS path, CAST(count(*) AS BIGINT) AS rows, round({value}, 9) AS value FROM at2 GROUP BY node", *tree),
+        "boosted_confusion": _clients(
+            """SELECT CAST(a AS INT) AS actual, CAST(count(*) FILTER (WHERE y = a AND NOT yes) AS BIGINT) AS predicted_0,
+  CAST(count(*) FILTER (WHERE y = a AND yes) AS BIGINT) AS predicted_1
+FROM (SELECT y, start + value > 0 AS yes FROM at2 JOIN leaf USING (node)), (VALUES (0), (1)) v(a) GROUP BY a""",
+            *tree, f"leaf AS (SELECT node, {value} AS value FROM at2 GROUP BY node)"),
+    }
+
+
 def _models() -> dict[str, str]:
     bucket = "CAST('0x' || substr(md5(CAST({0} AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 100 < 80"
     held_out = f"(SELECT CAST(count(*) AS BIGINT) FROM clients WHERE adesao IS NOT NULL AND NOT ({bucket.format('client_id')}))"
@@ -558,4 +625,4 @@ FROM (SELECT l_linenumber % 3 AS y, l_suppkey % 4 AS p FROM lineitem), (VALUES (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_statistics(), **_columns(), **_profiles(), **_features(), **_metrics(), **_models()}
+    return {**_statistics(), **_columns(), **_profiles(), **_features(), **_metrics(), **_models(), **_boosted()}
