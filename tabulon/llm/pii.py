@@ -139,7 +139,8 @@ class Finder:
             done["ip"] = done["run"]  # a later digit of the run fails likewise
             return
         done["ip"] = m.end()
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        parts = [part.lstrip("0") or "0" for part in m[0].split(".")]  # of any number of zeros
+        if all(len(part) <= 3 and int(part) <= 255 for part in parts):
             found.append((at, m.end(), "ip"))
 
     @staticmethod

@@ -417,3 +417,10 @@ def test_language_model_stands_awkward_rows(spark):
     assert hmm.scored(R.empty(spark), ~hmm.held_out("doc_id")).count() == 0
     nothing = hmm.scored(df, F.lit(False)).collect()
     assert len(nothing) == df.count() and all(r.n_known == r.train_tokens == 0 for r in nothing)
+
+
+def test_long_runs_of_zeros_are_numbers():
+    find = pii.Finder()
+    assert find("0" * 10_000 + ".1.1.1") == [(0, 10_006, "ip")]
+    assert find("9" * 10_000 + ".1.1.1") == []
+    assert find("1.1.1." + "0" * 10_000 + "256") == []
