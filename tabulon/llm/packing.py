@@ -2,8 +2,8 @@
 
 A document's ids are cut into pieces only where it is longer than a sequence. A
 piece goes where the sum over all residual gaps of (open sequences with that gap)
-squared becomes smallest. Pieces are dealt by a hash of their document to groups of
-about ``documents_per_group`` documents; each group is packed by itself, longest
+squared becomes smallest. Pieces are written and dealt evenly, whatever their document, to groups of
+about ``pieces_per_group`` pieces; each group is packed by itself, longest
 pieces first, and only sizes and checksums travel, never ids or texts.
 
 Null text counts as empty: one piece that holds the end id alone. Repeated rows are
@@ -15,19 +15,23 @@ from __future__ import annotations
 
 import sys
 import types
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from tabulon.llm.common import slices
+from tabulon.llm.common import kept, slices
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a Python worker keeps; beyond it, it starts anew.
-KEPT_WORDS = 500_000
+#: Words of each age whose ids a Python worker keeps.
+KEPT_WORDS = 800_000
+#: Marks behind a letter that end a word; what is parted by a space has the same ids.
+TAIL = r"([a-z])([.,;:!?]+) "
 #: Marks that the tokenizer parts from the letters before them, one run at a time.
 MARKS = ".,;:!?#$%&*()[]{}+=/|<>~^@\"-"
 
@@ -45,6 +49,12 @@ def worker_memory(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+def stays_letters(word: str) -> bool:
+    """Whether a word is letters alone, also in the form that the tokenizer gives it: some
+    letters are taken apart into one and a mark, which then joins the marks behind it."""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", unicodedata.normalize("NFC", word).lower()).isalpha())
+
+
 class WordEncoder:
     """Ids of whole texts from the ids of their words.
 
@@ -52,61 +62,92 @@ class WordEncoder:
     those of its words in order; a run of marks after letters is treated alone too. New
     words of letters are encoded many at a time, parted by a comma, whose id no such
     word contains. A text with a special token's opening is encoded directly.
+
+    Known words have two ages: when there are too many young ones they become the old ones, and
+    what is met again becomes young, so that common words are never encoded twice.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        memory = worker_memory(path)
-        if "tokenizer" not in memory:
-            memory |= {"tokenizer": Tokenizer.from_file(path), "ids": {}}
-        self.tokenizer, self.known = memory["tokenizer"], memory["ids"]
+        self.memory = worker_memory(path)
+        if "tokenizer" not in self.memory:
+            self.memory |= {"tokenizer": Tokenizer.from_file(path), "ids": {}, "old": {}}
+        self.tokenizer = self.memory["tokenizer"]
         (self.comma,) = self._plain(",")
 
+    @property
+    def known(self) -> dict[str, bytes]:
+        return self.memory["ids"]
+
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _bytes(self, text: str) -> bytes:
         return np.asarray(self._plain(text), "<u4").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        known = self.known
+    def _learn(self, new: list[str]) -> None:
+        known, old = self.known, self.memory["old"]
         known[""] = b""
-        tails = {w: len(w.rstrip(MARKS)) for w in new if not w.isalpha()}
-        letters = {w for w in new if w not in tails} | {w[:n] for w, n in tails.items() if w[:n].isalpha()}
-        letters = [w for w in letters if w not in known]
-        for at in range(0, len(letters), 256):
-            some = letters[at : at + 256]
+        letters, tailed = [], []
+        for word in new:
+            if word in old:
+                known[word] = old[word]
+            elif stays_letters(word):
+                letters.append(word)
+            else:
+                stem = word.rstrip(MARKS)
+                tailed.append((word, stem, word[len(stem) :]))
+        stems = {stem for _, stem, _ in tailed if stem not in known and stays_letters(stem)}.difference(letters)
+        for stem in stems:
+            if stem in old:
+                known[stem] = old[stem]
+            else:
+                letters.append(stem)
+        for at in range(0, len(letters), 512):
+            some = letters[at : at + 512]
             (encoded,) = self.tokenizer.encode_batch_fast([" , ".join(some)], add_special_tokens=False)
             ids = np.asarray(encoded.ids, "<u4")
             cuts = 4 * np.flatnonzero(ids == self.comma)
             whole = ids.tobytes()
             for word, start, end in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(whole)]):
                 known[word] = whole[start:end]
-        for tail in {w[n:] for w, n in tails.items()}:
-            if tail not in known:
-                known[tail] = self._bytes(tail)
-        for word, n in tails.items():
-            stem = word[:n]
-            known[word] = known[stem] + known[word[n:]] if stem.isalpha() else self._bytes(word)
+        marks: dict[str, bytes] = {}
+        for word, stem, tail in tailed:
+            if stem in known and stays_letters(stem):
+                if tail not in marks:
+                    marks[tail] = self._bytes(tail)
+                known[word] = known[stem] + marks[tail]
+            else:
+                known[word] = self._bytes(word)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, as bytes."""
-        split = [
-            None if "<|" in (t or "") else (t or "").encode().lower().decode().replace("\n", " ").split(" ")
-            for t in texts
-        ]
-        needed = {w for parts in split if parts for w in parts}
-        new = needed.difference(self.known)
-        if new:
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.known.clear()
-                new = needed
-            self._learn(new)
-        find = self.known.__getitem__
-        return [
-            self._bytes(t) if parts is None else b"".join(map(find, parts)) for t, parts in zip(texts, split)
-        ]
+        direct = {i: self._bytes(t) for i, t in enumerate(texts) if t and "<|" in t}
+        column = pa.array(["" if i in direct else t or "" for i, t in enumerate(texts)], pa.string())
+        column = pc.replace_substring(pc.ascii_lower(column), "\n", " ")
+        column = pc.replace_substring_regex(column, TAIL, r"\1 \2 ")
+        split = pc.split_pattern(column, " ")
+        if isinstance(split, pa.ChunkedArray):
+            split = split.combine_chunks()
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) + len(words) > KEPT_WORDS:
+            self.memory["old"], self.memory["ids"] = self.known, {}
+        known = self.known
+        self._learn([w for w in words if w not in known])
+        ids = [known[w] for w in words]
+        # all words' ids in the order of the texts, by their place among the different ones
+        each = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(each) - each
+        which = coded.indices.to_numpy()
+        sizes = each[which]
+        ends = np.cumsum(sizes)
+        place = np.repeat(starts[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        stream = table[place]
+        last = np.append(0, ends)[np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]
+        first = np.append(0, last[:-1])
+        return [direct[i] if i in direct else stream[a:b].tobytes() for i, (a, b) in enumerate(zip(first.tolist(), last.tolist()))]
 
 
 def pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -169,14 +210,15 @@ def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np
 
 
 def packed(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-           capacity: int = CAPACITY, end_id: int = END_ID, documents_per_group: int = 4096) -> DataFrame:
+           capacity: int = CAPACITY, end_id: int = END_ID, pieces_per_group: int = 4096) -> DataFrame:
     """Every piece with its sequence and its place there.
 
     Columns: the id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    cut = pieces(df, tokenizer_path, id_col, text_col, capacity, end_id)
-    groups = max(1, -(-df.count() // documents_per_group))
-    cut = cut.withColumn("__group", F.pmod(F.xxhash64("doc", F.lit(groups)), F.lit(groups)))
+    cut = kept(pieces(df, tokenizer_path, id_col, text_col, capacity, end_id))
+    groups = max(1, -(-cut.count() // pieces_per_group))
+    # dealt by their place in the written table, so that no id or text gathers in one group
+    cut = cut.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(groups)), F.lit(groups)))
     schema = StructType([StructField(id_col, cut.schema["doc"].dataType), *cut.schema.fields[1:5],
                          StructField("sequence_id", LongType()), StructField("offset", LongType())])
 

@@ -33,6 +33,39 @@ def test_words_give_the_ids_of_the_text(encoder):
         assert np.frombuffer(ids, "<u4").tolist() == direct(encoder, text), text
 
 
+def test_ids_of_any_unicode_text(encoder):
+    """Ten thousand texts of letters, marks and accents, as the tokenizer has them whole."""
+    choose = random.Random(5)
+    pool = [chr(c) for c in (*range(32, 127), *range(0xC0, 0x180), *range(0x300, 0x320), *range(0x390, 0x3D0), *range(0x958, 0x960),
+                             0x130, 0x131, 0x1E9E, 0xFB01, 0x212A, 0x2126, 0xA0, 0x85, 0x2028, 0xAC00, 0x1100, 0x1161, 0x4E2D, 0x1F600)]
+    common = list("aeiou  ..,!?İ\n'") + ["é", "e\u0301"]
+    texts = ["".join(choose.choice(common if choose.random() < 0.6 else pool) for _ in range(choose.randint(0, 12))) for _ in range(10_000)]
+    texts += ["İ.", "a. b", "a... ,b", "K.", "क़.", "x." * 5, ". a.  ", "İ̇. "]
+    for start in range(0, len(texts), 256):
+        some = texts[start : start + 256]
+        for text, ids in zip(some, encoder.encode(some)):
+            assert np.frombuffer(ids, "<u4").tolist() == direct(encoder, text), repr(text)
+
+
+def test_forgotten_words_are_learnt_again(encoder, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50)
+    choose = random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(f"w{choose.randint(0, 400)}x, y{choose.randint(0, 9)}." for _ in range(20)) for _ in range(4)]
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == direct(encoder, text)
+
+
+def test_rows_of_one_document_spread_over_groups(spark):
+    df = spark.createDataFrame([(None, "word " * (i % 50)) for i in range(600)], "doc_id long, text string")
+    found = packing.packed(df, packing.default_tokenizer(), pieces_per_group=50).collect()
+    assert len(found) == 600
+    groups = defaultdict(int)
+    for r in found:
+        groups[r.sequence_id >> 40] += 1
+    assert len(groups) == 12 and max(groups.values()) < 100
+
+
 def test_sequences_hold_their_pieces_and_few_are_needed():
     lengths = np.array(sorted(np.random.default_rng(1).integers(1, 4097, 3000), reverse=True))
     sequence, offset = packing.place(lengths)
