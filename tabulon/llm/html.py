@@ -25,6 +25,8 @@ from __future__ import annotations
 import html as references
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,10 @@ SAMPLE_PAGES = 300
 LAYOUTS = 3
 TREES, DEPTH = 20, 4
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+SPECIAL = re.compile(r"[>\"']")
 CUT_OFF = re.compile(r"<(?:[/!?]|[a-zA-Z])[^<>]*\Z")
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 UNSEEN = frozenset("head script style noscript template title svg math iframe object canvas audio video select textarea".split())
 RAW = frozenset(("script", "style", "title", "textarea", "noscript", "iframe"))
@@ -80,6 +83,54 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
+class Markup:
+    """Tags and comments of a page, in one way forward: a search that failed isn't repeated, so
+    the time stays in proportion to the page however broken it is."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special = [m.start() for m in SPECIAL.finditer(page)]
+        self.last = page.rfind(">")
+        self.ends: dict[int, int] = {}  # by the place of a mark outside quotes
+
+    def tag_end(self, at: int) -> int:
+        """Place of the first > outside quotes, or -1."""
+        seen = []
+        while True:
+            i = bisect_left(self.special, at)
+            if i == len(self.special):
+                end = -1
+                break
+            mark = self.special[i]
+            if mark in self.ends:
+                end = self.ends[mark]
+                break
+            seen.append(mark)
+            if self.page[mark] == ">":
+                end = mark
+                break
+            at = self.page.find(self.page[mark], mark + 1) + 1
+            if not at:  # the quote isn't closed
+                end = -1
+                break
+        self.ends.update(dict.fromkeys(seen, end))
+        return end
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it closes, name (none for comments) and attributes."""
+        while m := OPENING.search(self.page, at):
+            if m[1]:
+                end = self.page.find("-->", m.end())
+                return m.start(), end + 3 if end >= 0 else len(self.page), False, "", ""
+            end = -1
+            if m.end() <= self.last:
+                end = self.page.find(">", m.end()) if m[2] else self.tag_end(m.end())
+            if end >= 0:
+                return m.start(), end + 1, bool(m[3]), (m[4] or "").lower(), self.page[m.end() : end] if m[4] else ""
+            at = m.start() + 1
+        return None
+
+
 def parse(page: str) -> list[Node]:
     """Block nodes in page order; parents come before their children."""
     last = page.rfind("<")
@@ -98,28 +149,32 @@ def parse(page: str) -> list[Node]:
             now.stops += sum(map(text.count, ".,!?;:"))
             place += 1
 
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if not unseen and m.start() > at:
-            piece = page[at : m.start()]
+    markup, open_ = Markup(page), Counter()
+
+    def leave():
+        nonlocal now
+        open_[now.tag] -= 1
+        now = now.parent
+
+    while token := markup.next(at):
+        start, end, closing, tag, attributes = token
+        if not unseen and start > at:
+            piece = page[at:start]
             pending.append(piece)
             if anchor:
                 now.linked += len(piece)
-        at = m.end()
-        tag = (m[2] or "").lower()
+        at = end
         if not tag:
             continue
-        closing = bool(m[1])
         if unseen:
             if closing and tag == unseen:
                 unseen = ""
             continue
         if tag in UNSEEN:
-            if not closing and not m[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 if tag in RAW:  # their content is no markup
-                    end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                    stop = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+                    at = stop.end() if stop else len(page)
                 else:
                     unseen = tag
             continue
@@ -136,25 +191,25 @@ def parse(page: str) -> list[Node]:
         close_run()
         anchor = 0
         if closing:
-            up = now
-            while up and up.tag != tag:
-                up = up.parent
-            if up and up.parent:
-                now = up.parent
+            if open_[tag]:  # else it closes nothing
+                while now.tag != tag:
+                    leave()
+                leave()
             continue
         if tag in ("html", "body") and not now.parent:
             if tag == "body":
-                now.attributes = m[3]
+                now.attributes = attributes
             continue
         if tag in CLOSES_P and now.tag == "p":
-            now = now.parent
+            leave()
         elif now.tag in CLOSES.get(tag, ()):
             while now.tag in CLOSES[tag]:
-                now = now.parent
-        child = Node(tag, now, m[3])
+                leave()
+        child = Node(tag, now, attributes)
         now.children.append(child)
         nodes.append(child)
         now = child
+        open_[tag] += 1
     if not unseen:
         pending.append(page[at:])
         close_run()

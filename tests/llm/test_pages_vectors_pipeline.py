@@ -7,6 +7,7 @@ import os
 import random
 import re
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -223,6 +224,34 @@ def test_long_tag_cut_off_at_the_end_is_no_text():
     assert [t for n in html.parse("<p>3 < " + "4 " * 2000) for _, t in n.runs][0].startswith("3 < 4")
 
 
+SLOW_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+
+def test_markup_is_what_one_pattern_finds():
+    """On short pages of random marks, where the pattern is quick."""
+    choose = random.Random(2)
+    parts = ["<", ">", "\"", "'", "a", "/", "!", "--", "-->", "<!--", " ", "<p", "</p>", "=", "?", "x", "<b c='"]
+    for _ in range(5000):
+        page = "".join(choose.choice(parts) for _ in range(choose.randint(0, 14)))
+        markup, at, found = html.Markup(page), 0, []
+        while token := markup.next(at):
+            found.append(token)
+            at = token[1]
+        assert found == [(m.start(), m.end(), bool(m[1]), (m[2] or "").lower(), m[3] or "") for m in SLOW_TAG.finditer(page)], page
+
+
+def test_long_broken_pages_take_little_time():
+    pages = {
+        "no end of tags": "<a " * 350_000 + "x", "no end of a quote": "<a b=\"" * 150_001 + ">", "two kinds of quotes": "<a '\" " * 100_000 + ">",
+        "stray end tags": "<div>" * 2000 + "</p>" * 100_000 + "x", "no end of declarations": "<!x" * 200_000,
+        "a long name": "<p " + "x" * 1_000_000 + ">y", "a long attribute": "<p " + "x =" * 300_000 + ">y", "spaces": "<p x" + " " * 1_000_000 + ">y",
+    }
+    for name, page in pages.items():
+        start = time.process_time()
+        html.main_texts([page], html.plain_log_odds)
+        assert time.process_time() - start < 1, name
+
+
 def test_broken_pages(spark):
     number = F.lit(None).cast("long")
     pages = [None, "", "plain text", "<p>one<p>two &am", "<p>cut off<a href='", "<div>" * 2000 + "deep", "</p></div>x", "<article><p>a &amp b", "<p>" + "y " * 100_000]
