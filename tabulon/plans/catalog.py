@@ -17,14 +17,17 @@ from tabulon.functions.names import (
 )
 from tabulon.operators import boosting, columns, distribution, encode, metrics, profile, quantiles, split, statistics
 from tabulon.operators.importance import global_importance, permutation_importance
+from tabulon.operators.indexing import LevelIndex, one_hot_levels
 from tabulon.operators.learners import feature_names
+from tabulon.operators.pages import PageIndex
 from tabulon.operators.scoring import FlatScorer, LightScorer, choose_scorer, score_records, scored
 from tabulon.operators.trees import leaf_counts
 from tabulon.plans import training
 from tabulon.session import scratch_path
 from tabulon.sources.models import load_model, read_metadata, save_model
 from tabulon.sources.records import json_rows, parsed_json, typed_payload
-from tabulon.sources.tables import clients, read_csv, read_table, students, write_csv
+from tabulon.sources.split_csv import read_split_csv
+from tabulon.sources.tables import CSV_FORM, clients, read_csv, read_table, students, write_csv
 from tabulon.streaming.scoring import read_records, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -418,13 +421,15 @@ def split_random(spark, base_dir):
 
 
 def many_levels(spark, base_dir):
-    """One-hot columns of a text with as many levels as customers of five nations, each used once."""
-    table = read_table(spark, base_dir, "customer").filter("c_nationkey < 5").select(
-        "c_custkey", "c_name", (F.col("c_custkey") % 2).alias("y"))
-    fitted = encode.TablePreparation.fit(table, "y", keys=["c_custkey"])
-    wide = fitted.transform(table)
-    ones = F.aggregate(F.array(*[quoted(c) for c in fitted.features]), F.lit(0.0), lambda a, x: a + x)
-    return wide.select("c_custkey", ones.cast("int").alias("indicators"), F.lit(len(fitted.features)).alias("n_features"))
+    """One-hot of a text with a level per row, as a sparse vector over the whole table."""
+    table = read_table(spark, base_dir, "customer").select("c_custkey", "c_name")
+    vectors = one_hot_levels(table, "c_name")
+    # the dense form would hold a number per level and row
+    entries = vectors.select("c_custkey", F.from_json(F.to_json(F.struct(F.col("c_name_onehot").alias("v"))),
+                                                      "v struct<size: int, indices: array<int>, values: array<double>>").alias("j"))
+    ones = F.aggregate("j.v.values", F.lit(0.0), lambda a, x: a + x)
+    return entries.select("c_custkey", ones.cast("int").alias("indicators"), F.col("j.v.size").alias("n_features"),
+                          F.get("j.v.indices", F.lit(0)).alias("position"))
 
 
 def many_levels_whole(spark, base_dir):
@@ -501,6 +506,51 @@ def light_model(spark: SparkSession, base_dir: str) -> str:
     return _trained[key]
 
 
+def page_index(spark: SparkSession, base_dir: str) -> PageIndex:
+    key = (spark.sparkContext.applicationId, base_dir, "pages")
+    if key not in _trained:
+        path = scratch_path(spark, "pages")
+        PageIndex.build(students(spark, base_dir).select("id", "row_key", "age"), "id", path, rows_per_zone=10_000)
+        _trained[key] = path
+    return PageIndex(spark, _trained[key], "id")
+
+
+def deep_page_indexed(spark, base_dir):
+    """The same page as ``deep_page``, read by its place from the written zones."""
+    index = page_index(spark, base_dir)
+    return index.page(40, index.total() // 2)
+
+
+def csv_split(spark, base_dir):
+    """Documents with line breaks in quoted texts, read back record by record from blocks."""
+    key = F.col("doc_id")
+    table = read_table(spark, base_dir, "documents").select(
+        "doc_id", F.when(key % 11 == 0, None).when(key % 11 == 1, "").when(key % 11 == 2, F.concat(F.lit("  "), "text", F.lit("\t ")))
+        .otherwise(F.col("text")).alias("text"))
+    path = scratch_path(spark, "texts-csv")
+    write_csv(table, path)
+    return read_split_csv(spark, path, table.schema, CSV_FORM)
+
+
+def indexed_levels(spark, base_dir):
+    """The clients' category codes by the saved and reloaded index that joins."""
+    path = scratch_path(spark, "levels")
+    LevelIndex.fit(clients(spark, base_dir), CATEGORIES, path)
+    coded = LevelIndex.load(spark, path).transform(clients(spark, base_dir))
+    return coded.select("client_id", *[f"{c}_idx" for c in CATEGORIES])
+
+
+def required_columns(spark, base_dir):
+    """The table once its model inputs are known to be there, and the complaint if one isn't."""
+    table = columns.require(clients(spark, base_dir), ["client_id", *CATEGORIES, *FLAGS])
+    try:
+        columns.require(table, ["client_id", "absent"])
+        complaint = None
+    except ValueError as error:
+        complaint = "absent" in str(error)
+    return table.select("client_id", *CATEGORIES, F.lit(complaint).alias("complains"))
+
+
 def forest_scorer(spark: SparkSession, base_dir: str) -> FlatScorer:
     return FlatScorer.load(spark, f"{forest_model(spark, base_dir)}/model")
 
@@ -787,6 +837,10 @@ def stream_scores(spark, base_dir):
 
 
 MODELS: dict[str, Query] = {
+    "deep_page_indexed": deep_page_indexed,
+    "csv_split": csv_split,
+    "indexed_levels": indexed_levels,
+    "required_columns": required_columns,
     "forest_metrics": forest_metrics,
     "light_forest_metrics": light_forest_metrics,
     "survey_report": survey_report,

@@ -587,8 +587,10 @@ def _models() -> dict[str, str]:
   <= round(0.2 * count(*) OVER (PARTITION BY depression)) AS in_test FROM kept) WHERE in_test)"""
     return {
         "split_random": _clients("SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(1 AS BIGINT) AS most_parts, true AS share_is_near FROM clients"),
-        "many_levels": """WITH c AS (SELECT * FROM customer WHERE c_nationkey < 5), f AS (SELECT min(c_name) AS first, count(DISTINCT c_name) - 1 AS n FROM c)
-SELECT c_custkey, CAST(CASE WHEN c_name = first THEN 0 ELSE 1 END AS INT) AS indicators, CAST(n AS INT) AS n_features FROM c, f""",
+        "many_levels": """WITH f AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS position, count(*) OVER () AS n
+  FROM (SELECT DISTINCT c_name FROM customer WHERE c_name IS NOT NULL))
+SELECT c_custkey, CAST(CASE WHEN position IS NULL THEN 0 ELSE 1 END AS INT) AS indicators, CAST(coalesce(n, (SELECT max(n) FROM f)) AS INT) AS n_features,
+  CAST(position AS INT) AS position FROM customer LEFT JOIN f USING (c_name)""",
         "many_levels_whole": """WITH codes AS (SELECT c_name AS v, row_number() OVER (ORDER BY count(*) DESC, c_name) - 1 AS i
   FROM customer WHERE c_name IS NOT NULL GROUP BY c_name)
 SELECT c_custkey, c_name, CAST(coalesce(i, (SELECT count(*) FROM codes)) AS DOUBLE) AS name_code FROM customer LEFT JOIN codes ON c_name = v""",
@@ -625,4 +627,9 @@ FROM (SELECT l_linenumber % 3 AS y, l_suppkey % 4 AS p FROM lineitem), (VALUES (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_statistics(), **_columns(), **_profiles(), **_features(), **_metrics(), **_models(), **_boosted()}
+    listed = ", ".join(CATEGORIES)
+    again = {
+        "deep_page_indexed": _models()["deep_page"], "csv_split": _columns()["csv_texts"], "indexed_levels": _features()["string_index"],
+        "required_columns": _clients(f"SELECT client_id, {listed}, true AS complains FROM clients"),
+    }
+    return {**again, **_statistics(), **_columns(), **_profiles(), **_features(), **_metrics(), **_models(), **_boosted()}
