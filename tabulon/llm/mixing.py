@@ -5,8 +5,9 @@ Only DataFrame functions are used; no Python runs on the executors.
 * Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share
   all words. A target stops at ``most`` times its source's words; what is above is
   shared again by weight until no target is above.
-* Blocks: a document's hash gives it one of ``blocks`` blocks of its source, so their
-  order is already a random permutation. A source is taken whole as often as its target
+* Blocks: a document's hash (of its id; of its text where it has no id) gives it one of ``blocks``
+  blocks of its source, so their order is already a random permutation; equal rows go on to the
+  next blocks, so that no block holds many. A source is taken whole as often as its target
   allows; for the rest, blocks are drawn in order, leaving those that would pass the
   target, and one more if that comes nearer.
 * Splitting tree: a source's quota counts its blocks taken, repeats included. From the
@@ -29,12 +30,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabulon.llm.common import kept, small_or_plain, unit_hash, word_count
+from tabulon.llm.common import kept, numbered, small_or_plain, unit_hash, word_count
 
 SEED = 20_240_613
 BLOCKS = 1024
 DEPTH = 4
 MOST = 3
+#: Rows of a shard's part, about.
+ROWS_PER_PART = 20_000
 
 
 def hash32(key: Column, salt: str) -> Column:
@@ -198,53 +201,111 @@ def shard_quotas(quotas: DataFrame, depth: int = DEPTH, seed: int = SEED) -> Dat
     return dealt.select("number", "shard", (F.col("to") - F.col("quota")).alias("from"), "to")
 
 
-def block_of(key: Column, blocks: int, seed: int) -> Column:
-    return F.pmod(hash32(key, f"b{seed}"), F.lit(blocks)).cast("int")
+def block_of(key: Column, copy: Column, blocks: int, seed: int) -> Column:
+    """The block of a document's hash; equal rows go to the blocks after it, one by one."""
+    return F.pmod(hash32(key, f"b{seed}") + copy, F.lit(blocks)).cast("int")
 
 
-def planned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-            blocks: int = BLOCKS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Narrow rows (doc, source, size, block), computed once, and what is drawn of each source."""
-    key = F.col(id_col)
-    sizes = kept(docs.select(
-        key.alias("doc"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        block_of(key, blocks, seed).alias("block"),
-    ))
-    return sizes, kept(drawn_blocks(sizes, targets(sizes)))
+def block_key(id_: Column, text: Column) -> Column:
+    """What a block follows from: the id, or without one the text."""
+    return F.coalesce(id_.cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, blocks: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows, one per document that occurs and block that its equal rows reach (doc, source,
+    size, key, same: how many equal rows there are, block, rows: how many of them are in it),
+    computed once, and what is drawn of each source."""
+    size = word_count(F.col(text_col))
+    narrow = docs.select(
+        F.col(id_col).alias("doc"), F.col(source_col).alias("source"), size.alias("size"),
+        block_key(F.col(id_col), F.col(text_col)).alias("key"))
+    # counted on the map side, so a row that comes a billion times travels once a task
+    groups = narrow.groupBy("doc", "source", "size", "key").agg(F.count(F.lit(1)).alias("same"))
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("same"), F.lit(blocks)) - 1))
+    sizes = groups.select("*", step.alias("copy"))
+    sizes = kept(sizes.select(
+        "doc", "source", "size", "key", "same", block_of(F.col("key"), F.col("copy"), blocks, seed).alias("block"),
+        F.floor((F.col("same") - 1 - F.col("copy")) / blocks + 1).cast("long").alias("rows")))
+    weighed = sizes.withColumn("size", F.col("size") * F.col("rows"))
+    return sizes, kept(drawn_blocks(weighed, targets(weighed)))
+
+
+def dealt(plan: DataFrame, blocks: int, depth: int, seed: int) -> DataFrame:
+    """The plan with the ranges of taken blocks that the splitting tree gives each shard."""
+    quota = F.when(F.col("source_size") > 0, F.col("full") * blocks + F.size("drawn")).otherwise(0).cast("long")
+    ranges = shard_quotas(plan.select("number", quota.alias("quota")), depth, seed).groupBy("number").agg(
+        F.array_sort(F.collect_list(F.struct("shard", "from", "to"))).alias("ranges"))
+    return kept(plan.join(ranges, "number"))
+
+
+def copy_places(block: Column, full: Column, drawn: Column, blocks: int) -> Column:
+    """Places of a block's copies among its source's taken blocks: whole copies hold all blocks
+    in order, the last one only those drawn."""
+    whole = F.when(full > 0, F.transform(F.sequence(F.lit(0).cast("long"), full - 1), lambda c: c * blocks + block))
+    once_more = F.when(F.array_contains(drawn, block), F.array(full * blocks + F.array_position(drawn, block) - 1))
+    none = F.array().cast("array<bigint>")
+    return F.concat(F.coalesce(whole, none), F.coalesce(once_more, none))
+
+
+def shards_of(places: Column, ranges: Column) -> Column:
+    """The shard of each copy; a copy that no shard's quota holds is not taken."""
+    def shard(place):
+        return F.get(F.filter(ranges, lambda r: (r["from"] <= place) & (place < r["to"])), F.lit(0))["shard"]
+
+    return F.filter(F.transform(places, shard), lambda s: s.isNotNull())
 
 
 def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-               blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """Every document with its size, its source's size and target, and the words taken of it."""
+               blocks: int = BLOCKS, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words that all shards
+    of the mix together take of it."""
     sizes, plan = planned(docs, id_col, text_col, source_col, blocks, seed)
-    plan = small_or_plain(plan.withColumnRenamed("source", "plan_source"), 200 + 4 * blocks)
+    plan = dealt(plan, blocks, depth, seed).withColumnRenamed("source", "plan_source")
+    plan = small_or_plain(plan, 200 + 4 * blocks + 40 * 2 ** depth)
     joined = sizes.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
-    copies = F.col("full") + F.array_contains("drawn", F.col("block")).cast("long")
-    return joined.select(F.col("doc").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+    places = copy_places(F.col("block").cast("long"), F.col("full"), F.col("drawn"), blocks)
+    taken = F.size(shards_of(places, F.col("ranges"))).cast("long")
+    rows = joined.select("doc", "size", "source_size", "target", (taken * F.col("size")).alias("taken"), "rows")
+    # as many rows as the table has
+    again = rows.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return again.select(F.col("doc").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def equal_rows(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """row and copy (0, 1, ...) of the rows (key, source, size, row) that come more than once.
+    They are sorted and numbered by range, so that no group of them meets in one task."""
+    again = kept(sizes.where("same > 1").select(F.col("key").alias("k"), F.col("source").alias("s"), F.col("size").alias("z")).distinct())
+    same = (F.col("key") == F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    found = rows.join(small_or_plain(again, 128), same).select("key", "source", "size", "row")
+    placed = numbered(found.orderBy("key", "source", "size", "row"), "place")
+    first = kept(placed.groupBy(F.col("key").alias("k"), F.col("source").alias("s"), F.col("size").alias("z")).agg(F.min("place").alias("first")))
+    return kept(placed.join(small_or_plain(first, 128), same).select("row", (F.col("place") - F.col("first")).alias("copy")))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           blocks: int = BLOCKS, depth: int = DEPTH, seed: int = SEED, places: bool = False) -> DataFrame:
     """The mix itself: rows as often as they are taken, dealt by shard and sorted by a
     hash inside it. Columns: those of ``docs``, and with ``places`` mix_shard and mix_copy."""
-    _, plan = planned(docs, id_col, text_col, source_col, blocks, seed)
-    quota = F.when(F.col("source_size") > 0, F.col("full") * blocks + F.size("drawn")).otherwise(0).cast("long")
-    ranges = shard_quotas(plan.select("number", quota.alias("quota")), depth, seed).groupBy("number").agg(
-        F.array_sort(F.collect_list(F.struct("shard", "from", "to"))).alias("ranges"))
-    plan = plan.join(ranges, "number").select(*[F.col(c).alias(f"__{c}") for c in ("source", "full", "drawn", "ranges")])
-    plan = small_or_plain(kept(plan), 200 + 4 * blocks + 40 * 2 ** depth)
-    key = F.col(id_col)
-    rows = docs.withColumn("__block", block_of(key, blocks, seed)).join(plan, F.col(source_col).eqNullSafe(F.col("__source")))
-    copies = (F.col("__full") + F.array_contains("__drawn", F.col("__block")).cast("long")).cast("int")
-    rows = rows.withColumn("__copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1))))
-    # whole copies hold all blocks in order, the last one only those drawn
-    place = F.col("__copy") * blocks + F.when(F.col("__copy") < F.col("__full"), F.col("__block").cast("long")).otherwise(
-        F.array_position("__drawn", F.col("__block")) - 1)
-    mine = F.filter("__ranges", lambda r: (r["from"] <= place) & (place < r["to"]))
-    rows = rows.withColumns({
-        "__shard": F.coalesce(F.get(mine, F.lit(0))["shard"], F.lit(0)),
-        "__order": F.xxhash64(key, F.col("__copy"), F.lit(seed)),
-    })
-    dealt = rows.repartition("__shard", F.pmod("__order", F.lit(16))).sortWithinPartitions("__shard", "__order")
-    more = [F.col("__shard").alias("mix_shard"), F.col("__copy").alias("mix_copy")] if places else []
-    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns], *more)
+    sizes, plan = planned(docs, id_col, text_col, source_col, blocks, seed)
+    mark = "__"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    plan = dealt(plan, blocks, depth, seed)
+    plan = plan.select(*[F.col(c).alias(f"{mark}{c}") for c in ("source", "full", "drawn", "ranges")])
+    plan = small_or_plain(plan, 200 + 4 * blocks + 40 * 2 ** depth)
+    own = {n: F.col(f"{mark}{n}") for n in ("key", "block", "full", "drawn", "ranges", "copy", "shard", "order")}
+    rows = docs.withColumns({f"{mark}key": block_key(F.col(id_col), F.col(text_col)), f"{mark}row": F.monotonically_increasing_id()})
+    nth = equal_rows(rows.select(
+        own["key"].alias("key"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.col(f"{mark}row").alias("row")), sizes)
+    nth = nth.select(F.col("row").alias(f"{mark}of"), F.col("copy").alias(f"{mark}nth"))
+    rows = rows.join(small_or_plain(nth, 32), F.col(f"{mark}row") == F.col(f"{mark}of"), "left")
+    rows = rows.withColumn(f"{mark}block", block_of(own["key"], F.coalesce(F.col(f"{mark}nth"), F.lit(0)), blocks, seed))
+    rows = rows.join(plan, F.col(source_col).eqNullSafe(F.col(f"{mark}source")))
+    shards = shards_of(copy_places(own["block"].cast("long"), own["full"], own["drawn"], blocks), own["ranges"])
+    rows = rows.select("*", F.posexplode(shards).alias(f"{mark}copy", f"{mark}shard"))
+    rows = rows.withColumn(f"{mark}order", F.xxhash64(own["key"], own["copy"], F.lit(seed)))
+    # a shard's rows go to as many parts as they need
+    parts = max(16, math.ceil(sizes.count() / (2 ** depth * ROWS_PER_PART)))
+    spread = rows.repartition(own["shard"], F.pmod(own["order"], F.lit(parts))).sortWithinPartitions(own["shard"], own["order"])
+    more = [own["shard"].alias("mix_shard"), own["copy"].alias("mix_copy")] if places else []
+    return spread.select(*[F.col(f"`{c}`") for c in docs.columns], *more)

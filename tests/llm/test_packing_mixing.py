@@ -205,3 +205,33 @@ def test_mixing_stands_awkward_rows(spark):
     assert out.columns == df.columns and out.count() == sum(r.taken // r["size"] for r in got if r["size"]) + sum(
         1 for r in out.collect() if not (r.text or "").split())
     assert mixing.mix_counts(R.empty(spark)).count() == 0 and mixing.mixed(R.empty(spark)).count() == 0
+
+
+def test_targets_are_met_without_ids_and_with_repeated_rows(spark):
+    """Sources of five-word documents: no ids and other texts, one id and text, ids that repeat."""
+    rows = [(None, f"a b c d e{i}", "a") for i in range(1000)] + [(7, "one text of five words", "b")] * 1000
+    rows += [(i % 3, f"v w x y z{i % 5}", "c") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns(
+        {"__block": F.lit(1), "__copy": F.lit("x"), "__order": F.lit(2), "key": F.lit("k"), "same": F.lit(9)}).repartition(3)
+    got = mixing.mix_counts(df).collect()
+    assert len(got) == 3000 and all(r["size"] == 5 and r.taken <= 15 for r in got)
+    targets = sorted({round(r.target, 6) for r in got})
+    assert targets == [2500.0, 5000.0, 7500.0]
+    per = defaultdict(int)
+    for r in got:
+        per[round(r.target, 6)] += r.taken
+    assert all(abs(per[t] - t) <= 0.01 * t for t in targets), per
+    out = mixing.mixed(df, places=True)
+    count = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    assert {s: 5 * n for s, n in count.items()} == {"a": per[2500.0], "b": per[5000.0], "c": per[7500.0]}
+    assert out.columns == [*df.columns, "mix_shard", "mix_copy"] and out.where("`__copy` <> 'x' or `__block` <> 1").count() == 0
+
+
+def test_counts_come_through_the_tree(spark, monkeypatch):
+    """A tree that gives shards less takes less."""
+    df = spark.createDataFrame([(i, "a b", "s") for i in range(500)], "doc_id long, text string, source string")
+    whole = sum(r.taken for r in mixing.mix_counts(df).collect())
+    right = mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda *a: right(*a).where("shard < 4"))
+    part = sum(r.taken for r in mixing.mix_counts(df).collect())
+    assert whole == 1000 and 0.15 * whole < part < 0.35 * whole
