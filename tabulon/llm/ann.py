@@ -8,14 +8,15 @@ only if no kept neighbour is nearer to its end by the factor ``alpha``; edges ar
 added both ways and pruned again. One extra coordinate lifts vectors to equal length, so
 that nearest by distance is largest by inner product.
 
-Queries are dealt in blocks. A beam search of each block runs on every shard's graph,
-in double precision on the original vectors, and the best points of all shards are
-merged.
+A task loads one shard and builds its graph; then all queries stream past it, in blocks, so the
+points are moved once however many queries there are. A beam search of each block runs in
+double precision on the original vectors, and the best points of all shards are merged.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part,
 neither as query nor as candidate; so do those of another dimension than the most common
 one (ties to the smaller). Rows with a null id take no part. A repeated id is one
-candidate for each different vector. Fewer candidates than ``k`` give all of them. An
+candidate and, if a query, one query for each different vector: its ranks then come once for each
+vector, and its other vectors are candidates. Rows equal in id and vector count once. Fewer candidates than ``k`` give all of them. An
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,20 +26,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tabulon.llm.common import kept
+from tabulon.llm.common import kept, numbered, slices
 
 K = 20
 DEGREE, BEAM, ALPHA = 32, 64, 1.2
 SEARCH_BEAM = 96
-#: Points of a shard, about, and the least number of shards; queries of a block.
-SHARD_ROWS, MIN_SHARDS, BLOCK_ROWS = 16_384, 8, 8_192
+#: Points of a shard, about, and the least number of shards; rows that are searched together.
+SHARD_ROWS, MIN_SHARDS, BATCH_ROWS = 16_384, 8, 256
 SALTS = 32
 #: Starting points of a search besides the entry point.
 SEEDS = 16
 
 
 def points(df: DataFrame, id_col: str, vector_col: str, k: int = K) -> DataFrame:
-    """Distinct vectors with their ``k`` + 1 smallest ids: point, vector (doubles), ids.
+    """Distinct vectors with their ``k`` + 1 smallest ids: point (a number of its own), key (its
+    hash), vector (doubles), ids.
 
     Ids are ranked in salted parts first, so that a vector that a third of all rows
     share doesn't meet in one task.
@@ -56,8 +58,9 @@ def points(df: DataFrame, id_col: str, vector_col: str, k: int = K) -> DataFrame
     found = kept(some.groupBy("key", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     sizes = found.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     size = sizes[0]["d"] if sizes else 0
-    # vectors with equal hash stay apart by their smallest id
-    return found.where(F.size("vector") == size).select(F.get("ids", F.lit(0)).alias("first"), "key", "vector", "ids")
+    # a point's number follows its smallest id; an id with two vectors has two points
+    kinds = found.where(F.size("vector") == size)
+    return numbered(kinds.orderBy(F.get("ids", F.lit(0)), "key", "vector"), "point").select("point", "key", "vector", "ids")
 
 
 class Graph:
@@ -211,78 +214,62 @@ def matrix(column) -> np.ndarray:
     return np.array(flat, float).reshape(len(column), -1)
 
 
-def graphs(found: DataFrame, shards: int, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> DataFrame:
-    """Points with shard, node number and out-neighbours; node -1 marks the entry point."""
-    def make(key, table):
-        order = np.argsort(table.column("first").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        vectors = matrix(table.column("vector"))
-        graph = build(vectors, degree, beam, alpha)
-        nodes = np.arange(len(vectors))
-        edges = [row[row >= 0].tolist() for row in graph.edges]
-        return pa.table({
-            "shard": pa.array(np.full(len(nodes), key[0].as_py()), pa.int64()), "node": nodes,
-            "entry": nodes == graph.entry, "first": table.column("first"), "vector": table.column("vector"),
-            "edges": pa.array(edges, pa.list_(pa.int64())),
-        })
-
-    dealt = found.select(F.pmod("key", F.lit(shards)).cast("long").alias("shard"), "first", "vector")
-    return dealt.groupBy("shard").applyInArrow(
-        make, "shard long, node long, entry boolean, first long, vector array<double>, edges array<long>")
+def in_shards(found: DataFrame, shards: int) -> DataFrame:
+    """Points with their shard, kind 0 and no query's marks."""
+    return found.select(F.pmod("key", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "point", "vector")
 
 
 def nearest(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
             degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, search_beam: int = SEARCH_BEAM,
-            shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS) -> DataFrame:
     """query_id, rank (from 1), the candidate's id and score of each query's ``k`` nearest found.
 
     ``is_query`` tells from a column of ids which rows are queries.
     """
-    found = kept(points(df, id_col, vector_col, k))
+    found = points(df, id_col, vector_col, k)
     shards = max(min_shards, -(-found.count() // shard_rows))
-    index = kept(graphs(found, shards, degree, beam, alpha))
 
     # a query vector is searched once, however many rows ask for it
     vector = F.col(vector_col).cast("array<double>")
     asking = df.select(F.col(id_col).cast("long").alias("query_id"), vector.alias("vector")).where(
         is_query(F.col("query_id"))).distinct()
-    asked = asking.join(found.select("first", "vector"), "vector").select("query_id", "first")
-    queries = kept(asked.select("first").distinct().join(found.select("first", "vector"), "first").select(
-        F.col("first").alias("query"), "vector"))
-    blocks = max(1, -(-queries.count() // block_rows))
-    block = F.pmod(F.xxhash64("query", F.lit(5)), F.lit(blocks)).cast("long")
-    every = F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))
-    sent = queries.select(F.explode(every).alias("shard"), "query", "vector", block.alias("block"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def search(graph, asking_block):
-        if not graph.num_rows or not asking_block.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        graph = graph.take(pa.array(np.argsort(graph.column("node").to_numpy(), kind="stable")))
-        vectors = matrix(graph.column("vector"))
-        edges = np.full((len(vectors), degree), -1, np.int64)
-        for i, row in enumerate(graph.column("edges").to_pylist()):
-            edges[i, : len(row)] = row
-        entry = int(np.flatnonzero(graph.column("entry").to_numpy(zero_copy_only=False))[0])
-        own = Graph(vectors, edges, entry)
-        names, firsts = asking_block.column("query").to_numpy(), graph.column("first").to_numpy()
-        asked_vectors = matrix(asking_block.column("vector"))
-        out = []
-        for at in range(0, len(names), 256):
-            ids, scores = own.search(asked_vectors[at : at + 256], max(search_beam, k + 1))
+    asked = kept(asking.join(found.select("point", "vector"), "vector").select("query_id", F.col("point").alias("query")))
+    queries = asked.select("query").distinct().join(found.select("point", "vector"), F.col("query") == F.col("point")).select("point", "vector")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    sent = queries.select(everywhere, F.lit(1).alias("kind"), "point", "vector")
+    # a shard's points come first, then all queries stream past its graph; a task per shard
+    stream = in_shards(found, shards).unionByName(sent).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "point")
+
+    def search(batches):
+        waiting, own, names = [], None, None
+        for batch in slices(batches, BATCH_ROWS):
+            kinds = batch.column("kind").to_numpy()
+            index = int((kinds == 0).sum())
+            if index:
+                waiting.append(batch.slice(0, index))
+            if index == batch.num_rows or not waiting and own is None:
+                continue  # a shard without points answers nothing
+            if own is None:
+                held = pa.Table.from_batches(waiting)
+                names, waiting = held.column("point").to_numpy(), []
+                own = build(matrix(held.column("vector")), degree, beam, alpha)
+            asked_points = batch.slice(index)
+            ids, scores = own.search(matrix(pa.chunked_array([asked_points.column("vector")])), max(search_beam, k + 1))
             ids, scores = ids[:, : k + 1], scores[:, : k + 1]
             rows, columns = np.nonzero(ids >= 0)
-            out.append((names[at + rows], firsts[ids[rows, columns]], scores[rows, columns]))
-        return pa.table({"query": np.concatenate([o[0] for o in out]), "first": np.concatenate([o[1] for o in out]),
-                         "score": np.concatenate([o[2] for o in out])})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(asked_points.column("point").to_numpy()[rows]), pa.array(names[ids[rows, columns]]), pa.array(scores[rows, columns])],
+                ["query", "point", "score"])
 
-    hits = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(
-        search, "query long, first long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "first")
+    hits = stream.mapInArrow(search, "query long, point long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "point")
     # every better point brings at least one id, so k + 1 points hold the k nearest others
-    hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    named = hits.join(found.select("first", "ids"), "first").select("query", "score", F.explode("ids").alias("id"))
-    near = asked.join(named, F.col("first") == F.col("query")).where(F.col("id") != F.col("query_id"))
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    hits = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
+    named = hits.join(found.select("point", "ids"), "point").select("query", "point", "score", F.explode("ids").alias("id"))
+    # the best ids of a vector are the same for all who ask for it, but for themselves
+    of_query = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    named = kept(named.withColumn("n", F.row_number().over(of_query)).where(F.col("n") <= k + 1).drop("n"))
+    near = asked.join(named, "query").where((F.col("id") != F.col("query_id")) | (F.col("point") != F.col("query")))
+    ranked = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

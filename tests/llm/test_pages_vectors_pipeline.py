@@ -85,6 +85,21 @@ def test_neighbours_of_awkward_vectors(spark):
     assert ann.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_an_id_with_two_vectors_asks_twice(spark):
+    choose = random.Random(9)
+    rows = [(i, [choose.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    rows += [(0, [choose.gauss(0, 1) for _ in range(6)]), rows[20], (20, [-v for v in rows[20][1]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = collections.Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.nearest(df, lambda i: i % 20 == 0).collect())
+    different = [(i, tuple(v)) for i, v in dict.fromkeys((i, tuple(v)) for i, v in rows)]
+    expected = collections.Counter()
+    for query, own in different:
+        if query % 20 == 0:
+            others = sorted((-float(np.dot(own, v)), i) for i, v in different if (i, v) != (query, own))[:20]
+            expected.update((query, n + 1, i, round(-score, 9)) for n, (score, i) in enumerate(others))
+    assert got == expected  # so small a shard is searched whole
+
+
 # url filters
 
 def slow_rule(url):
