@@ -6,8 +6,8 @@ empty. A fixed rule fits its host and all subdomains where the path starts with
 rule's path; the longest one decides. Where none fits, mined rules do.
 
 Mining: the tokens of a labelled URL (host labels and path words, with their hyphenated
-parts; numbers are left out) and its label form one transaction. Spark's FP-growth finds
-frequent combinations; a combination blocks if its confidence and its support are high
+parts; numbers are left out) and its label form one transaction; of tokens that always come
+together only the first one does. Spark's FP-growth finds frequent combinations; a combination blocks if its confidence and its support are high
 enough and no part of it blocks at least as surely. Mined rules match through an inverted
 index: a rule is filed under its rarest token, so a URL meets only rules that share it,
 and is then tested for the others.
@@ -76,29 +76,68 @@ def matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return near.where(F.size(F.array_except("rule", "tokens")) == 0)
 
 
+def together(rows: DataFrame, least: float) -> DataFrame:
+    """token and members: of the tokens in at least ``least`` rows (url, items), those that always
+    come together, by the first of them. They are told by their number and two sums over hashes."""
+    each = rows.select("url", F.explode("items").alias("token"))
+    hashes = [F.bit_xor(F.xxhash64("url", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    of_token = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *hashes).where(F.col("n") >= least)
+    groups = of_token.groupBy("n", "x0", "x1").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return groups.select(F.get("members", F.lit(0)).alias("token"), "members")
+
+
+def closed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (url, items, mark) with one token of each group: k tokens that always come together
+    would make 2 ** k equal combinations."""
+    first = small_or_plain(groups.select("token"), 200)
+    own = rows.select("url", F.explode("items").alias("token")).join(first, "token").groupBy("url").agg(F.collect_set("token").alias("own"))
+    return rows.join(own, "url", "left").select("url", F.coalesce("own", F.array().cast("array<string>")).alias("items"), "mark")
+
+
+def opened(rules: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rules with each token in turn replaced by those that come with it."""
+    each = rules.withColumn("token", F.explode("rule")).join(small_or_plain(groups, 400), "token")
+    each = each.groupBy("rule", "confidence", "support").agg(F.collect_list("members").alias("choices"))
+
+    def one_more(some, choice):
+        return F.flatten(F.transform(some, lambda r: F.transform(choice, lambda t: F.concat(r, F.array(t)))))
+
+    start = F.array(F.array().cast("array<string>"))
+    every = F.explode(F.aggregate("choices", start, one_more))
+    return each.select(every.alias("rule"), "confidence", "support").select(F.array_sort("rule").alias("rule"), "confidence", "support")
+
+
+def anchored(rules: DataFrame, frequency: DataFrame) -> DataFrame:
+    """The rules with their rarest token."""
+    rarest = rules.withColumn("token", F.explode("rule")).join(frequency, "token").groupBy("rule", "confidence", "support").agg(
+        F.min(F.struct("n", "token"))["token"].alias("anchor"))
+    return rarest.select("rule", "anchor", "confidence", "support")
+
+
 def mined_rules(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_support: float = MIN_SUPPORT,
                 min_urls: int = MIN_URLS) -> DataFrame:
     """rule (sorted tokens), anchor, confidence and support of the blocking combinations of
     ``labelled`` (url, blocked)."""
     url = F.col("url")
     rows = labelled.where("url is not null and blocked is not null").groupBy("url").agg(F.max("blocked").alias("blocked"))
-    rows = kept(rows.select(F.concat(tokens(host(url), path(url)),
-                                     F.array(F.when(F.col("blocked"), BLOCK).otherwise(ALLOW))).alias("items")))
+    mark = F.array(F.when(F.col("blocked"), BLOCK).otherwise(ALLOW)).alias("mark")
+    rows = kept(rows.select("url", tokens(host(url), path(url)).alias("items"), mark))
     spark, count = labelled.sparkSession, rows.count()
     if count == 0:
         return spark.createDataFrame([], "rule array<string>, anchor string, confidence double, support double")
-    growth = FPGrowth(itemsCol="items", minConfidence=min_confidence, minSupport=min(1.0, max(min_support, min_urls / count)))
-    found = growth.fit(rows).associationRules
+    support = min(1.0, max(min_support, min_urls / count))
+    growth = FPGrowth(itemsCol="items", minConfidence=min_confidence, minSupport=support)
+    groups = kept(together(rows, support * count))
+    found = growth.fit(closed(rows, groups).select(F.concat("items", "mark").alias("items"))).associationRules
     blocking = kept(found.where(F.col("consequent") == F.array(F.lit(BLOCK))).select(
         F.array_sort("antecedent").alias("rule"), "confidence", "support"))
     frequency = rows.select(F.explode("items").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = blocking.withColumn("token", F.explode("rule")).join(frequency, "token").groupBy("rule", "confidence", "support").agg(
-        F.min(F.struct("n", "token"))["token"].alias("anchor"))
-    rarest = kept(rarest.select("rule", "anchor", "confidence", "support"))
+    rarest = kept(anchored(blocking, frequency))
     # a rule goes if a part of it blocks at least as surely
     wider = rarest.select(F.col("rule").alias("tokens"), F.col("rule").alias("of"), F.col("confidence").alias("own"))
     needless = matches(wider, rarest).where((F.size("rule") < F.size("of")) & (F.col("confidence") >= F.col("own")))
-    return kept(rarest.join(needless.select(F.col("of").alias("rule")).distinct(), "rule", "left_anti"))
+    left = rarest.join(needless.select(F.col("of").alias("rule")).distinct(), "rule", "left_anti")
+    return kept(anchored(opened(left, groups), frequency))
 
 
 def judged(df: DataFrame, labelled: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES,

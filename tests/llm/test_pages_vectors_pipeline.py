@@ -152,6 +152,26 @@ def test_mined_rules_against_counting(spark):
     assert {r.page_id: r.verdict for r in urls.judged(pages, df).collect()} == {1: "block", 2: "allow"}
 
 
+def test_tokens_that_always_come_together_are_one(spark):
+    """A host of twenty parts would make a million equal combinations."""
+    long = "-".join(f"part{i:02d}" for i in range(20))
+    rows = [(f"http://{long}.example.com/x{i}", True) for i in range(60)] + [(f"http://other.example.com/y{i}", False) for i in range(200)]
+    df = spark.createDataFrame(rows, "url string, blocked boolean")
+    found = urls.mined_rules(df).collect()
+    assert {tuple(r.rule) for r in found} == {(f"h:{w}",) for w in (long, *long.split("-"))} and len(found) == 21
+
+
+def test_url_query_blocks_planted_hosts(spark, tmp_path):
+    """Through the query: hosts whose pages' documents are toxic, among others that aren't."""
+    hosts = ["bad-place.info", "fine.info", "good.info"]
+    pages = [(i, f"https://{hosts[i % 3]}/{'en' if i % 2 else 'de'}/{i}") for i in range(600)]
+    labels = [(i, 0, int(i % 3 == 0 and i % 30 != 0)) for i in range(0, 600) if i % 5]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = Q.op3_urls(spark, str(tmp_path)).collect()
+    assert len(found) == 600 and all((r.verdict == "block") == (r.host == hosts[0]) for r in found)
+
+
 def test_url_query(spark, base_dir):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{base_dir}/pages.parquet").collect()}
     found = Q.op3_urls(spark, base_dir).collect()
