@@ -29,7 +29,7 @@ from tabulon.llm.common import kept, slices
 CAPACITY = 4096
 END_ID = 1
 #: Words of each age whose ids a Python worker keeps.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 250_000
 #: Marks behind a letter that end a word; what is parted by a space has the same ids.
 TAIL = r"([a-z])([.,;:!?]+) "
 #: Marks that the tokenizer parts from the letters before them, one run at a time.
