@@ -111,7 +111,40 @@ def top_scores(spark, base_dir):
     return statistics.top(scored_students(spark, base_dir).select("row_key", "score"), "score", "row_key", 20)
 
 
+def statistics_record(spark, base_dir):
+    """The nested statistics record, taken apart into rows again."""
+    record = statistics.statistics_record(clients(spark, base_dir)).persist()
+    none = F.lit(None)
+
+    def rows(part, name, label=none, count=none, aderiu=none, nao=none, rate=none):
+        return [F.lit(part).alias("part"), name.alias("name"), label.cast("int").alias("adesao"), count.cast("long").alias("count"),
+                aderiu.cast("long").alias("aderiu"), nao.cast("long").alias("nao_aderiu"), rate.cast("double").alias("taxa_adesao")]
+
+    def entries(name):
+        return record.select(F.explode(name).alias("e"))
+
+    def of(field):
+        return F.col(f"e.{field}")
+
+    total = record.select(*rows("geral", none.cast("string"), none, *[F.col(f"geral.{f}") for f in ("total_clientes", "aderiu", "nao_aderiu", "taxa_adesao")]))
+    state = entries("por_estado").select(*rows("estado", of("estado"), none, of("count"), of("aderiu"), of("nao_aderiu")))
+    age = entries("por_faixa_etaria").select(*rows("faixa_etaria", of("faixa_etaria"), none, of("count")))
+    income = entries("por_renda").select(*rows("renda", of("gp_renda"), of("adesao"), of("count")))
+    return total.unionByName(state).unionByName(age).unionByName(income)
+
+
+def page_record(spark, base_dir):
+    """One record of a page with its totals, its rows taken apart again."""
+    record = statistics.page_record(clients(spark, base_dir), "client_id", 25, 50)
+    wanted = [c for c in statistics.PAGE_COLUMNS if c in clients(spark, base_dir).columns]
+    return record.select("total_records", "returned_records", F.col("statistics.aderiu").alias("total_aderiu"),
+                         F.col("statistics.taxa_adesao").alias("taxa_adesao"), F.explode("data").alias("row")).select(
+        "total_records", "returned_records", "total_aderiu", "taxa_adesao", *[F.col(f"row.{c}").alias(c) for c in ["client_id", *wanted]])
+
+
 STATISTICS: dict[str, Query] = {
+    "statistics_record": statistics_record,
+    "page_record": page_record,
     "stats_overall": lambda s, d: statistics.overall(clients(s, d)),
     "stats_by_state": lambda s, d: statistics.by_state(clients(s, d)),
     "stats_by_age": lambda s, d: statistics.count_by(clients(s, d), "faixa_etaria"),

@@ -161,6 +161,18 @@ UNION ALL SELECT 'income_label', NULL, NULL, gp_renda, adesao, {n}, NULL, NULL,
   FROM clients GROUP BY gp_renda, adesao
 UNION ALL SELECT 'overall', NULL, NULL, NULL, NULL, {n}, {ADOPTERS}, {n} - {ADOPTERS}, {RATE},
   CAST(count(*) FILTER (WHERE adesao IS NULL) AS BIGINT) FROM clients"""
+        ),
+        "statistics_record": _clients(
+            f"""SELECT 'geral' AS part, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INT) AS adesao, {n} AS count, {ADOPTERS} AS aderiu,
+  {n} - {ADOPTERS} AS nao_aderiu, {RATE} AS taxa_adesao FROM clients
+UNION ALL SELECT 'estado', estado, NULL, CAST(sum(adesao) + sum(1 - adesao) AS BIGINT), {state_sums}, NULL FROM clients GROUP BY estado
+UNION ALL SELECT 'faixa_etaria', faixa_etaria, NULL, {n}, NULL, NULL, NULL FROM clients GROUP BY faixa_etaria
+UNION ALL SELECT 'renda', gp_renda, adesao, {n}, NULL, NULL, NULL FROM clients GROUP BY gp_renda, adesao"""
+        ),
+        "page_record": _clients(
+            f"""SELECT t.total AS total_records, CAST(count(*) OVER () AS BIGINT) AS returned_records, t.aderiu AS total_aderiu, t.taxa_adesao, {page}
+FROM (SELECT * FROM clients ORDER BY client_id LIMIT 25 OFFSET 50)
+CROSS JOIN (SELECT {n} AS total, {ADOPTERS} AS aderiu, {RATE} AS taxa_adesao FROM clients) t"""
         ),
         "table_shape": _students(f"SELECT {n} AS n_rows, {len(STUDENT_COLUMNS)} AS n_columns FROM students"),
         "clients_page": _clients(f"SELECT {page} FROM clients ORDER BY client_id LIMIT 50 OFFSET 100"),
