@@ -26,7 +26,7 @@ HEADLINE = [
     "count_table", "box_cgpa_by_label", "histogram", "density", "price_quantiles",
     "string_index", "frequency_codes", "label_encode", "one_hot", "prepare_training",
     "survey_features", "split_hash", "split_stratified",
-    "auc", "class_report", "confusion_matrix",
+    "auc", "class_report", "confusion_matrix", "boosted_leaves", "deep_page_indexed", "csv_split",
     # the first one also trains the forest, in its warm-up
     "forest_scores", "score_records", "permutation_importance",
 ]
