@@ -18,10 +18,11 @@ from tabulon.operators.trees import TreeScorer, saved_scorer
 from tabulon.sources.models import load_model, model_exists, save_model
 
 
-def scored(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def scored(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
     """The kept columns with the predicted class, class probabilities as a
-    plain array, the probability of class 1, and the class text."""
-    out = model.transform(df).withColumn("probabilities", vector_to_array("probability"))
+    plain array, the probability of class 1, and the class text. ``tasks`` spreads
+    rows that lie in fewer partitions than their scoring is worth."""
+    out = model.transform(df.repartition(tasks) if tasks else df).withColumn("probabilities", vector_to_array("probability"))
     return out.select(
         *[quoted(k) for k in keep],
         F.col("prediction").cast("int").alias("prediction"),
@@ -37,8 +38,8 @@ class PipelineScorer:
 
     model: PipelineModel
 
-    def score(self, records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return scored(self.model, to_table_names(records, tuple(keep)), keep)
+    def score(self, records: DataFrame, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+        return scored(self.model, to_table_names(records, tuple(keep)), keep, tasks)
 
 
 @dataclass
@@ -82,13 +83,13 @@ class LightScorer:
     preparation: TablePreparation
     model: PipelineModel
 
-    def score(self, records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    def score(self, records: DataFrame, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
         lacking = [table for asked, (stored, table) in NAMES.items() if not {asked, stored} & set(records.columns)]
-        return self.score_table(to_table_names(records, tuple(keep), others=True).drop(*lacking), keep)
+        return self.score_table(to_table_names(records, tuple(keep), others=True).drop(*lacking), keep, tasks)
 
-    def score_table(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    def score_table(self, df: DataFrame, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
         unmatched = F.array(*[F.lit(c) for c in self.preparation.unmatched(df)]).cast("array<string>")
-        return scored(self.model, self.preparation.transform_new(df, keep), keep).withColumn("unmatched", unmatched)
+        return scored(self.model, self.preparation.transform_new(df, keep), keep, tasks).withColumn("unmatched", unmatched)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.preparation.save(spark, f"{path}/preparation")

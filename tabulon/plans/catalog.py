@@ -613,7 +613,7 @@ def forest_metrics(spark, base_dir):
 def light_forest_metrics(spark, base_dir):
     rows = labelled_hold_out(spark, base_dir).select("client_id", "adesao", *LIGHT_COLUMNS)
     scorer = LightScorer.load(spark, light_model(spark, base_dir))
-    return checked_metrics(columns.with_label(scorer.score_table(rows, ["adesao"]), "adesao"))
+    return checked_metrics(columns.with_label(scorer.score_table(rows, ["adesao"], scoring_tasks(spark)), "adesao"))
 
 
 def scoring_tasks(spark: SparkSession) -> int:

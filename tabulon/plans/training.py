@@ -17,18 +17,21 @@ from tabulon.operators.columns import drop_null, existing, require, select_exist
 from tabulon.operators.encode import TablePreparation, fit_medians, median_filled
 from tabulon.operators.importance import permutation_importance
 from tabulon.operators.learners import (
-    boosted_pipeline, final_features, forest_pipeline, light_forest_pipeline,
+    boosted_pipeline, final_features, forest_pipeline, light_forest_pipeline, trees_at_once,
 )
 from tabulon.operators.metrics import evaluate
 from tabulon.operators.scoring import LightScorer
 from tabulon.operators.split import hash_split, in_train, stratified_split
 from tabulon.operators.statistics import PAGE_COLUMNS
-from tabulon.session import task_count
+from tabulon.session import shared_dir, task_count
 from tabulon.sources.models import load_model, model_exists, save_model, write_metadata
 from tabulon.sources.tables import write_csv
 
 
-ROWS_PER_TASK = 20_000
+#: A learner's task sends sums of every open node, so few tasks with many rows shuffle least; a row
+#: takes about ten bytes of memory per tree that grows at the same time.
+ROWS_PER_TASK = 500_000
+ROW_TREES_PER_TASK = 30_000_000
 
 
 @dataclass
@@ -44,14 +47,18 @@ def with_score(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", vector_to_array("probability")[1])
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def rows_per_task(pipeline: Pipeline) -> int:
+    return max(1, min(ROWS_PER_TASK, ROW_TREES_PER_TASK // trees_at_once(pipeline)))
+
+
+def spread(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Rows hashed evenly by key, in key order within each partition.
 
     A learner passes over its rows dozens of times, so one shuffle for an even
     spread pays off, and the same rows in the same places make its seeded
     sampling repeatable.
     """
-    tasks = task_count(df.sparkSession, df.count(), ROWS_PER_TASK)
+    tasks = task_count(df.sparkSession, df.count(), rows_per_task)
     return df.repartition(tasks, key).sortWithinPartitions(key)
 
 
@@ -59,16 +66,20 @@ def fit_and_evaluate(
     train: DataFrame, test: DataFrame, pipeline: Pipeline, key: str, label: str = "label"
 ) -> Trained:
     """Fit on one part, measure on the other. The learner and the metrics read
-    their rows repeatedly, so both are kept."""
-    train = spread(train, key).persist(StorageLevel.MEMORY_AND_DISK)
+    their rows repeatedly, so both are kept; the test rows are scored once, into a checkpoint."""
+    shared_dir(train.sparkSession)  # where the learner and the scores leave their checkpoints
+    train = spread(train, key, rows_per_task(pipeline)).persist(StorageLevel.MEMORY_AND_DISK)
     model = pipeline.fit(train)
     train.unpersist()
-    tested = with_score(model.transform(test)).select(label, "prediction", "score").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    metrics = evaluate(tested, label, "prediction", "score")
-    tested.unpersist()
-    return Trained(model, metrics, with_score(model.transform(test)).select(label, "prediction", "score"), test)
+    tested = with_score(model.transform(test)).select(label, "prediction", "score").checkpoint()
+    return Trained(model, evaluate(tested, label, "prediction", "score"), tested, test)
+
+
+def evenly(df: DataFrame, key: str) -> DataFrame:
+    """The rows kept for several passes, dealt to all cores: a table that comes from joins lies in
+    partitions of many bytes, which are too many rows to score in a task."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, quoted(key)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def train_forest(
@@ -82,8 +93,11 @@ def train_forest(
     """The adoption forest on an 80/20 split by key; unlabelled rows are left out."""
     require(clients, [target, key, *categories, *numbers])
     rows = drop_null(with_label(clients.select(*[quoted(c) for c in (key, target, *categories, *numbers)]), target), "label")
+    rows = evenly(rows, key)
     train, test = hash_split(rows, key)
-    return fit_and_evaluate(train, test, forest_pipeline(categories, numbers, **settings), key)
+    trained = fit_and_evaluate(train, test, forest_pipeline(categories, numbers, **settings), key)
+    rows.unpersist()
+    return trained
 
 
 def save_training(
@@ -112,7 +126,7 @@ def train_light_forest(
     a column per level. Levels and medians come from the training rows; ``fit_on="all"`` takes them
     from the whole table, hold-out included.
     """
-    rows = drop_null(require(features, [target, key]), target)
+    rows = evenly(drop_null(require(features, [target, key]), target), key)
     train, test = hash_split(rows, key)
     source = train if fit_on == "train" else rows
     preparation = TablePreparation.fit(source.drop(key), target, vectors=vectors)
@@ -124,6 +138,7 @@ def train_light_forest(
 
     pipeline = light_forest_pipeline(preparation.features, preparation.vectors, **settings)
     trained = fit_and_evaluate(prepared(train), prepared(test), pipeline, key)
+    rows.unpersist()
     return LightScorer(preparation, trained.model), trained.metrics
 
 
@@ -139,6 +154,7 @@ def train_boosted(
     table = drop_null(rows, target).select(
         quoted(key), quoted(target).cast("double").alias("label"), *[quoted(f).cast("double").alias(f) for f in features]
     )
+    # the split hashes every key and the medians take several passes, so the split rows are kept
     if stratified:
         marked = stratified_split(table, "label", key)
         train, test = (marked.filter(c).drop("in_test") for c in ("not in_test", "in_test"))
