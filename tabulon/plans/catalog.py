@@ -784,9 +784,9 @@ def chosen_scorer(spark, base_dir):
     """The chosen scorer is the lighter model: records score as its table does."""
     light, forest = light_model(spark, base_dir), forest_model(spark, base_dir)
     scorer = choose_scorer(spark, light_path=light, pipeline_path=f"{forest}/model")
-    table = clients(spark, base_dir)
-    return same_scores(scorer.score(to_request_names(table), ["client_id"]),
-                       LightScorer.load(spark, light).score_table(table.select("client_id", *LIGHT_COLUMNS), ["client_id"]))
+    table, tasks = clients(spark, base_dir), scoring_tasks(spark)
+    return same_scores(scorer.score(to_request_names(table), ["client_id"], tasks),
+                       LightScorer.load(spark, light).score_table(table.select("client_id", *LIGHT_COLUMNS), ["client_id"], tasks))
 
 
 def model_save_load(spark, base_dir):

@@ -49,7 +49,7 @@ def test_hold_out_is_scored_once(spark, forest):
     assert "UDF" not in plan
 
 
-@pytest.mark.parametrize("query", ["light_forest_metrics"])
+@pytest.mark.parametrize("query", ["light_forest_metrics", "choose_scorer"])
 def test_light_queries_score_by_all_cores(spark, base_dir, monkeypatch, query):
     class Seen(Exception):
         pass
