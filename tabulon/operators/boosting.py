@@ -8,7 +8,8 @@ Windows over the histograms find the best split of each node; one row per node r
 the driver. Gradients are summed as whole numbers, so any order of the rows gives the same trees.
 
 Trees grow best split first. Several open nodes are split ahead in one pass; which splits
-stay is then decided in their proper order. Margins are fixed in a checkpoint every few trees.
+stay is then decided in their proper order. A finished tree is added to the rows' margins at once, so a pass
+walks the growing tree alone, however many trees there are; every few trees the margins go to a checkpoint.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 UNIT = 1 << 24
 MISSING = 255
 ROWS_PER_TASK = 200_000
-#: Trees after which the margins are fixed.
+#: Trees after which the margins are written, which ends their chain of steps.
 FIXED_EVERY = 20
 LOSSES = (-1, -2)  # slots of the training and the validation loss
 
@@ -153,9 +154,18 @@ def binned(df: DataFrame, features: Sequence[str], edges: Sequence[Sequence[floa
     return table.mapInArrow(run, "bins binary, y tinyint, held boolean, margin double")
 
 
+def _bin_bytes(column: pa.Array, features: int) -> np.ndarray:
+    """(row, feature): a row's bins, which lie one after the other in the column's data."""
+    if not len(column) or not features:
+        return np.zeros((len(column), features), np.uint8)
+    column = column.cast(pa.large_binary())
+    first = np.frombuffer(column.buffers()[1], np.int64)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8, len(column) * features, int(first)).reshape(len(column), features)
+
+
 def _bin_matrix(column: pa.Array, features: int) -> np.ndarray:
     """Bins as numbers, the missing one as NaN."""
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), features)
+    flat = _bin_bytes(column, features)
     out = flat.astype(np.float32)
     out[flat == MISSING] = np.nan
     return out
@@ -168,40 +178,41 @@ def _gradients(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.rint((p - y) * UNIT), np.rint(p * (1.0 - p) * UNIT), np.rint(loss * UNIT)
 
 
-def histograms(rows: DataFrame, features: int, start: float, trees: FlatTrees | None, growing: FlatTrees | None,
-               slots: dict[int, int], losses: bool) -> DataFrame:
+def histograms(rows: DataFrame, features: int, start: float, growing: FlatTrees | None, slots: dict[int, int],
+               losses: bool) -> DataFrame:
     """slot, feature, bin, g, h and n of the open nodes, a row per task that has some. ``slots`` numbers the open leaves of
     the growing tree; the losses stand in slots of their own."""
     open_ = max(slots.values(), default=-1) + 1
     width = MISSING + 1
 
     def run(batches):
-        sums = np.zeros((3, open_ * features * width))
+        sums = np.zeros((3, open_, features, width))
         lost = np.zeros((2, 2))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _bin_matrix(batch.column("bins"), features)
+            bins = _bin_bytes(batch.column("bins"), features)
             y = batch.column("y").to_numpy().astype(float)
             held = batch.column("held").to_numpy(zero_copy_only=False)
-            margin = start + batch.column("margin").to_numpy()
-            if trees is not None:
-                margin = margin + trees.totals(x)[:, 0]
-            g, h, loss = _gradients(margin, y)
+            g, h, loss = _gradients(start + batch.column("margin").to_numpy(), y)
             if losses:
                 for part, some in enumerate((~held, held)):
                     lost[part] += loss[some].sum(), some.sum()
-            leaf = growing.leaves(x)[0] if growing is not None else np.zeros(len(x), int)
+            leaf = growing.leaves(_bin_matrix(batch.column("bins"), features))[0] if growing is not None else np.zeros(len(bins), int)
             table = np.full(int(leaf.max(initial=0)) + 1, -1)
             for node, slot in slots.items():
                 if node < len(table):
                     table[node] = slot
             slot = np.where(held, -1, table[leaf])
             own = np.flatnonzero(slot >= 0)
-            bins = np.where(np.isnan(x[own]), MISSING, x[own]).astype(np.int64)
-            at = ((slot[own, None] * features + np.arange(features)) * width + bins).ravel()
-            for row, weight in enumerate((g, h, np.ones(len(x)))):
-                sums[row] += np.bincount(at, np.repeat(weight[own], features), sums.shape[1])
+            if not len(own):
+                continue
+            place, weights = slot[own] * width, (g[own], h[own], None)
+            for feature in range(features):
+                at = place + bins[own, feature]
+                for row, weight in enumerate(weights):
+                    sums[row, :, feature] += np.bincount(at, weight, open_ * width).reshape(open_, width)
+        sums = sums.reshape(3, -1)
         used = np.flatnonzero(sums[2])
         slot, rest = np.divmod(used, features * width)
         feature, bin_ = np.divmod(rest, width)
@@ -356,12 +367,14 @@ def fit(df: DataFrame, features: Sequence[str], label: str, held_out: str | None
     kept = kept.repartition(task_count(spark, df.count(), ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
     ones, n = kept.where("not held").agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     model = Boosted(list(features), start_odds(ones, n), [])
-    fresh: list[dict] = []  # trees since the margins were fixed, by bins
+    before: DataFrame | None = None  # the rows as they were before the last tree
     best, best_round = math.inf, 0
     for round_ in range(settings.rounds + 1):
-        trees = FlatTrees.from_rows(fresh) if fresh else None
         grows = round_ < settings.rounds
-        found = best_splits(histograms(kept, width, model.start, trees, None, {0: 0} if grows else {}, True), settings).collect()
+        found = best_splits(histograms(kept, width, model.start, None, {0: 0} if grows else {}, True), settings).collect()
+        if before is not None:  # the pass has put the moved rows in their place
+            before.unpersist()
+            before = None
         by_slot = {r["slot"]: r for r in found}
         if round_:
             train, held = (by_slot.get(s) for s in LOSSES)
@@ -384,28 +397,25 @@ def fit(df: DataFrame, features: Sequence[str], label: str, held_out: str | None
             if open_:
                 growing, order = tree.grown()
                 slots = {order[number]: slot for slot, number in enumerate(open_)}
-                table = histograms(kept, width, model.start, trees, growing, slots, False)
+                table = histograms(kept, width, model.start, growing, slots, False)
                 for row in best_splits(table, settings).collect():
                     tree.nodes[open_[row["slot"]]].split = _split_of(row)
         model.rows += tree.rows(round_, taken, edges)
-        fresh += tree.rows(round_, taken)
-        if (round_ + 1) % FIXED_EVERY == 0:
-            kept, fresh = _fixed(kept, width, FlatTrees.from_rows(fresh)), []
+        before, kept = kept, _moved(kept, width, FlatTrees.from_rows(tree.rows(0, taken)), (round_ + 1) % FIXED_EVERY == 0)
     kept.unpersist()
     return model
 
 
-def _fixed(rows: DataFrame, features: int, trees: FlatTrees) -> DataFrame:
-    """The rows with the trees' values in their margins, written to the shared folder."""
+def _moved(rows: DataFrame, features: int, trees: FlatTrees, written: bool) -> DataFrame:
+    """The rows, kept, with the trees' values added to their margins; ``written`` to the shared folder first."""
     def run(batches):
         for batch in batches:
             x = _bin_matrix(batch.column("bins"), features)
             margin = batch.column("margin").to_numpy() + (trees.totals(x)[:, 0] if len(x) else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(margin)], batch.schema.names)
 
-    moved = rows.mapInArrow(run, rows.schema).checkpoint()
-    rows.unpersist()
-    return moved.persist(StorageLevel.MEMORY_AND_DISK)
+    moved = rows.mapInArrow(run, rows.schema)
+    return (moved.checkpoint() if written else moved).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def root_splits(df: DataFrame, features: Sequence[str], label: str, settings: Boosting = Boosting()) -> DataFrame:
@@ -414,7 +424,7 @@ def root_splits(df: DataFrame, features: Sequence[str], label: str, settings: Bo
     edges = bin_edges(df, features, settings.bins)
     rows = binned(df, features, edges, label, None).persist(StorageLevel.MEMORY_AND_DISK)
     ones, n = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
-    found = split_gains(histograms(rows, len(features), start_odds(ones, n), None, None, {0: 0}, False), settings).where("allowed")
+    found = split_gains(histograms(rows, len(features), start_odds(ones, n), None, {0: 0}, False), settings).where("allowed")
     table = F.array(*[F.array(*[F.lit(float(e)) for e in own]).cast("array<double>") for own in edges])
     return found.select(
         F.element_at(F.array(*[F.lit(f) for f in features]), F.col("feature") + 1).alias("feature"),

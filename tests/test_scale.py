@@ -67,3 +67,18 @@ def test_light_queries_score_by_all_cores(spark, base_dir, monkeypatch, query):
     with pytest.raises(Seen) as seen:
         catalog.queries()[query](spark, base_dir)
     assert seen.value.args == (spark.sparkContext.defaultParallelism,)
+
+
+def test_a_pass_walks_only_the_growing_tree(spark, monkeypatch):
+    rows = spark.range(2_000).select((F.col("id") % 40).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z"),
+                                     ((F.col("id") % 40 > 20) != (F.col("id") % 7 == 1)).cast("int").alias("y"))
+    asked, plain = [], boosting.histograms
+
+    def seen(rows, *rest):
+        asked.append(rows.agg(F.max(F.abs("margin"))).first()[0])
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(boosting, "histograms", seen)
+    model = boosting.fit(rows, ["x", "z"], "y", settings=boosting.Boosting(rounds=3, max_leaves=2))
+    added = max(abs(r["value"][0]) for r in model.rows if r["tree"] == 0 and r["left"] < 0)
+    assert asked[0] == 0 and added in [pytest.approx(a) for a in asked]  # the first tree is in the margins of the second round
