@@ -112,8 +112,8 @@ def choose_scorer(
 
 
 def score_records(
-    scorer: LightScorer | PipelineScorer | FlatScorer, raw: DataFrame, keep: Sequence[str] = ()
+    scorer: LightScorer | PipelineScorer | FlatScorer, raw: DataFrame, keep: Sequence[str] = (), tasks: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Scores of the valid records, and the invalid ones with their reasons."""
     checked = validated(raw)
-    return scorer.score(accepted(checked), keep), checked.filter(F.size("reject_reason") > 0)
+    return scorer.score(accepted(checked), keep, tasks), checked.filter(F.size("reject_reason") > 0)

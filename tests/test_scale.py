@@ -49,6 +49,13 @@ def test_hold_out_is_scored_once(spark, forest):
     assert "UDF" not in plan
 
 
+def test_scorers_spread_their_rows(spark, table, forest):
+    raw = to_request_names(table.select("client_id", *CATEGORIES, *[F.col(f).cast("string") for f in FLAGS]))
+    assert parts(scored(forest.model, table, ["client_id"], 5)) == 5
+    assert parts(score_records(PipelineScorer(forest.model), raw, ["client_id"], 5)[0]) == 5
+    assert parts(scored(forest.model, table, ["client_id"])) == 1
+
+
 @pytest.mark.parametrize("query", ["light_forest_metrics", "choose_scorer"])
 def test_light_queries_score_by_all_cores(spark, base_dir, monkeypatch, query):
     class Seen(Exception):
