@@ -776,8 +776,9 @@ def score_payloads(spark, base_dir):
     payloads = table.select(
         "client_id", F.from_json(F.to_json(F.struct(*LIGHT_COLUMNS)), "map<string, string>").alias("payload")
     )
-    return same_scores(scorer.score_table(typed_payload(payloads, "payload", kinds), ["client_id"]),
-                       scorer.score_table(table, ["client_id"]))
+    tasks = scoring_tasks(spark)
+    return same_scores(scorer.score_table(typed_payload(payloads, "payload", kinds), ["client_id"], tasks),
+                       scorer.score_table(table, ["client_id"], tasks))
 
 
 def chosen_scorer(spark, base_dir):

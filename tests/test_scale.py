@@ -56,7 +56,7 @@ def test_scorers_spread_their_rows(spark, table, forest):
     assert parts(scored(forest.model, table, ["client_id"])) == 1
 
 
-@pytest.mark.parametrize("query", ["light_forest_metrics", "choose_scorer"])
+@pytest.mark.parametrize("query", ["light_forest_metrics", "choose_scorer", "score_payloads"])
 def test_light_queries_score_by_all_cores(spark, base_dir, monkeypatch, query):
     class Seen(Exception):
         pass
