@@ -795,9 +795,9 @@ def model_save_load(spark, base_dir):
     first = load_model(f"{forest_model(spark, base_dir)}/model")
     copy = scratch_path(spark, "forest-copy")
     save_model(first, copy)
-    table = clients(spark, base_dir)
-    before = scored(first, table, ["client_id"]).select("client_id", F.col("score").alias("before"))
-    after = scored(load_model(copy), table, ["client_id"]).select("client_id", F.col("score").alias("after"))
+    table, tasks = clients(spark, base_dir), scoring_tasks(spark)
+    before = scored(first, table, ["client_id"], tasks).select("client_id", F.col("score").alias("before"))
+    after = scored(load_model(copy), table, ["client_id"], tasks).select("client_id", F.col("score").alias("after"))
     return before.join(after, "client_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("before") == F.col("after")).alias("n_same")
     )

@@ -76,6 +76,23 @@ def test_light_queries_score_by_all_cores(spark, base_dir, monkeypatch, query):
     assert seen.value.args == (spark.sparkContext.defaultParallelism,)
 
 
+@pytest.mark.parametrize("query", ["model_save_load"])
+def test_forest_queries_score_by_all_cores(spark, base_dir, monkeypatch, query):
+    class Seen(Exception):
+        pass
+
+    def seen(model, df, keep=(), tasks=None):
+        raise Seen(tasks)
+
+    monkeypatch.setattr(catalog, "forest_model", lambda *a: "forest")
+    monkeypatch.setattr(catalog, "load_model", lambda *a: None)
+    monkeypatch.setattr(catalog, "save_model", lambda *a: None)
+    monkeypatch.setattr(catalog, "scored", seen)
+    with pytest.raises(Seen) as caught:
+        catalog.queries()[query](spark, base_dir)
+    assert caught.value.args == (spark.sparkContext.defaultParallelism,)
+
+
 def test_a_pass_walks_only_the_growing_tree(spark, monkeypatch):
     rows = spark.range(2_000).select((F.col("id") % 40).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z"),
                                      ((F.col("id") % 40 > 20) != (F.col("id") % 7 == 1)).cast("int").alias("y"))
