@@ -606,7 +606,7 @@ def labelled_hold_out(spark: SparkSession, base_dir: str) -> DataFrame:
 
 
 def forest_metrics(spark, base_dir):
-    rows = scored(load_model(f"{forest_model(spark, base_dir)}/model"), labelled_hold_out(spark, base_dir), ["adesao"])
+    rows = scored(load_model(f"{forest_model(spark, base_dir)}/model"), labelled_hold_out(spark, base_dir), ["adesao"], scoring_tasks(spark))
     return checked_metrics(columns.with_label(rows, "adesao"))
 
 

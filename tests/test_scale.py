@@ -76,7 +76,7 @@ def test_light_queries_score_by_all_cores(spark, base_dir, monkeypatch, query):
     assert seen.value.args == (spark.sparkContext.defaultParallelism,)
 
 
-@pytest.mark.parametrize("query", ["model_save_load"])
+@pytest.mark.parametrize("query", ["forest_metrics", "model_save_load"])
 def test_forest_queries_score_by_all_cores(spark, base_dir, monkeypatch, query):
     class Seen(Exception):
         pass
