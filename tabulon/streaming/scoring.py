@@ -37,7 +37,8 @@ def score_stream(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = validated(batch).persist()
-        scorer.score(accepted(checked), [key]).write.mode("overwrite").parquet(f"{scores_path}/batch={batch_id}")
+        tasks = records.sparkSession.sparkContext.defaultParallelism  # files may be few and hold many records
+        scorer.score(accepted(checked), [key], tasks).write.mode("overwrite").parquet(f"{scores_path}/batch={batch_id}")
         rejected(checked).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
         checked.unpersist()
 

@@ -93,6 +93,21 @@ def test_forest_queries_score_by_all_cores(spark, base_dir, monkeypatch, query):
     assert caught.value.args == (spark.sparkContext.defaultParallelism,)
 
 
+def test_a_stream_of_one_file_is_scored_by_all_cores(spark, table, forest, tmp_path):
+    raw = to_request_names(table.select("client_id", *CATEGORIES, *FLAGS))
+    raw.coalesce(1).write.json(str(tmp_path / "in"))
+    given = []
+
+    class Scorer(PipelineScorer):
+        def score(self, records, keep=(), tasks=None):
+            given.append(tasks)
+            return super().score(records, keep, tasks)
+
+    score_stream(read_records(spark, str(tmp_path / "in")), Scorer(forest.model), str(tmp_path / "scores"), str(tmp_path / "rejects"),
+                 str(tmp_path / "checkpoint")).awaitTermination()
+    assert given == [spark.sparkContext.defaultParallelism]
+
+
 def test_a_pass_walks_only_the_growing_tree(spark, monkeypatch):
     rows = spark.range(2_000).select((F.col("id") % 40).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z"),
                                      ((F.col("id") % 40 > 20) != (F.col("id") % 7 == 1)).cast("int").alias("y"))
