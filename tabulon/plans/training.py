@@ -156,16 +156,18 @@ def train_boosted(
     )
     # the split hashes every key and the medians take several passes, so the split rows are kept
     if stratified:
-        marked = stratified_split(table, "label", key)
-        train, test = (marked.filter(c).drop("in_test") for c in ("not in_test", "in_test"))
+        kept = stratified_split(table, "label", key).persist(StorageLevel.MEMORY_AND_DISK)
+        train, test = (kept.filter(c).drop("in_test") for c in ("not in_test", "in_test"))
     else:
-        train, test = hash_split(table, key)
+        kept = table.persist(StorageLevel.MEMORY_AND_DISK)
+        train, test = hash_split(kept, key)
     fitted = fit_medians(train, features)
     train, test = median_filled(train, fitted), median_filled(test, fitted)
     train = train.withColumn("held_out", ~in_train(quoted(key), 100 - validation_percent, seed=43))
     test = test.withColumn("held_out", F.lit(False))
     trained = fit_and_evaluate(train, test, boosted_pipeline(features, validation="held_out", **settings), key)
     trained.medians = fitted
+    kept.unpersist()
     return trained
 
 

@@ -108,6 +108,20 @@ def test_a_stream_of_one_file_is_scored_by_all_cores(spark, table, forest, tmp_p
     assert given == [spark.sparkContext.defaultParallelism]
 
 
+def test_boosting_keeps_its_split_rows(spark, base_dir, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def caught(train, test, pipeline, key, label="label"):
+        raise Stop(*[d._jdf.queryExecution().withCachedData().toString() for d in (train, test)])
+
+    monkeypatch.setattr(training, "fit_and_evaluate", caught)
+    with pytest.raises(Stop) as stop:
+        catalog.boosted_metrics(spark, base_dir)
+    spark.catalog.clearCache()
+    assert all("InMemoryRelation" in plan for plan in stop.value.args)
+
+
 def test_a_pass_walks_only_the_growing_tree(spark, monkeypatch):
     rows = spark.range(2_000).select((F.col("id") % 40).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z"),
                                      ((F.col("id") % 40 > 20) != (F.col("id") % 7 == 1)).cast("int").alias("y"))
@@ -125,3 +139,7 @@ def test_a_pass_walks_only_the_growing_tree(spark, monkeypatch):
 
 def test_forest_steps_once_a_level():
     assert forest_pipeline().getStages()[-1].getCacheNodeIds()
+
+
+def test_boosted_trees_step_once_a_level():
+    assert boosted_pipeline(["x"]).getStages()[-1].getCacheNodeIds()
