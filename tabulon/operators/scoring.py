@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
@@ -14,7 +15,7 @@ from tabulon.functions.expressions import prediction_text, quoted
 from tabulon.functions.names import NAMES, to_table_names
 from tabulon.operators.columns import accepted, validated
 from tabulon.operators.encode import TablePreparation
-from tabulon.operators.trees import TreeScorer, saved_scorer
+from tabulon.operators.trees import TreeScorer, saved_scorer, stage_scorer
 from tabulon.sources.models import load_model, model_exists, save_model
 
 
@@ -83,13 +84,23 @@ class LightScorer:
     preparation: TablePreparation
     model: PipelineModel
 
+    @cached_property
+    def trees(self) -> TreeScorer | None:
+        """The trees as one flat table, which gives the pipeline's figures in less time. None if the
+        pipeline encodes vectors itself or is to complain of a number that has no median."""
+        if self.preparation.vectors or None in self.preparation.medians.values():
+            return None
+        return stage_scorer(SparkSession.active(), self.model.stages[-1], self.preparation.features)
+
     def score(self, records: DataFrame, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
         lacking = [table for asked, (stored, table) in NAMES.items() if not {asked, stored} & set(records.columns)]
         return self.score_table(to_table_names(records, tuple(keep), others=True).drop(*lacking), keep, tasks)
 
     def score_table(self, df: DataFrame, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
         unmatched = F.array(*[F.lit(c) for c in self.preparation.unmatched(df)]).cast("array<string>")
-        return scored(self.model, self.preparation.transform_new(df, keep), keep, tasks).withColumn("unmatched", unmatched)
+        rows = self.preparation.transform_new(df, keep)
+        scores = self.trees.scored(rows, keep, tasks) if self.trees else scored(self.model, rows, keep, tasks)
+        return scores.withColumn("unmatched", unmatched)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.preparation.save(spark, f"{path}/preparation")

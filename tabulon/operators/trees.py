@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,82 @@ NODES = (
 )
 #: Rows that step down the trees together.
 ROWS = 512
+#: Rows that step down one tree together: their codes and the tree stay in a core's cache.
+TREE_ROWS = 16_384
+#: Codes of a feature that fit the mask of a node.
+MASK_BITS = 64
+
+
+@dataclass
+class Masks:
+    """Tests of few outcomes: a value becomes the code of its place between the thresholds, or its
+    category, and a node is a mask of the codes that go left, missing and unknown ones included."""
+
+    columns: list[tuple[int, np.ndarray | None]]  # feature and its thresholds; None: its categories
+    categories: int
+    column: np.ndarray  # column of a node's test
+    mask: np.ndarray
+    children: np.ndarray  # right and left child of node n at 2n and 2n + 1
+    leaf: np.ndarray
+
+    @classmethod
+    def of(cls, trees: FlatTrees) -> Masks | None:
+        """None if a feature has more codes than a mask has bits."""
+        leaf = trees.left == np.arange(len(trees.left))
+        inner, width = np.flatnonzero(~leaf), trees.lefts.shape[1]
+        listed = trees.category[inner] >= 0
+        columns, column, mask = [], np.zeros(len(leaf), np.int64), np.zeros(len(leaf), np.uint64)
+        one, bits = np.uint64(1), np.arange(MASK_BITS, dtype=np.uint64)
+        for feature in np.unique(trees.feature[inner]):
+            tests = trees.feature[inner] == feature
+            compared, grouped = inner[tests & ~listed], inner[tests & listed]
+            if len(compared):
+                thresholds, rank = np.unique(trees.threshold[compared], return_inverse=True)
+                if len(thresholds) + 2 > MASK_BITS:
+                    return None
+                mask[compared] = (one << (rank + 1).astype(np.uint64)) - one
+                mask[compared] |= trees.missing_left[compared].astype(np.uint64) << np.uint64(len(thresholds) + 1)
+                column[compared] = len(columns)
+                columns.append((int(feature), thresholds))
+            if len(grouped):
+                if width + 1 > MASK_BITS:
+                    return None
+                mask[grouped] = (trees.lefts[trees.category[grouped]].astype(np.uint64) << bits[:width]).sum(axis=1, dtype=np.uint64)
+                column[grouped] = len(columns)
+                columns.append((int(feature), None))
+        children = np.column_stack([trees.right, trees.left]).astype(np.int64).ravel()
+        return cls(columns, width, column, mask, children, leaf)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """(column, row)."""
+        out = np.zeros((max(1, len(self.columns)), len(x)), np.uint8)
+        for i, (feature, thresholds) in enumerate(self.columns):
+            value = x[:, feature]
+            if thresholds is None:
+                out[i] = np.where((value >= 0) & (value < self.categories), value, self.categories)
+            else:
+                out[i] = np.where(np.isnan(value), len(thresholds) + 1, np.searchsorted(thresholds, value))
+        return out
+
+    def leaves(self, x: np.ndarray, roots: np.ndarray) -> Iterator[np.ndarray]:
+        """Tree after tree, the leaf of every row. Rows that are there step no further, once they are the most."""
+        codes, every = self.codes(x).ravel(), np.arange(len(x))
+        place, one = self.column * len(x), np.uint64(1)
+        for root in roots:
+            node = np.full(len(x), root, np.int64)
+            at, rows = node, every
+            while True:
+                left = (self.mask.take(at) >> codes.take(place.take(at) + rows)) & one
+                at = self.children.take(2 * at + left.view(np.int64))
+                there = self.leaf.take(at)
+                count = np.count_nonzero(there)
+                if 2 * count > len(at):
+                    node[rows] = at
+                    rows = rows[~there]
+                    if not len(rows):
+                        break
+                    at = node[rows]
+            yield node
 
 
 @dataclass
@@ -85,6 +162,10 @@ class FlatTrees:
             flat.depth += bool(len(level))
         return flat
 
+    @cached_property
+    def masks(self) -> Masks | None:
+        return Masks.of(self)
+
     @property
     def by_category(self) -> bool:
         return bool((self.category >= 0).any())
@@ -108,13 +189,20 @@ class FlatTrees:
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """(tree, row): the leaf of every row in every tree."""
+        if len(x) >= ROWS and self.masks:
+            return np.array(list(self.masks.leaves(x, self.roots)))
         shape = len(self.roots), len(x)
         rows = np.broadcast_to(np.arange(len(x)), shape).ravel()
         return self.steps(x, rows, np.repeat(self.roots, len(x))).reshape(shape)
 
     def totals(self, x: np.ndarray) -> np.ndarray:
         """(row, output): values summed tree after tree."""
-        out = np.empty((len(x), self.value.shape[1]))
+        out = np.zeros((len(x), self.value.shape[1]))
+        if len(x) >= ROWS and self.masks:
+            for at in range(0, len(x), TREE_ROWS):
+                for leaf in self.masks.leaves(x[at : at + TREE_ROWS], self.roots):
+                    out[at : at + TREE_ROWS] += self.value.take(leaf, axis=0)
+            return out
         for at in range(0, len(x), ROWS):
             # the sum runs over the first axis, so trees are added in their order
             out[at : at + ROWS] = self.value[self.leaves(x[at : at + ROWS])].sum(axis=0)

@@ -15,7 +15,7 @@ from tabulon.functions.names import CATEGORIES, FLAGS, to_request_names, to_stor
 from tabulon.operators import metrics, split
 from tabulon.operators.importance import global_importance, permutation_importance
 from tabulon.operators.learners import BOOSTED, FOREST, feature_names, final_features, forest_pipeline
-from tabulon.operators.scoring import LightScorer, PipelineScorer, choose_scorer, score_records
+from tabulon.operators.scoring import LightScorer, PipelineScorer, choose_scorer, score_records, scored
 from tabulon.plans import catalog, training
 from tabulon.sources import models
 from tabulon.sources.tables import clients, read_csv
@@ -287,6 +287,15 @@ def test_light_model_scores_records_payloads_and_table_alike(spark, table, tmp_p
     assert {r.client_id: r.score for r in without} == {r.client_id: r.score for r in filled}
 
 
+def test_light_scorer_walks_flat_trees_to_the_pipelines_scores(table, light):
+    scorer = light[0]
+    assert scorer.trees is not None
+    flat = scorer.score_table(table, ["client_id"])
+    assert "MapInArrow" in flat._jdf.queryExecution().optimizedPlan().toString()
+    plain = scored(scorer.model, scorer.preparation.transform_new(table, ["client_id"]), ["client_id"])
+    assert sorted(flat.drop("unmatched").collect()) == sorted(plain.collect())
+
+
 def test_choice_of_scorer(spark, forest, light, tmp_path):
     pipeline, lighter = str(tmp_path / "forest"), str(tmp_path / "light")
     with pytest.raises(RuntimeError, match="no model"):

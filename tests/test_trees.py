@@ -249,3 +249,37 @@ def test_survey_job_leaves_model_scores_and_importance(spark, tmp_path):
     scores = spark.read.parquet(f"{tmp_path}/scores")
     assert 70 <= scores.count() <= 90 and scores.where("score < 0 or score > 1").count() == 0
     assert {r.feature for r in spark.read.parquet(f"{tmp_path}/importance").collect()} == set(NAMES)
+
+
+def invented_trees(steps, categories):
+    """Three trees over a number with ``steps`` thresholds, a number and a category, and some rows."""
+    rng = np.random.default_rng(7)
+    rows, cuts = [], rng.permutation(steps) / 4
+    for tree in range(3):
+        for node in range(2 * steps + 1):
+            inner, listed = node < steps, node % 3 == 2
+            rows.append({
+                "tree": tree, "node": node, "feature": (2 if listed else int(node % 5 == 1)) if inner else None,
+                "threshold": float(cuts[node]) if inner and not listed else None, "missing_left": bool(rng.random() < 0.5),
+                "left": 2 * node + 1 if inner else -1, "right": 2 * node + 2 if inner else -1,
+                "categories": sorted(rng.choice(categories, 3, replace=False).tolist()) if inner and listed else None,
+                "value": [float(rng.random()), float(rng.random())]})
+    x = np.column_stack([rng.integers(-4, steps + 4, 1_500) / 4, rng.random(1_500) * steps / 4, rng.integers(-2, categories + 3, 1_500)])
+    x[rng.random(x.shape) < 0.1] = np.nan
+    return FlatTrees.from_rows(rows), x
+
+
+@pytest.mark.parametrize("steps, categories, masked", [(40, 9, True), (1, 60, True), (200, 9, False), (40, 90, False)])
+def test_masks_lead_to_the_leaves_of_single_steps(steps, categories, masked):
+    trees, x = invented_trees(steps, categories)
+    assert (trees.masks is not None) == masked
+    which = np.tile(np.arange(len(x)), 3)
+    stepped = trees.steps(x, which, np.repeat(trees.roots, len(x))).reshape(3, -1)
+    assert np.array_equal(trees.leaves(x), stepped)
+    assert np.array_equal(trees.totals(x), trees.value[stepped].sum(axis=0))
+
+
+def test_many_rows_do_not_step_through_all_trees_at_once(monkeypatch):
+    trees, x = invented_trees(40, 9)
+    monkeypatch.setattr(FlatTrees, "steps", None)
+    assert trees.totals(x).shape == (1_500, 2)
