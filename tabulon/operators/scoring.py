@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.pipeline import PipelineSharedReadWrite
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabulon.functions.expressions import prediction_text, quoted
@@ -83,6 +84,7 @@ class LightScorer:
 
     preparation: TablePreparation
     model: PipelineModel
+    saved: str | None = None  # where the model lies, if it was loaded
 
     @cached_property
     def trees(self) -> TreeScorer | None:
@@ -90,7 +92,12 @@ class LightScorer:
         pipeline encodes vectors itself or is to complain of a number that has no median."""
         if self.preparation.vectors or None in self.preparation.medians.values():
             return None
-        return stage_scorer(SparkSession.active(), self.model.stages[-1], self.preparation.features)
+        learner, spark = self.model.stages[-1], SparkSession.active()
+        if self.saved is None:
+            return stage_scorer(spark, learner, self.preparation.features)
+        count = len(self.model.stages)
+        folder = PipelineSharedReadWrite.getStagePath(learner.uid, count - 1, count, f"{self.saved}/stages")
+        return saved_scorer(spark, folder, type(learner).__name__, self.preparation.features)
 
     def score(self, records: DataFrame, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
         lacking = [table for asked, (stored, table) in NAMES.items() if not {asked, stored} & set(records.columns)]
@@ -98,9 +105,13 @@ class LightScorer:
 
     def score_table(self, df: DataFrame, keep: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
         unmatched = F.array(*[F.lit(c) for c in self.preparation.unmatched(df)]).cast("array<string>")
-        rows = self.preparation.transform_new(df, keep)
-        scores = self.trees.scored(rows, keep, tasks) if self.trees else scored(self.model, rows, keep, tasks)
-        return scores.withColumn("unmatched", unmatched)
+        # dealt while a row is narrow: a column per level makes it several times as wide
+        rows = self.preparation.transform_new(df.repartition(tasks) if tasks else df, keep)
+        return self.score_prepared(rows, keep).withColumn("unmatched", unmatched)
+
+    def score_prepared(self, rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """Scores of rows that are aligned training features already, beside the kept columns."""
+        return self.trees.scored(rows, keep) if self.trees else scored(self.model, rows, keep)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.preparation.save(spark, f"{path}/preparation")
@@ -108,7 +119,7 @@ class LightScorer:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LightScorer:
-        return cls(TablePreparation.load(spark, f"{path}/preparation"), load_model(f"{path}/model"))
+        return cls(TablePreparation.load(spark, f"{path}/preparation"), load_model(f"{path}/model"), f"{path}/model")
 
 
 def choose_scorer(

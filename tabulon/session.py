@@ -28,9 +28,11 @@ def get_session(app_name: str = "tabulon", **settings: str) -> SparkSession:
 
 def task_count(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Tasks for a shuffle whose rows are few by bytes but costly to work on: one
-    per core, and as many as the rows need. Naming a count keeps AQE from merging
-    such partitions."""
-    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task))
+    per core, and as many as the rows need, in whole rounds of the cores, as a last
+    round of a few tasks takes as long as a full one. Naming a count keeps AQE from
+    merging such partitions."""
+    cores = spark.sparkContext.defaultParallelism
+    return cores * max(1, -(-rows // (rows_per_task * cores)))
 
 
 # Temporary folders of local sessions; each goes when the process ends.

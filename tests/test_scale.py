@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.functions.names import CATEGORIES, FLAGS, to_request_names
-from tabulon.operators import boosting
+from tabulon.operators import boosting, scoring
 from tabulon.operators.learners import boosted_pipeline, forest_pipeline, light_forest_pipeline
 from tabulon.operators.scoring import PipelineScorer, score_records, scored
 from tabulon.plans import catalog, training
+from tabulon.session import task_count
 from tabulon.sources.tables import clients
 from tabulon.streaming.scoring import read_records, score_stream
 
@@ -40,6 +41,46 @@ def test_a_learners_tasks_hold_many_rows():
     assert found == [300_000, 100_000, 500_000]
 
 
+def test_a_learners_tasks_come_in_whole_rounds_of_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert [task_count(spark, n, 10) for n in (0, 10 * cores, 10 * cores + 1, 25 * cores)] == [cores, cores, 2 * cores, 3 * cores]
+
+
+def test_light_hold_out_is_scored_by_flat_trees_as_by_the_pipeline(table, monkeypatch):
+    features = table.select("client_id", "adesao", "gp_renda", "renda", "usa_pix")
+
+    def caught(rows):
+        raise AssertionError("the pipeline scored the hold-out")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(training, "with_score", caught)
+        scorer, found = training.train_light_forest(features, **SMALL)
+    test = training.hash_split(training.drop_null(features, "adesao"), "client_id")[1]
+    plain = scored(scorer.model, scorer.preparation.transform_new(test, ["adesao"]), ["adesao"])
+    rows = plain.select(F.col("adesao").cast("double").alias("label"), F.col("prediction").cast("double"), "score")
+    assert found == training.evaluate(rows, "label", "prediction", "score")
+
+
+def test_light_scorer_deals_its_rows_before_they_are_wide(table):
+    scorer, _ = training.train_light_forest(table.select("client_id", "adesao", *catalog.LIGHT_COLUMNS), **SMALL)
+    dealt = scorer.score_table(table, ["client_id"], 5)
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert parts(dealt) == 5 and "__f" not in plan[plan.index("Repartition"):]
+
+
+def test_a_loaded_light_scorer_reads_its_trees_where_they_are_saved(spark, table, monkeypatch, tmp_path):
+    scorer, _ = training.train_light_forest(table.select("client_id", "adesao", *catalog.LIGHT_COLUMNS), **SMALL)
+    whole = sorted(scorer.score_table(table, ["client_id"]).collect())
+    scorer.save(spark, str(tmp_path / "light"))
+
+    def caught(*a):
+        raise AssertionError("the trees were saved again")
+
+    monkeypatch.setattr(scoring, "stage_scorer", caught)
+    loaded = scoring.LightScorer.load(spark, str(tmp_path / "light"))
+    assert sorted(loaded.score_table(table, ["client_id"]).collect()) == whole
+
+
 def test_hold_out_of_one_partition_is_scored_by_all_cores(spark, forest):
     assert parts(forest.held_out) >= spark.sparkContext.defaultParallelism
 
