@@ -87,24 +87,86 @@ class Masks:
         return out
 
     def leaves(self, x: np.ndarray, roots: np.ndarray) -> Iterator[np.ndarray]:
-        """Tree after tree, the leaf of every row. Rows that are there step no further, once they are the most."""
-        codes, every = self.codes(x).ravel(), np.arange(len(x))
-        place, one = self.column * len(x), np.uint64(1)
-        for root in roots:
-            node = np.full(len(x), root, np.int64)
-            at, rows = node, every
-            while True:
-                left = (self.mask.take(at) >> codes.take(place.take(at) + rows)) & one
-                at = self.children.take(2 * at + left.view(np.int64))
-                there = self.leaf.take(at)
-                count = np.count_nonzero(there)
-                if 2 * count > len(at):
-                    node[rows] = at
-                    rows = rows[~there]
-                    if not len(rows):
-                        break
-                    at = node[rows]
-            yield node
+        """Tree after tree, the leaf of every row."""
+        return self.walks(self.codes(x), roots)
+
+    def walks(self, codes: np.ndarray, roots: np.ndarray) -> Iterator[np.ndarray]:
+        every = np.arange(codes.shape[1])
+        return (self.walk(codes, root, every) for root in roots)
+
+    def walk(self, codes: np.ndarray, root: int, some: np.ndarray) -> np.ndarray:
+        """Leaves of some rows. Rows that are there step no further, once they are the most."""
+        place, one, flat = self.column * codes.shape[1], np.uint64(1), codes.ravel()
+        node = np.full(len(some), root, np.int64)
+        at, rows, places = node, some, np.arange(len(some))
+        while True:
+            left = (self.mask.take(at) >> flat.take(place.take(at) + rows)) & one
+            at = self.children.take(2 * at + left.view(np.int64))
+            there = self.leaf.take(at)
+            count = np.count_nonzero(there)
+            if 2 * count > len(at):
+                node[places] = at
+                places = places[~there]
+                if not len(places):
+                    return node
+                at, rows = node[places], some[places]
+
+
+@dataclass
+class LeafSets:
+    """Trees of few leaves, without tests on categories: per tree and tested feature, the leaves that a value's code leaves
+    open, as bits. What all features leave open is one leaf."""
+
+    thresholds: list[np.ndarray]  # of each feature; a value's code is its place between them, the missing one the last
+    tables: list[dict[int, np.ndarray]]
+    values: list[np.ndarray]  # (output, leaf) of each tree, leaves in the order of their bits
+
+    #: Bits of a whole number that a double tells apart by its exponent, sign aside.
+    LEAVES = 62
+
+    @classmethod
+    def of(cls, trees: FlatTrees, features: int) -> LeafSets | None:
+        """None if a tree has more leaves or a test on categories."""
+        if trees.by_category:
+            return None
+        inner = trees.left != np.arange(len(trees.left))
+        thresholds = [np.unique(trees.threshold[inner & (trees.feature == f)]) for f in range(features)]
+        tables, values = [], []
+        for root in trees.roots.tolist():
+            order, waiting = [], [root]
+            while waiting:
+                node = waiting.pop()
+                order.append(node)
+                if inner[node]:
+                    waiting += [int(trees.right[node]), int(trees.left[node])]
+            leaves = [node for node in order if not inner[node]]
+            if len(leaves) > cls.LEAVES:
+                return None
+            below = {node: 1 << bit for bit, node in enumerate(leaves)}
+            own: dict[int, np.ndarray] = {}
+            for node in reversed(order):
+                if not inner[node]:
+                    continue
+                left, right, f = below[int(trees.left[node])], below[int(trees.right[node])], int(trees.feature[node])
+                below[node] = left | right
+                codes = np.arange(len(thresholds[f]) + 2)
+                goes_left = codes <= np.searchsorted(thresholds[f], trees.threshold[node])
+                goes_left[-1] = trees.missing_left[node]
+                table = own.setdefault(f, np.full(len(codes), (1 << len(leaves)) - 1, np.int64))
+                table &= np.where(goes_left, ~right, ~left)
+            tables.append(own)
+            values.append(np.ascontiguousarray(trees.value[leaves].T))
+        return cls(thresholds, tables, values)
+
+    def codes(self, x: np.ndarray) -> list[np.ndarray]:
+        """Of each feature."""
+        return [np.where(np.isnan(v), len(cuts) + 1, np.searchsorted(cuts, v)) for v, cuts in zip(x.T, self.thresholds)]
+
+    @staticmethod
+    def value(values: np.ndarray, sets: np.ndarray) -> np.ndarray:
+        """(output, row): values of the one leaf that is left in each set."""
+        leaf = (sets.astype(np.float64).view(np.int64) >> 52) - 1023  # the place of the one bit
+        return np.array([own.take(leaf) for own in values]) if len(values) > 1 else values[0].take(leaf)
 
 
 @dataclass

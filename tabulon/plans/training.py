@@ -23,7 +23,7 @@ from tabulon.operators.metrics import evaluate
 from tabulon.operators.scoring import LightScorer
 from tabulon.operators.split import hash_split, in_train, stratified_split
 from tabulon.operators.statistics import PAGE_COLUMNS
-from tabulon.session import shared_dir, task_count
+from tabulon.session import scratch_path, shared_dir, task_count
 from tabulon.sources.models import load_model, model_exists, save_model, write_metadata
 from tabulon.sources.tables import write_csv
 
@@ -185,7 +185,10 @@ def train_survey(
     missing; a tenth of the training rows decides when to stop."""
     table = drop_null(rows, target).select(
         quoted(key), quoted(target).cast("double").alias("label"), *[quoted(f).cast("double").alias(f) for f in features])
-    marked = stratified_split(table, "label", key)
+    # the split, the bins, the scores and the importance read the rows again and again, few of their columns at a time
+    path = scratch_path(rows.sparkSession, "survey-rows")
+    table.write.parquet(path)
+    marked = stratified_split(rows.sparkSession.read.schema(table.schema).parquet(path), "label", key)
     train, test = (marked.filter(c).drop("in_test") for c in ("not in_test", "in_test"))
     train = train.withColumn("held_out", ~in_train(quoted(key), 100 - validation_percent, seed=43))
     return fit_boosted(train, features, "label", "held_out", learner), test

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
@@ -10,12 +11,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tabulon.functions.names import CATEGORIES, FLAGS
-from tabulon.operators import boosting
+from tabulon.operators import boosting, importance
 from tabulon.operators.boosting import UNIT, Boosted, Boosting
 from tabulon.operators.importance import permutation_importance
 from tabulon.operators.learners import forest_pipeline
 from tabulon.operators.scoring import FlatScorer, scored
-from tabulon.operators.trees import FlatTrees, leaf_counts, stage_scorer
+from tabulon.operators.trees import FlatTrees, TreeScorer, leaf_counts, stage_scorer
 from tabulon.plans import training
 from tabulon.sources.models import save_model
 from tabulon.sources.tables import clients
@@ -283,3 +284,85 @@ def test_many_rows_do_not_step_through_all_trees_at_once(monkeypatch):
     trees, x = invented_trees(40, 9)
     monkeypatch.setattr(FlatTrees, "steps", None)
     assert trees.totals(x).shape == (1_500, 2)
+
+
+def test_trees_grow_without_a_job_per_level(spark, monkeypatch):
+    """The trees of one task are those of passes, also with a stop by held-out rows; a task grows many in a row."""
+    x, y = invented(900, 4)
+    df = table(spark, x, y).withColumn("held", F.col("id") % 4 == 0).repartition(3)
+    settings, passes, plain = Boosting(rounds=9, max_leaves=4, patience=2), [], boosting.histograms
+
+    def counted(*asked):
+        passes.append(asked)
+        return plain(*asked)
+
+    monkeypatch.setattr(boosting, "histograms", counted)
+    model = boosting.fit(df, NAMES, "y", "held", settings)
+    trees = len({r["tree"] for r in model.rows})
+    assert trees > 4 and len(passes) <= 4
+    monkeypatch.setattr(boosting, "CELLS_IN_ONE_TASK", 0)
+    other = boosting.fit(df, NAMES, "y", "held", settings)
+    assert len(passes) > trees and (other.rows, other.losses) == (model.rows, model.losses)
+
+
+def test_equal_bins_make_one_cell(spark):
+    df = table(spark, *invented(400)).withColumn("held", F.col("id") % 5 == 0)
+    edges = boosting.bin_edges(df, NAMES)
+    cells = boosting.celled(boosting.binned(df, NAMES, edges, "y", "held")).collect()
+    assert len(cells) == df.select(*NAMES).distinct().count() < 400
+    assert sum(c.ones + c.held_ones for c in cells) == df.where("y = 1").count()
+    assert sum(c.held_ones + c.held_zeros for c in cells) == 80
+
+
+def test_edges_of_few_and_many_values(spark):
+    df = spark.range(3_000, numPartitions=5).select((F.col("id") % 7).cast("double").alias("few"), F.col("id").cast("double").alias("many"),
+                                                    F.lit(None).cast("double").alias("none"))
+    few, many, none = boosting.bin_edges(df, ["few", "many", "none"], 20)
+    assert few == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0] and none == []
+    assert many == pytest.approx([150 * i for i in range(1, 20)], abs=2)
+
+
+def single_tree(number, depth, outputs, choose):
+    """Nodes of a random tree over four features."""
+    rows = []
+
+    def add(level):
+        place = len(rows)
+        rows.append(None)
+        leaf = level == depth or (level > 1 and choose.random() < 0.2)
+        rows[place] = {"tree": number, "node": place, "feature": None if leaf else int(choose.integers(4)),
+                       "threshold": None if leaf else float(choose.integers(8)), "missing_left": bool(choose.random() < 0.5),
+                       "left": -1, "right": -1, "categories": None, "value": choose.random(outputs).tolist()}
+        if not leaf:
+            rows[place]["left"], rows[place]["right"] = add(level + 1), add(level + 1)
+        return place
+
+    add(0)
+    return rows
+
+
+@pytest.mark.parametrize("depth, outputs, way", [(4, 1, "_BySets"), (4, 2, "_BySets"), (8, 1, "_ByMasks"), (0, 1, "_BySets")])
+def test_rings_tried_together_count_as_single_steps(depth, outputs, way):
+    choose = np.random.default_rng(11)
+    trees = FlatTrees.from_rows([row for t in range(8) for row in single_tree(t, depth, outputs, choose)])
+    scorer = TreeScorer(trees, list("abcde"), "odds" if outputs == 1 else "votes", start=-4.0)
+    x = np.column_stack([choose.integers(0, n, 600) for n in (9, 40, 2, 3, 4)]).astype(float)
+    x[choose.random(x.shape) < 0.05] = np.nan
+    y, first, size = choose.integers(0, 2, 600).astype(float), [0, 250, 251], [250, 1, 349]
+    slow, together = np.zeros((6, 12), np.int64), np.zeros((6, 12), np.int64)
+    for at, rows in zip(first, size):
+        importance._count_hits(scorer, x[at : at + rows], y[at : at + rows], 0, rows, slow)
+    variants = importance._variants(scorer)
+    assert type(variants).__name__ == way
+    start, count = np.repeat(first, size), np.repeat(size, size)
+    importance._count_together(scorer, variants, x, y, [start + (np.arange(600) - start + r) % count for r in range(1, 13)], together)
+    assert np.array_equal(slow, together)
+
+
+def test_rings_stay_whole_across_batches(monkeypatch):
+    monkeypatch.setattr(importance, "ROWS_TOGETHER", 10)
+    bucket = np.repeat(np.arange(9), [1, 4, 30, 2, 2, 9, 11, 1, 7])
+    batches = [pa.RecordBatch.from_arrays([pa.array(bucket[at : at + 6])], ["bucket"]) for at in range(0, len(bucket), 6)]
+    parts = [part.column("bucket").to_pylist() for part in importance._whole_rings(iter(batches))]
+    assert sum(parts, []) == bucket.tolist() and len(parts) > 3
+    assert all(not set(a) & set(b) for a, b in zip(parts, parts[1:]))
