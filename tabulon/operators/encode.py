@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from itertools import accumulate
 from typing import ClassVar
 
 from pyspark.ml import Pipeline
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabulon.functions.expressions import (
     AGE_EDGES, AGE_LABELS, DIET_ORDER, mapped, ordinal_code, quoted, right_closed_bin,
 )
-from tabulon.operators.bounded import join_small, numbered
+from tabulon.operators.bounded import SMALL_ROWS, join_small, numbered
 from tabulon.operators.columns import drop_null, numeric_columns, text_columns
 from tabulon.operators.quantiles import medians
 
@@ -166,6 +168,26 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {r["column"]: r["median"] for r in medians(df, columns).collect()}
 
 
+def fit_counted_medians(counted: DataFrame, columns: Sequence[str], rows: str, max_values: int = SMALL_ROWS) -> dict[str, float] | None:
+    """Exact median per column of rows that stand for ``rows`` equal ones each. None if the columns have more than
+    ``max_values`` different values, which the driver isn't to hold."""
+    if not columns:
+        return {}
+    numbers = [F.nanvl(quoted(c).cast("double"), F.lit(None)).alias(c) for c in columns]
+    values = counted.select(quoted(rows), *numbers).unpivot([quoted(rows)], [quoted(c) for c in columns], "column", "value")
+    values = values.where("value is not null").groupBy("column", "value").agg(F.sum(quoted(rows)).cast("long").alias("rows"))
+    found = values.limit(max_values + 1).collect()
+    if len(found) > max_values:
+        return None
+    out = {}
+    for column in {r["column"] for r in found}:
+        own = sorted((r["value"], r["rows"]) for r in found if r["column"] == column)
+        upto = list(accumulate(n for _, n in own))
+        low, high = (own[bisect_right(upto, rank)][0] for rank in ((upto[-1] - 1) // 2, upto[-1] // 2))
+        out[column] = low if low == high else low + (high - low) / 2
+    return out
+
+
 def median_filled(df: DataFrame, fitted: Mapping[str, float]) -> DataFrame:
     """Null and NaN numbers replaced by the fitted median."""
     def fill(c):

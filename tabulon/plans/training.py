@@ -14,7 +14,7 @@ from tabulon.functions.expressions import quoted
 from tabulon.functions.names import CATEGORIES, FLAGS
 from tabulon.operators.boosting import Boosted, Boosting, fit as fit_boosted
 from tabulon.operators.columns import drop_null, existing, require, select_existing, with_label
-from tabulon.operators.encode import TablePreparation, fit_medians, median_filled
+from tabulon.operators.encode import TablePreparation, fit_counted_medians, fit_medians, median_filled
 from tabulon.operators.importance import permutation_importance
 from tabulon.operators.learners import (
     boosted_pipeline, final_features, forest_pipeline, light_forest_pipeline, trees_at_once,
@@ -32,6 +32,8 @@ from tabulon.sources.tables import write_csv
 #: takes about ten bytes of memory per tree that grows at the same time.
 ROWS_PER_TASK = 500_000
 ROW_TREES_PER_TASK = 30_000_000
+#: Column of how many equal rows a row stands for.
+ROWS = "__rows"
 
 
 @dataclass
@@ -167,12 +169,19 @@ def train_boosted(
     else:
         kept = table.persist(StorageLevel.MEMORY_AND_DISK)
         train, test = hash_split(kept, key)
-    fitted = fit_medians(train, features)
-    train, test = median_filled(train, fitted), median_filled(test, fitted)
-    train = train.withColumn("held_out", ~in_train(quoted(key), 100 - validation_percent, seed=43))
+    # no tree can tell equal rows apart, so the learner gets each different row once, with its number as weight
+    counted = train.withColumn("held_out", ~in_train(quoted(key), 100 - validation_percent, seed=43)).groupBy(
+        "label", "held_out", *[quoted(f) for f in features]).agg(F.count(F.lit(1)).cast("double").alias(ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = fit_counted_medians(counted, features, ROWS)
+    if fitted is None:
+        fitted = fit_medians(train, features)
+    train, test = median_filled(counted, fitted), median_filled(test, fitted)
+    # the key of a row that stands for others comes from its content
+    train = train.withColumn(key, F.xxhash64("label", "held_out", *[quoted(f) for f in features]))
     test = test.withColumn("held_out", F.lit(False))
-    trained = fit_and_evaluate(train, test, boosted_pipeline(features, validation="held_out", **settings), key)
+    trained = fit_and_evaluate(train, test, boosted_pipeline(features, validation="held_out", weight=ROWS, **settings), key)
     trained.medians = fitted
+    counted.unpersist()
     kept.unpersist()
     return trained
 

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from tabulon.functions.expressions import ADOPTS, DECLINES
 from tabulon.functions.names import CATEGORIES, FLAGS, to_request_names, to_stored_names
 from tabulon.operators import metrics, split
+from tabulon.operators.encode import fit_counted_medians, fit_medians, median_filled
 from tabulon.operators.importance import global_importance, permutation_importance
-from tabulon.operators.learners import BOOSTED, FOREST, feature_names, final_features, forest_pipeline
+from tabulon.operators.learners import BOOSTED, FOREST, boosted_pipeline, feature_names, final_features, forest_pipeline
 from tabulon.operators.scoring import LightScorer, PipelineScorer, choose_scorer, score_records, scored
+from tabulon.operators.split import hash_split, in_train
 from tabulon.plans import catalog, training
 from tabulon.sources import models
 from tabulon.sources.tables import clients, read_csv
@@ -207,6 +209,39 @@ def test_boosted_trees_stop_early(spark, table):
     assert set(trained.metrics) == {"auc", "accuracy", "f1"}
 
 
+def test_boosted_trees_learn_each_different_row_once(spark, monkeypatch):
+    """With their number as weight; the trees are those of all rows."""
+    rows = spark.range(3_000).select(
+        F.col("id"), F.when(F.col("id") % 11 != 0, (F.col("id") % 7).cast("double")).alias("a"), (F.col("id") % 3).cast("double").alias("b"),
+        ((F.col("id") % 7 > 3) != (F.col("id") % 5 == 0)).cast("int").alias("y"))
+    given, plain = [], training.fit_and_evaluate
+
+    def seen(train, *rest):
+        given.append(train.collect())
+        return plain(train, *rest)
+
+    monkeypatch.setattr(training, "fit_and_evaluate", seen)
+    trained = training.train_boosted(rows, ["a", "b"], "y", "id", maxIter=4, maxDepth=3)
+    counted = given[0]
+    expected = hash_split(rows, "id")[0]
+    assert sum(r["__rows"] for r in counted) == expected.count() > 10 * len(counted)
+    assert trained.medians == fit_medians(expected, ["a", "b"])
+
+    filled = median_filled(expected, trained.medians).withColumn("held_out", ~in_train(F.col("id"), 90, seed=43)).withColumnRenamed("y", "label")
+    whole = boosted_pipeline(["a", "b"], validation="held_out", maxIter=4, maxDepth=3).fit(filled)
+    cells = filled.select("a", "b").distinct()
+    ours, theirs = (sorted((r.a, r.b, round(r.probability[1], 9)) for r in m.transform(cells).collect()) for m in (trained.model, whole))
+    assert ours == theirs and trained.model.stages[-1].getNumTrees == whole.stages[-1].getNumTrees
+
+
+def test_medians_of_counted_rows(spark):
+    values = [(1.0, 3), (2.0, 2), (4.0, 1), (None, 5), (float("nan"), 2), (9.0, 0 + 6)]
+    counted = spark.createDataFrame([(v, 0.5 if v is None else -(v or 0.0), float(n)) for v, n in values], "x double, z double, n double")
+    rows = spark.createDataFrame([(v, 0.5 if v is None else -(v or 0.0)) for v, n in values for _ in range(n)], "x double, z double")
+    assert fit_counted_medians(counted, ["x", "z"], "n") == fit_medians(rows, ["x", "z"])
+    assert fit_counted_medians(counted, ["x"], "n", max_values=2) is None
+
+
 def test_survey_queries_train_with_the_production_settings(spark, base_dir, monkeypatch):
     class Stop(Exception):
         pass
